@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding
+from . import bpe, mixing, quality, sharding, tokencount
 from .common import read
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = tokencount.load_sentencepiece(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.count(read(spark, sf_dir, "documents"), vocabulary)
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,7 +53,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_quality": op7_quality, "op10_shard": op10_shard}
+    return {"op2_token_counts": op2_token_counts, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_quality": op7_quality, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
