@@ -27,12 +27,19 @@ def _range_of(key: Column, bounds: list[tuple[int, int]]) -> Column:
     while step:
         steps.append(step)
         step >>= 1
-    table = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in bounds])
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, s: F.when((at + s <= len(bounds)) & (F.get(table, at + s - 1) <= key), at + s).otherwise(at),
-    )
+    low, high = _longs([a for a, _ in bounds]), _longs([b for _, b in bounds])
+
+    def step_to(at: Column, s: Column) -> Column:
+        a, b = F.get(low, at + s - 1), F.get(high, at + s - 1)
+        below = (a < key["a"]) | ((a == key["a"]) & (b <= key["b"]))
+        return F.when((at + s <= len(bounds)) & below, at + s).otherwise(at)
+
+    return F.aggregate(_longs(steps).cast("array<int>"), F.lit(0), step_to)
+
+
+def _longs(values: list[int]) -> Column:
+    """A literal array; one string literal is far quicker to plan than thousands of numbers."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def shard(
@@ -83,7 +90,7 @@ def shard(
         b, c = b + sums.get(i, (0, 0))[0], c + sums.get(i, (0, 0))[1]
 
     def prefix(values: list[int]) -> Column:
-        return F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("range"))
+        return F.get(_longs(values), F.col("range"))
 
     order = Window.partitionBy("range").orderBy("k1", "k2", "id", "size")
     group = Window.partitionBy("range", "k1")
