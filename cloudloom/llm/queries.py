@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, tokencount
+from . import bpe, mixing, pii, quality, sharding, tokencount
 from .common import read
 
 
@@ -46,6 +46,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans"
+    )
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -53,7 +59,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_token_counts": op2_token_counts, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_quality": op7_quality, "op10_shard": op10_shard}
+    return {"op2_token_counts": op2_token_counts, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_quality": op7_quality, "op9_pii": op9_pii, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
