@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality, sharding, tokencount
+from . import bpe, mixing, neardup, pii, quality, sharding, tokencount
 from .common import read
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(read(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +63,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_token_counts": op2_token_counts, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_quality": op7_quality, "op9_pii": op9_pii, "op10_shard": op10_shard}
+    return {"op1_neardup": op1_neardup, "op2_token_counts": op2_token_counts, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_quality": op7_quality, "op9_pii": op9_pii, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
