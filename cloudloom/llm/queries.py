@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, pii, quality, sharding, tokencount
+from . import bpe, mixing, neardup, pii, quality, sharding, suffixdedup, tokencount
 from .common import read
 
 
@@ -50,6 +50,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans"
@@ -63,7 +69,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_neardup": op1_neardup, "op2_token_counts": op2_token_counts, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_quality": op7_quality, "op9_pii": op9_pii, "op10_shard": op10_shard}
+    return {"op1_neardup": op1_neardup, "op2_token_counts": op2_token_counts, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_quality": op7_quality, "op8_suffix": op8_suffix, "op9_pii": op9_pii, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
