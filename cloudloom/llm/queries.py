@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, pii, quality, sharding, suffixdedup, tokencount
+from . import bpe, mixing, neardup, pii, quality, sharding, suffixdedup, tokencount, toxicity
 from .common import read
 
 
@@ -20,6 +20,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(read(spark, sf_dir, "documents"), vocabulary)
 
 
+def held_out(doc_id) -> "F.Column":
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,7 +80,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_neardup": op1_neardup, "op2_token_counts": op2_token_counts, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_quality": op7_quality, "op8_suffix": op8_suffix, "op9_pii": op9_pii, "op10_shard": op10_shard}
+    return {"op1_neardup": op1_neardup, "op2_token_counts": op2_token_counts, "op3_toxicity": op3_toxicity, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_quality": op7_quality, "op8_suffix": op8_suffix, "op9_pii": op9_pii, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
