@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, pii, quality, sharding, suffixdedup, tokencount, toxicity
+from . import ann, bpe, mixing, neardup, pii, quality, sharding, suffixdedup, tokencount, toxicity
 from .common import read
 
 
@@ -55,6 +55,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -80,7 +84,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_neardup": op1_neardup, "op2_token_counts": op2_token_counts, "op3_toxicity": op3_toxicity, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op7_quality": op7_quality, "op8_suffix": op8_suffix, "op9_pii": op9_pii, "op10_shard": op10_shard}
+    return {"op1_neardup": op1_neardup, "op2_token_counts": op2_token_counts, "op3_toxicity": op3_toxicity, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op6_neighbours": op6_neighbours, "op7_quality": op7_quality, "op8_suffix": op8_suffix, "op9_pii": op9_pii, "op10_shard": op10_shard}
 
 
 def oracle_sql() -> dict[str, str]:
