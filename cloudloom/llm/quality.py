@@ -95,7 +95,7 @@ def repeat_words(words: Column) -> Column:
 
         return F.when(F.size(w) < 4, F.lit(0)).otherwise(_let(windows, starts))
 
-    return covered(words).cast("long")
+    return _let(words, covered).cast("long")
 
 
 def line_ok(line: Column, rules: Rules = Rules()) -> Column:
