@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from .bpe import flat_bytes
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_LIMIT = 4 << 20
+_LIMIT = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
