@@ -197,7 +197,7 @@ def search(
     distinct = materialize(single.select("v", "n", F.col("least").alias("id")).withColumn("h", F.xxhash64("v")))
     total = distinct.count()
     picked = distinct.orderBy(F.xxhash64(F.lit(seed), "h"), "id").limit(sample_rows).select("v").collect()
-    sample = np.array([r["v"] for r in picked], dtype=np.float64).reshape(len(picked), -1)
+    sample = np.array([r["v"] for r in picked], dtype=np.float64).reshape(len(picked), -1 if picked else 1)
     parts = int(min(most_parts, max(1, round(total / rows_per_part)), max(1, len(sample) // 20)))
     kept = len(sample) - len(sample) // 6
     router = fit(sample[:kept], parts, seed=seed) if parts > 1 else None
