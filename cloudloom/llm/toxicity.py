@@ -343,7 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_i
         picked = some if picked is None else picked.unionByName(some)
     sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(F.broadcast(picked), F.col("d") == F.col("id"))
     got = sorted((r["id"], r["t"] or "", r["y"]) for r in sample.select("id", "t", "y").collect())
-    return fit([t[:50_000] for _, t, _ in got], [y for *_, y in got])
+    return fit([t for _, t, _ in got], [y for *_, y in got])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
