@@ -8,8 +8,9 @@ exhaustively on sketches. A larger node draws hubs at random from its open docum
 similar to a hub are linked to it and closed, that is, need no comparison among themselves any more; the others branch on together with them,
 until a node has no open documents. This keeps a group of thousands of near copies from ever being paired.
 
-Candidates are confirmed on full sets: first each document's best candidate, then, where these didn't connect them, all others
-between different components. Documents, sketches, links and components are never collected.
+Candidates are confirmed on full sets: first those that most likely connect the documents of a leaf, each document's best one before the
+others, then every pair of a leaf with a sufficient estimate whose ends no confirmed links join. What was not confirmed joins nothing.
+Documents, sketches, links and components are never collected.
 
 Chance of missing a pair at the threshold: it meets in a tree's depth 1 with 0.81, depth 3 with 0.60, so ten trees miss
 0.0001 there; the sketch estimate's slack (``slack``) misses another 0.0004.
@@ -75,7 +76,7 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray, est: np.ndarray, sure: float, most: int = 2) -> np.ndarray:
-    """Which candidate pairs of a small node are worth confirming.
+    """Which candidate pairs of a small node to confirm first; those it leaves out are looked at again afterwards.
 
     Sure pairs: those of a spanning forest, best first. Others: the best few between two sure components.
     """
@@ -128,27 +129,29 @@ def group(
 
     def profile(batches):
         for batch in batches:
-            n, d1, d2, sk = [], [], [], []
+            n, d1, d2, sk, low = [], [], [], [], []
             for s in shingle_sets(batch.column(1).cast(pa.string()), words):
                 n.append(len(s))
                 d1.append(s.sum(dtype=np.uint64).astype(np.int64).item())
                 d2.append(np.bitwise_xor.reduce(mix(s + np.uint64(0x1B873593)), initial=np.uint64(0)).astype(np.int64).item())
-                sk.append(sketch(s, a, b).tobytes() if len(s) else b"")
+                own = sketch(s, a, b) if len(s) else np.zeros(0, np.uint32)
+                sk.append(own.tobytes())
+                low.append(own.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sk, pa.binary())],
-                names=["id", "n", "d1", "d2", "sketch"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sk, pa.binary()), pa.array(low, pa.binary())],
+                names=["id", "n", "d1", "d2", "sketch", "low"],
             )
 
-    profiles = materialize(rows.mapInArrow(profile, "id long, n long, d1 long, d2 long, sketch binary"))
+    profiles = materialize(rows.mapInArrow(profile, "id long, n long, d1 long, d2 long, sketch binary, low binary"))
     filled = profiles.where("n > 0 and id is not null")
     classes = materialize(filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
     # A repeated id is one row here: any text of it can stand for the class.
     reps = materialize(
         filled.join(classes.withColumnsRenamed({"n": "cn", "d1": "c1", "d2": "c2"}), (F.col("id") == F.col("rep")) & (F.col("n") == F.col("cn")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")))
-        .select("rep", "sketch")
+        .select("rep", "sketch", "low")
         .dropDuplicates(["rep"])
     )
-    lows = reps.select("rep", F.col("sketch"))
+    lows = reps.select("rep", "low")
 
     def plant(batches):
         for batch in batches:
@@ -159,8 +162,8 @@ def group(
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ids[row]), pa.array(np.ones(len(row), bool))], names=["key", "rep", "open"])
 
     member = "key long, rep long, open boolean"
-    members = reps.mapInArrow(plant, member)
-    pairs, used = [], []
+    members = reps.select("rep", "sketch").mapInArrow(plant, member)
+    pairs, leaves, used = [], [], []
     for level in range(depth):
         if level:
             members = members.distinct()
@@ -178,12 +181,12 @@ def group(
         part = F.when(F.col("n") > leaf, F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") * 2 / leaf))).otherwise(F.lit(0))
         lists = some.groupBy("key", part.alias("part")).agg(F.sort_array(F.collect_list("rep")).alias("m")).select("m")
         lists = lists.unionByName(sizes.where("n = 2").select(F.array("r0", "r1").alias("m"))).distinct()
-        pairs.append(materialize(_compare(lists, lows, percent / 100 - slack, sure)))
+        leaves.append(materialize(lists))
         big = sizes.where(f"n > {leaf}").select("key", "n_open", F.ceil(F.col("n") / 2000).alias("chunks"))
         if last or big.isEmpty():
             break
         large = members.withColumnRenamed("key", "k").join(big, F.col("k") == F.col("key")).select("key", "n_open", "chunks", "rep", "open")
-        large = large.join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("key", "n_open", "chunks", "rep", "open", "sketch")
+        large = large.join(reps.select(F.col("rep").alias("r"), "sketch"), F.col("rep") == F.col("r")).select("key", "n_open", "chunks", "rep", "open", "sketch")
         large = materialize(large)
         used.append(large)
         chance = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30))
@@ -202,59 +205,78 @@ def group(
         pairs.append(materialize(star.unionByName(bridge).where("a <> b")))
         members = grown.where("hub is null").select("key", "rep", "open")
 
-    found = pairs[0]
-    for more in pairs[1:]:
-        found = found.unionByName(more)
-    found = materialize(found.groupBy("a", "b").agg(F.max("est").alias("est")))
-    for x in [*pairs, *used]:
+    least = percent / 100 - slack
+    lists = leaves[0]
+    for more in leaves[1:]:
+        lists = lists.unionByName(more)
+    lists = materialize(lists.distinct().select(F.xxhash64("m").alias("list"), F.explode("m").alias("rep")))
+    # First what most likely connects the documents of a leaf, then every pair that is not joined by confirmed links.
+    first = _compare(lists, lows, None, least, sure)
+    for more in pairs:
+        first = first.unionByName(more)
+    links = _Links(rows, words, percent)
+    links.confirm(first)
+    for x in [*pairs, *leaves, *used]:
         discard(x)
-
-    ends = found.select(F.col("a").alias("r")).unionByName(found.select(F.col("b").alias("r"))).distinct()
-    texts = materialize(rows.join(ends, F.col("id") == F.col("r")).select("r", "text").dropDuplicates(["r"]))
-    links = _confirmed(found, texts, words, percent)
-    answer = components(links.select("a", "b"))
-    discard(texts)
-    discard(found)
+    links.confirm(_compare(lists, lows, links, least))
+    discard(lists)
+    answer = links.labels(spark)
 
     own = classes.join(answer, F.col("rep") == F.col("v"), "left").select(
         F.col("n").alias("cn"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("c")
     )
     alike = (F.col("n") == F.col("cn")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & F.col("id").isNotNull()
-    out = profiles.drop("sketch").join(own, alike, "left")
+    out = profiles.drop("sketch", "low").join(own, alike, "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _compare(lists: DataFrame, reps: DataFrame, least: float, sure: float) -> DataFrame:
-    """Exhaustive comparison inside lists of few documents, many lists a task."""
-    n = lists.withColumn("list", F.xxhash64("m"))
-    dealt = n.select("list", F.explode("m").alias("rep")).join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("list", "rep", "sketch")
+def _compare(lists: DataFrame, lows: DataFrame, links: _Links | None, least: float, sure: float | None = None) -> DataFrame:
+    """Exhaustive comparison inside lists (list, rep) of few documents, many lists a task.
+
+    Pairs of different components, as links knows them, with an estimate of at least ``least``: all of them, or with ``sure``
+    those to be confirmed first.
+    """
+    own = lists.withColumn("c", F.col("rep"))
+    if links:
+        own = links.label(lists, "rep", "c")
+        mixed = own.groupBy(F.col("list").alias("l")).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("l")
+        own = own.join(mixed, F.col("list") == F.col("l"), "left_semi")
+    dealt = own.join(lows.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("list", "rep", "c", "low")
     dealt = dealt.withColumn("bucket", F.pmod("list", F.lit(1024)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("list", "ascending"), ("rep", "ascending")])
-        ids, of = table["rep"].to_numpy(), table["list"].to_numpy()
-        low = _matrix(table["sketch"], np.uint32).astype(np.uint8)
+        ids, of, comp = table["rep"].to_numpy(), table["list"].to_numpy(), table["c"].to_numpy()
+        low = _matrix(table["low"], np.uint8)
         cut = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)]))
         size = np.diff(cut)
         two = cut[:-1][size == 2]
         est = _agreement(low[two], low[two + 1])
-        good = est >= least
+        good = (est >= least) & (comp[two] != comp[two + 1])
         out = [(ids[two[good]], ids[two[good] + 1], est[good])]
         for at, m in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            i, j = np.triu_indices(m, 1)
-            own = low[at : at + m]
-            est = _agreement(own[i], own[j])
-            good = np.flatnonzero(est >= least)
-            if len(good):
-                keep = good[_forest(m, i[good], j[good], est[good], sure)]
-                out.append((ids[at + i[keep]], ids[at + j[keep]], est[keep]))
+            i, j, est = _near(low[at : at + m], comp[at : at + m], least)
+            if len(i) and sure is not None:
+                keep = _forest(m, i, j, est, sure)
+                i, j, est = i[keep], j[keep], est[keep]
+            out.append((ids[at + i], ids[at + j], est))
         columns = [np.concatenate(c) for c in zip(*out)]
         return pa.table({"a": columns[0], "b": columns[1], "est": columns[2]})
 
     return dealt.groupBy("bucket").applyInArrow(run, "a long, b long, est double").distinct()
 
 
+def _near(low: np.ndarray, comp: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs i < j of different components with an estimate of at least ``least``."""
+    i, j = np.triu_indices(len(low), 1)
+    apart = comp[i] != comp[j]
+    i, j = i[apart], j[apart]
+    est = _agreement(low[i], low[j])
+    good = est >= least
+    return i[good], j[good], est[good]
+
+
 def _grow(least: float, sure: float):
     """For documents of large nodes: links to hubs, and the children in which the rest goes on.
 
@@ -341,19 +363,56 @@ def _rows(key, rep, opened, hub, est, other) -> pa.Table:
     )
 
 
-def _confirmed(found: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links that hold on full sets: each document's best candidate, then all between components that remain."""
-    both = found.select("a", "b", "est").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
-    best = both.groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-    first = materialize(_verify(best, texts, words, percent))
-    so_far = components(first.select("a", "b"))
-    of = so_far.select(F.col("v").alias("p"), F.col("component").alias("cp"))
-    to = so_far.select(F.col("v").alias("q"), F.col("component").alias("cq"))
-    rest = found.join(of, F.col("a") == F.col("p"), "left").join(to, F.col("b") == F.col("q"), "left")
-    rest = rest.where(F.coalesce("cp", "a") != F.coalesce("cq", "b")).select("a", "b")
-    rest = rest.join(best.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    second = materialize(_verify(rest, texts, words, percent))
-    return first.unionByName(second)
+class _Links:
+    """Links that hold on full sets, the components they make, and which pairs were compared."""
+
+    def __init__(self, rows: DataFrame, words: int, percent: int):
+        self.rows, self.words, self.percent = rows, words, percent
+        self.stars, self.tried = None, []
+
+    def labels(self, spark) -> DataFrame:
+        """(v, component) for each document that isn't the smallest of its component."""
+        return spark.createDataFrame([], "v long, component long") if self.stars is None else self.stars
+
+    def label(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """df with the component of a column's documents."""
+        if self.stars is None:
+            return df.withColumn(name, F.col(column))
+        of = self.stars.select(F.col("v").alias("_v"), F.col("component").alias("_c"))
+        return df.join(of, F.col(column) == F.col("_v"), "left").withColumn(name, F.coalesce("_c", column)).drop("_v", "_c")
+
+    def between(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that no confirmed links join and that were not compared."""
+        out = self.label(self.label(pairs, "a", "ca"), "b", "cb").where("ca <> cb").drop("ca", "cb")
+        for t in self.tried:
+            out = out.join(t.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+        return out
+
+    def confirm(self, found: DataFrame) -> None:
+        """Compare candidates (a, b, est) on full sets: each document's best one, then all others between components that remain."""
+        found = materialize(self.between(found.groupBy("a", "b").agg(F.max("est").alias("est"))))
+        ends = found.select(F.col("a").alias("r")).unionByName(found.select(F.col("b").alias("r"))).distinct()
+        texts = materialize(self.rows.join(ends, F.col("id") == F.col("r")).select("r", "text").dropDuplicates(["r"]))
+        both = found.select("a", "b", "est").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
+        best = both.groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
+        self._add(best, texts)
+        self._add(self.between(found.select("a", "b")), texts)
+        discard(texts)
+        discard(found)
+
+    def _add(self, pairs: DataFrame, texts: DataFrame) -> None:
+        pairs = materialize(pairs)
+        if pairs.isEmpty():
+            return
+        self.tried.append(pairs)
+        true = materialize(_verify(pairs, texts, self.words, self.percent))
+        if true.isEmpty():
+            return
+        old, edges = self.stars, true
+        if old is not None:
+            edges = edges.unionByName(old.select(F.col("component").alias("a"), F.col("v").alias("b")))
+        self.stars = components(edges)
+        discard(true)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

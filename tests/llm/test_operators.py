@@ -56,6 +56,50 @@ def test_large_nodes_close(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def families(copies, n, size, linked=True):
+    """Texts of single words: chains of n families, 0.739 alike across, where just one pair of neighbouring families is 0.752 alike."""
+    texts = []
+    for c in range(copies):
+        core = [f"c{c}x{k}" for k in range(300)]
+        for f in range(n):
+            for m in range(size):
+                link = f if m == 0 and f + 1 < n else f - 1 if m == 1 and f else None
+                common = [f"c{c}l{link}x{k}" for k in range(3)] if linked and link is not None else []
+                t = [*core, *(f"c{c}f{f}x{k}" for k in range(20)), *common, *(f"c{c}f{f}m{m}x{k}" for k in range(33 - len(common)))]
+                texts.append((len(texts), " ".join(t)))
+    return texts
+
+
+def brute_components(texts, words=1):
+    sets = [(i, set(t.split())) for i, t in texts]
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[k + 1 :]:
+            if 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in root}
+
+
+def found_components(spark, texts, **options):
+    got = neardup.group(spark.createDataFrame(texts, "doc_id long, text string"), words=1, **options).collect()
+    return {r.doc_id: r.component_id for r in got}
+
+
+def test_one_true_link_in_a_leaf(spark):
+    """Many false candidates between two families don't hide the only true one."""
+    texts = families(16, 2, 20)
+    want = brute_components(texts)
+    assert len(set(want.values())) == 16
+    assert found_components(spark, texts) == want
+
+
 # 2
 
 
