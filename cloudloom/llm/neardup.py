@@ -4,9 +4,9 @@ Documents with the same shingle set collapse into one representative. Each repre
 sketch. In each of several independent trees a node picks one or two places of the sketch (4/3 on average, the inverse of the
 similarity sought) and its documents branch by their minwise tokens there, so that a similar pair stays together
 along some path with a chance that hardly falls with depth. Nodes of up to ``leaf`` documents are compared
-exhaustively on sketches. A larger node draws hubs at random from its open documents and compares them with all: documents surely
-similar to a hub are linked to it and closed, that is, need no comparison among themselves any more; the others branch on together with them,
-until a node has no open documents. This keeps a group of thousands of near copies from ever being paired.
+exhaustively on sketches. A larger node draws hubs at random, about equally many from each component found so far, and compares them with
+all its documents; these links are confirmed on full sets at once. A node all of whose documents confirmed links join has nothing
+left to compare; any other branches on with all its documents, so that those linked to different hubs meet again.
 
 Candidates are confirmed on full sets: first those that most likely connect the documents of a leaf, each document's best one before the
 others, then every pair of a leaf with a sufficient estimate whose ends no confirmed links join. What was not confirmed joins nothing.
@@ -159,22 +159,25 @@ def group(
             for tree in range(trees if len(ids) else 0):
                 root = mix(np.full(1, 1000003 * seed + tree, dtype=np.uint64))
                 row, key = branches(np.repeat(root, len(ids)), sketches)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ids[row]), pa.array(np.ones(len(row), bool))], names=["key", "rep", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ids[row])], names=["key", "rep"])
 
-    member = "key long, rep long, open boolean"
+    def branch(batches):
+        for batch in batches:
+            row, key = branches(batch.column(0).to_numpy(), _matrix(batch.column(2), np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(batch.column(1).to_numpy()[row])], names=["key", "rep"])
+
+    least = percent / 100 - slack
+    links = _Links(rows, words, percent)
+    sketches = reps.select(F.col("rep").alias("r"), "sketch")
+    member = "key long, rep long"
     members = reps.select("rep", "sketch").mapInArrow(plant, member)
-    pairs, leaves, used = [], [], []
+    leaves, used = [], []
     for level in range(depth):
         if level:
             members = members.distinct()
         members = materialize(members)
-        used.append(members)
-        sizes = members.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"), F.min("rep").alias("r0"), F.max("rep").alias("r1")
-        )
-        # A node in which every document is linked to a hub already has nothing left to compare.
-        sizes = materialize(sizes.where("n > 1 and n_open > 0"))
-        used.append(sizes)
+        sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("n > 1"))
+        used += [members, sizes]
         last = level == depth - 1
         some = members.withColumnRenamed("key", "k").join(sizes.where("n > 2" if last else f"n between 3 and {leaf}").select("key", "n"), F.col("k") == F.col("key"))
         # At the last depth what is still too large is cut into leaves by hash.
@@ -182,42 +185,25 @@ def group(
         lists = some.groupBy("key", part.alias("part")).agg(F.sort_array(F.collect_list("rep")).alias("m")).select("m")
         lists = lists.unionByName(sizes.where("n = 2").select(F.array("r0", "r1").alias("m"))).distinct()
         leaves.append(materialize(lists))
-        big = sizes.where(f"n > {leaf}").select("key", "n_open", F.ceil(F.col("n") / 2000).alias("chunks"))
+        big = sizes.where(f"n > {leaf}").select("key")
         if last or big.isEmpty():
             break
-        large = members.withColumnRenamed("key", "k").join(big, F.col("k") == F.col("key")).select("key", "n_open", "chunks", "rep", "open")
-        large = large.join(reps.select(F.col("rep").alias("r"), "sketch"), F.col("rep") == F.col("r")).select("key", "n_open", "chunks", "rep", "open", "sketch")
-        large = materialize(large)
+        large = materialize(members.withColumnRenamed("key", "k").join(big, F.col("k") == F.col("key")).select("key", "rep"))
+        links.confirm(_hub_links(links.label(large, "rep", "c"), lows, hubs, least, sure))
+        # A node goes on, whole, unless confirmed links join all its documents.
+        parts = links.label(large, "rep", "c").groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+        goes_on = large.join(parts.where("c0 < c1"), F.col("key") == F.col("k"), "left_semi")
+        members = goes_on.join(sketches, F.col("rep") == F.col("r")).select("key", "rep", "sketch").mapInArrow(branch, member)
         used.append(large)
-        chance = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30))
-        # Members go in chunks, each of which meets all hubs of its node.
-        hub = large.where(F.col("open") & (chance < F.lit(hubs * float(1 << 30)) / F.col("n_open")))
-        hub = hub.select(F.col("key").alias("hk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("hc"), F.col("rep").alias("hrep"), F.col("sketch").alias("hs"))
-        dealt = large.select("key", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), "rep", "open", "sketch")
-        grow = _grow(percent / 100 - slack, sure)
-        grown = dealt.groupBy("key", "chunk").cogroup(hub.groupBy("hk", "hc")).applyInArrow(grow, "key long, rep long, open boolean, hub long, est double, other long")
-        grown = materialize(grown)
-        used.append(grown)
-        links = grown.where("hub is not null")
-        star = links.where("other is null").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "est")
-        bridge = links.where("other is not null").groupBy("hub", "other").agg(F.max(F.struct("est", "rep")).alias("x"))
-        bridge = bridge.select(F.least("x.rep", "other").alias("a"), F.greatest("x.rep", "other").alias("b"), "x.est")
-        pairs.append(materialize(star.unionByName(bridge).where("a <> b")))
-        members = grown.where("hub is null").select("key", "rep", "open")
 
-    least = percent / 100 - slack
     lists = leaves[0]
     for more in leaves[1:]:
         lists = lists.unionByName(more)
     lists = materialize(lists.distinct().select(F.xxhash64("m").alias("list"), F.explode("m").alias("rep")))
-    # First what most likely connects the documents of a leaf, then every pair that is not joined by confirmed links.
-    first = _compare(lists, lows, None, least, sure)
-    for more in pairs:
-        first = first.unionByName(more)
-    links = _Links(rows, words, percent)
-    links.confirm(first)
-    for x in [*pairs, *leaves, *used]:
+    for x in [*leaves, *used]:
         discard(x)
+    # First what most likely connects the documents of a leaf, then every pair that is not joined by confirmed links.
+    links.confirm(_compare(lists, lows, links, least, sure))
     links.confirm(_compare(lists, lows, links, least))
     discard(lists)
     answer = links.labels(spark)
@@ -231,17 +217,15 @@ def group(
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _compare(lists: DataFrame, lows: DataFrame, links: _Links | None, least: float, sure: float | None = None) -> DataFrame:
+def _compare(lists: DataFrame, lows: DataFrame, links: _Links, least: float, sure: float | None = None) -> DataFrame:
     """Exhaustive comparison inside lists (list, rep) of few documents, many lists a task.
 
     Pairs of different components, as links knows them, with an estimate of at least ``least``: all of them, or with ``sure``
     those to be confirmed first.
     """
-    own = lists.withColumn("c", F.col("rep"))
-    if links:
-        own = links.label(lists, "rep", "c")
-        mixed = own.groupBy(F.col("list").alias("l")).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("l")
-        own = own.join(mixed, F.col("list") == F.col("l"), "left_semi")
+    own = materialize(links.label(lists, "rep", "c"))
+    mixed = own.groupBy(F.col("list").alias("l")).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("l")
+    own = own.join(mixed, F.col("list") == F.col("l"), "left_semi")
     dealt = own.join(lows.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("list", "rep", "c", "low")
     dealt = dealt.withColumn("bucket", F.pmod("list", F.lit(1024)))
 
@@ -277,38 +261,55 @@ def _near(low: np.ndarray, comp: np.ndarray, least: float) -> tuple[np.ndarray,
     return i[good], j[good], est[good]
 
 
-def _grow(least: float, sure: float):
-    """For documents of large nodes: links to hubs, and the children in which the rest goes on.
+def _hub_links(large: DataFrame, lows: DataFrame, hubs: int, least: float, sure: float) -> DataFrame:
+    """Candidate links (a, b, est) of documents (key, rep, c) in large nodes with hubs of other components.
 
-    Rows without a hub are members of the next depth; rows with a hub are candidate links, of which those with another hub
-    tie two hubs together.
+    Each component of a node has about equally many hubs. Members go in chunks, each of which meets all hubs of its node.
     """
+    counts = large.groupBy(F.col("key").alias("k"), F.col("c").alias("kc")).agg(F.count(F.lit(1)).alias("m"))
+    nodes = counts.groupBy(F.col("k").alias("key")).agg(F.count(F.lit(1)).alias("n_c"), F.ceil(F.sum("m") / 2000).alias("chunks")).where("n_c > 1")
+    shares = counts.join(nodes, F.col("k") == F.col("key")).select("k", "kc", "m", "n_c", "chunks")
+    dealt = large.join(shares, (F.col("key") == F.col("k")) & (F.col("c") == F.col("kc")))
+    dealt = dealt.join(lows.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"))
+    dealt = materialize(dealt.select("key", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), "rep", "c", "low", "m", "n_c", "chunks"))
+    chance = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30))
+    hub = dealt.where(chance < F.lit(hubs * float(1 << 30)) / F.col("n_c") / F.col("m"))
+    hub = hub.select(F.col("key").alias("hk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("hc"), F.col("rep").alias("hrep"), F.col("c").alias("hcomp"), F.col("low").alias("hs"))
+    own = dealt.select("key", "chunk", "rep", "c", "low")
+    found = own.groupBy("key", "chunk").cogroup(hub.groupBy("hk", "hc")).applyInArrow(_grow(least, sure), "a long, b long, est double")
+    out = materialize(found.distinct())
+    discard(dealt)
+    return out
+
+
+def _grow(least: float, sure: float):
+    """For the documents of a chunk: links to hubs, and ties between hubs."""
 
     def run(own: pa.Table, hubs: pa.Table) -> pa.Table:
-        ids, opened = own["rep"].to_numpy(), own["open"].to_numpy().copy()
-        keys, names = own["key"].to_numpy(), hubs["hrep"].to_numpy()
-        full = _matrix(own["sketch"], np.uint32)
-        low, theirs = full.astype(np.uint8), _matrix(hubs["hs"], np.uint32).astype(np.uint8)
-        links = []
+        ids, names = own["rep"].to_numpy(), hubs["hrep"].to_numpy()
+        a, b, e = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(names) and len(ids):
+            low, theirs = _matrix(own["low"], np.uint8), _matrix(hubs["hs"], np.uint8)
             est = np.stack([_agreement(low, h) for h in theirs], axis=1).astype(np.float32)
-            est[ids[:, None] == names[None, :]] = -1.0
+            est[own["c"].to_numpy()[:, None] == hubs["hcomp"].to_numpy()[None, :]] = -1.0
+
+            def link(i, j):
+                near = est[i, j] >= least
+                a.append(ids[i[near]])
+                b.append(names[j[near]])
+                e.append(est[i[near], j[near]].astype(np.float64))
+
+            every = np.arange(len(ids))
             best = est.argmax(axis=1)
-            top = est[np.arange(len(ids)), best]
-            near = np.flatnonzero(top >= least)
-            links.append((ids[near], names[best[near]], top[near], np.full(len(near), -1)))
+            link(every, best)
             if len(names) > 1:  # a second hub, should the first not be confirmed
                 second = np.argpartition(-est, 1, axis=1)[:, :2]
-                second = np.where(second[:, 0] == best, second[:, 1], second[:, 0])
-                e = est[np.arange(len(ids)), second]
-                near = np.flatnonzero(e >= least)
-                links.append((ids[near], names[second[near]], e[near], np.full(len(near), -1)))
+                link(every, np.where(second[:, 0] == best, second[:, 1], second[:, 0]))
             # And each hub's best documents, or a hub that is nobody's best would stay alone.
             for j in range(len(names)):
                 mine = np.argpartition(-est[:, j], min(1, len(ids) - 1))[:2]
-                mine = mine[est[mine, j] >= least]
-                links.append((ids[mine], np.full(len(mine), names[j]), est[mine, j], np.full(len(mine), -1)))
-            # A document near to two hubs ties them; the best such tie of two hubs is enough.
+                link(mine, np.full(len(mine), j))
+            # A document near to two hubs ties them; a spanning forest of such ties comes first.
             i, j = np.nonzero(est >= sure)
             i, j = i[j != best[i]], j[j != best[i]]
             if len(i):
@@ -317,14 +318,9 @@ def _grow(least: float, sure: float):
                 order = order[np.concatenate(([True], np.diff(pair[order]) != 0))]
                 i, j = i[order], j[order]
                 ties = _tree(len(names), best[i], j, est[i, j])
-                i, j = i[ties], j[ties]
-                links.append((ids[i], names[best[i]], est[i, j], names[j]))
-            opened &= (top < sure) & ~np.isin(ids, names)
-        row, child = branches(keys, full)
-        tables = [_rows(child.astype(np.int64), ids[row], opened[row], None, None, None)]
-        for rep, hub, e, other in links:
-            tables.append(_rows(None, rep, np.zeros(len(rep), bool), hub, e, other))
-        return pa.concat_tables(tables)
+                link(i[ties], j[ties])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "est": np.concatenate(e)})
 
     return run
 
@@ -348,21 +344,6 @@ def _tree(n: int, a: np.ndarray, b: np.ndarray, est: np.ndarray) -> np.ndarray:
     return np.array(keep, dtype=np.int64)
 
 
-def _rows(key, rep, opened, hub, est, other) -> pa.Table:
-    n = len(rep)
-    none = pa.nulls(n, pa.int64())
-    return pa.table(
-        {
-            "key": none if key is None else pa.array(key, pa.int64()),
-            "rep": pa.array(rep, pa.int64()),
-            "open": pa.array(opened, pa.bool_()),
-            "hub": none if hub is None else pa.array(hub, pa.int64()),
-            "est": pa.nulls(n, pa.float64()) if est is None else pa.array(np.asarray(est, dtype=np.float64)),
-            "other": none if other is None else pa.array(np.asarray(other, dtype=np.int64), pa.int64(), mask=np.asarray(other) < 0),
-        }
-    )
-
-
 class _Links:
     """Links that hold on full sets, the components they make, and which pairs were compared."""
 

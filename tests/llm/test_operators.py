@@ -100,6 +100,14 @@ def test_one_true_link_in_a_leaf(spark):
     assert found_components(spark, texts) == want
 
 
+def test_chained_families_in_a_large_node(spark):
+    """Families over leaf size hang together by one link each, between documents that have links to different hubs."""
+    texts = families(2, 6, 12)
+    want = brute_components(texts)
+    assert len(set(want.values())) == 2
+    assert found_components(spark, texts, leaf=16, hubs=8) == want
+
+
 # 2
 
 
