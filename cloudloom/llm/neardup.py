@@ -6,14 +6,16 @@ similarity sought) and its documents branch by their minwise tokens there, so th
 along some path with a chance that hardly falls with depth. Nodes of up to ``leaf`` documents are compared
 exhaustively on sketches. A larger node draws hubs at random, about equally many from each component found so far, and compares them with
 all its documents; these links are confirmed on full sets at once. A node all of whose documents confirmed links join has nothing
-left to compare; any other branches on with all its documents, so that those linked to different hubs meet again.
+left to compare. One with at most ``whole`` pairs between components is compared exhaustively, block against block;
+any other branches on with all its documents, so that those linked to different hubs meet again. At the last depth
+every node is compared exhaustively, however large.
 
 Candidates are confirmed on full sets: first those that most likely connect the documents of a leaf, each document's best one before the
 others, then every pair of a leaf with a sufficient estimate whose ends no confirmed links join. What was not confirmed joins nothing.
 Documents, sketches, links and components are never collected.
 
-Chance of missing a pair at the threshold: it meets in a tree's depth 1 with 0.81, depth 3 with 0.60, so ten trees miss
-0.0001 there; the sketch estimate's slack (``slack``) misses another 0.0004.
+Chance of missing a pair at the threshold: it meets in a tree's depth 1 with 0.81, depth 3 with 0.60, depth 6, the last, with 0.44, so
+16 trees miss 0.0001 there and less before; the sketch estimate's slack (``slack``) misses another 0.0004.
 
 Defined results: a null text is an empty one; a text without words has no shingles and is linked with nothing; a
 text of fewer words than a shingle has one, of all its words; repeated rows form a group; an empty table gives an empty table; extra
@@ -110,10 +112,11 @@ def group(
     text_col: str = "text",
     words: int = 5,
     percent: int = 75,
-    trees: int = 10,
+    trees: int = 16,
     leaf: int = 128,
     hubs: int = 512,
-    depth: int = 12,
+    depth: int = 6,
+    whole: int = 1 << 22,
     slack: float = 0.15,
     sure: float = 0.80,
     seed: int = 3,
@@ -121,7 +124,8 @@ def group(
     """(id, n_shingles, component_id, kept) for each row of docs.
 
     percent: pairs with 100 * intersection >= percent * union are linked. sure: the estimate from which a pair is taken
-    as similar while candidates are chosen; every link is confirmed on full sets all the same.
+    as similar while candidates are chosen; every link is confirmed on full sets all the same. whole: a large node with
+    at most so many pairs between components is compared exhaustively at once, at the last depth every node is.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -171,7 +175,7 @@ def group(
     sketches = reps.select(F.col("rep").alias("r"), "sketch")
     member = "key long, rep long"
     members = reps.select("rep", "sketch").mapInArrow(plant, member)
-    leaves, used = [], []
+    leaves, blocks, used = [], [], []
     for level in range(depth):
         if level:
             members = members.distinct()
@@ -179,28 +183,37 @@ def group(
         sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("n > 1"))
         used += [members, sizes]
         last = level == depth - 1
-        some = members.withColumnRenamed("key", "k").join(sizes.where("n > 2" if last else f"n between 3 and {leaf}").select("key", "n"), F.col("k") == F.col("key"))
-        # At the last depth what is still too large is cut into leaves by hash.
-        part = F.when(F.col("n") > leaf, F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") * 2 / leaf))).otherwise(F.lit(0))
-        lists = some.groupBy("key", part.alias("part")).agg(F.sort_array(F.collect_list("rep")).alias("m")).select("m")
+        some = members.withColumnRenamed("key", "k").join(sizes.where(f"n between 3 and {leaf}").select("key"), F.col("k") == F.col("key"))
+        lists = some.groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m")).select("m")
         lists = lists.unionByName(sizes.where("n = 2").select(F.array("r0", "r1").alias("m"))).distinct()
         leaves.append(materialize(lists))
         big = sizes.where(f"n > {leaf}").select("key")
-        if last or big.isEmpty():
+        if big.isEmpty():
             break
         large = materialize(members.withColumnRenamed("key", "k").join(big, F.col("k") == F.col("key")).select("key", "rep"))
         links.confirm(_hub_links(links.label(large, "rep", "c"), lows, hubs, least, sure))
-        # A node goes on, whole, unless confirmed links join all its documents.
-        parts = links.label(large, "rep", "c").groupBy(F.col("key").alias("k")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-        goes_on = large.join(parts.where("c0 < c1"), F.col("key") == F.col("k"), "left_semi")
+        # A node goes on, whole, unless confirmed links join all its documents or what is left is few pairs.
+        now = materialize(links.label(large, "rep", "c"))
+        counts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+        nodes = counts.groupBy(F.col("key").alias("k")).agg(F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("x"))
+        nodes = nodes.select("k", "n", F.col("x.m").alias("n_major"), F.col("x.c").alias("major")).where("n > n_major")
+        nodes = materialize(nodes.withColumn("ends", F.lit(last) | ((F.col("n") - F.col("n_major")) * F.col("n") <= whole)))
+        blocks.append(materialize(_blocks(now.join(nodes.where("ends"), F.col("key") == F.col("k")))))
+        used += [large, now, nodes]
+        goes_on = nodes.where("not ends")
+        if last or goes_on.isEmpty():
+            break
+        goes_on = large.join(goes_on, F.col("key") == F.col("k"), "left_semi")
         members = goes_on.join(sketches, F.col("rep") == F.col("r")).select("key", "rep", "sketch").mapInArrow(branch, member)
-        used.append(large)
 
     lists = leaves[0]
     for more in leaves[1:]:
         lists = lists.unionByName(more)
-    lists = materialize(lists.distinct().select(F.xxhash64("m").alias("list"), F.explode("m").alias("rep")))
-    for x in [*leaves, *used]:
+    lists = lists.distinct().select(F.xxhash64("m").alias("list"), F.explode("m").alias("rep"), F.lit(0).alias("side"))
+    for more in blocks:
+        lists = lists.unionByName(more)
+    lists = materialize(lists)
+    for x in [*leaves, *blocks, *used]:
         discard(x)
     # First what most likely connects the documents of a leaf, then every pair that is not joined by confirmed links.
     links.confirm(_compare(lists, lows, links, least, sure))
@@ -218,7 +231,9 @@ def group(
 
 
 def _compare(lists: DataFrame, lows: DataFrame, links: _Links, least: float, sure: float | None = None) -> DataFrame:
-    """Exhaustive comparison inside lists (list, rep) of few documents, many lists a task.
+    """Exhaustive comparison inside lists (list, rep, side) of few documents, many lists a task.
+
+    Documents of side 0 are compared with all others of the list, those of sides 1 and 2 with the other side only.
 
     Pairs of different components, as links knows them, with an estimate of at least ``least``: all of them, or with ``sure``
     those to be confirmed first.
@@ -226,21 +241,21 @@ def _compare(lists: DataFrame, lows: DataFrame, links: _Links, least: float, sur
     own = materialize(links.label(lists, "rep", "c"))
     mixed = own.groupBy(F.col("list").alias("l")).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("l")
     own = own.join(mixed, F.col("list") == F.col("l"), "left_semi")
-    dealt = own.join(lows.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("list", "rep", "c", "low")
+    dealt = own.join(lows.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("list", "rep", "side", "c", "low")
     dealt = dealt.withColumn("bucket", F.pmod("list", F.lit(1024)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("list", "ascending"), ("rep", "ascending")])
         ids, of, comp = table["rep"].to_numpy(), table["list"].to_numpy(), table["c"].to_numpy()
-        low = _matrix(table["low"], np.uint8)
+        low, side = _matrix(table["low"], np.uint8), table["side"].to_numpy()
         cut = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)]))
         size = np.diff(cut)
         two = cut[:-1][size == 2]
         est = _agreement(low[two], low[two + 1])
-        good = (est >= least) & (comp[two] != comp[two + 1])
+        good = (est >= least) & (comp[two] != comp[two + 1]) & ((side[two] == 0) | (side[two] != side[two + 1]))
         out = [(ids[two[good]], ids[two[good] + 1], est[good])]
         for at, m in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            i, j, est = _near(low[at : at + m], comp[at : at + m], least)
+            i, j, est = _near(low[at : at + m], comp[at : at + m], side[at : at + m], least)
             if len(i) and sure is not None:
                 keep = _forest(m, i, j, est, sure)
                 i, j, est = i[keep], j[keep], est[keep]
@@ -251,14 +266,39 @@ def _compare(lists: DataFrame, lows: DataFrame, links: _Links, least: float, sur
     return dealt.groupBy("bucket").applyInArrow(run, "a long, b long, est double").distinct()
 
 
-def _near(low: np.ndarray, comp: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs i < j of different components with an estimate of at least ``least``."""
-    i, j = np.triu_indices(len(low), 1)
-    apart = comp[i] != comp[j]
-    i, j = i[apart], j[apart]
-    est = _agreement(low[i], low[j])
-    good = est >= least
-    return i[good], j[good], est[good]
+def _near(low: np.ndarray, comp: np.ndarray, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs i < j of different components, and of different sides if any, with an estimate of at least ``least``."""
+    names, index, n = np.unique(comp, return_inverse=True, return_counts=True)
+    # Documents of the largest component come last: among themselves they need no comparison.
+    order = np.argsort(index == n.argmax(), kind="stable")
+    x, y, e = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k, i in enumerate(order[: len(order) - n.max()].tolist()):
+        j = order[k + 1 :]
+        j = j[(index[j] != index[i]) & ((side[i] == 0) | (side[j] != side[i]))]
+        est = _agreement(low[i], low[j])
+        good = est >= least
+        j = j[good]
+        x.append(np.minimum(i, j))
+        y.append(np.maximum(i, j))
+        e.append(est[good])
+    return np.concatenate(x), np.concatenate(y), np.concatenate(e)
+
+
+def _blocks(nodes: DataFrame, block: int = 1024) -> DataFrame:
+    """Lists (list, rep, side) in which all pairs of large nodes (key, rep, c, n, n_major, major) meet that lie in different components.
+
+    The largest component of a node has blocks of its own, which aren't paired with each other.
+    """
+    others, own = F.ceil((F.col("n") - F.col("n_major")) / block), F.ceil(F.col("n_major") / block)
+    at = F.xxhash64("rep")
+    dealt = nodes.withColumn("others", others).withColumn("x", F.when(F.col("c") == F.col("major"), others + F.pmod(at, own)).otherwise(F.pmod(at, others)))
+    all_blocks = F.col("others") + own
+    # Block x meets the blocks below others before it, itself, and if it is below others all after it.
+    before = F.sequence(F.lit(0).cast("long"), F.col("others") - 1)
+    after = F.sequence(F.lit(0).cast("long"), all_blocks - 1)
+    dealt = dealt.select("key", "rep", "x", F.explode(F.when(F.col("x") < F.col("others"), after).otherwise(before)).alias("y"))
+    side = F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2)
+    return dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("list"), "rep", side.alias("side"))
 
 
 def _hub_links(large: DataFrame, lows: DataFrame, hubs: int, least: float, sure: float) -> DataFrame:

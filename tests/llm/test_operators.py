@@ -108,6 +108,14 @@ def test_chained_families_in_a_large_node(spark):
     assert found_components(spark, texts, leaf=16, hubs=8) == want
 
 
+def test_last_node_is_compared_whole(spark):
+    """Documents 0.74 alike stay together to the last depth, where all pairs are compared."""
+    texts = families(4, 30, 2)
+    want = brute_components(texts)
+    assert len(set(want.values())) == 4
+    assert found_components(spark, texts, leaf=8, hubs=4, depth=1, whole=16) == want
+
+
 # 2
 
 
