@@ -41,21 +41,31 @@ def radius_join(probe: DataFrame, build: DataFrame, radius: float, dims: tuple[s
     return joined.drop(*[f"c{i}" for i in range(len(dims))], *[f"b{i}" for i in range(len(dims))])
 
 
-def knn_join(probe: DataFrame, build: DataFrame, k: int, size: float, dims: tuple[str, ...] = ("x", "y"), key: str = "pid", self_join: bool = True, prefix: str = "n_", most_rounds: int = 12) -> DataFrame:
+def _first_edge(build: DataFrame, k: int, dims: tuple[str, ...]) -> tuple[float, float]:
+    """A cell edge at which a cell and its neighbours hold a few times k rows if they lie evenly, and the widest extent."""
+    row = build.agg(F.count(F.lit(1)), *[F.max(d) - F.min(d) for d in dims]).first()
+    extents = [float(v) for v in row[1:] if v]
+    if not extents:
+        return 1.0, 0.0
+    volume, n_dims = 1.0, len(extents)
+    for e in extents:
+        volume *= e
+    return max((volume * (k + 1) / row[0]) ** (1.0 / n_dims), max(extents) * 1e-9), max(extents)
+
+
+def knn_join(probe: DataFrame, build: DataFrame, k: int, size: float | None = None, dims: tuple[str, ...] = ("x", "y"), key: str = "pid", self_join: bool = True, prefix: str = "n_") -> DataFrame:
     """The k nearest build rows of each probe row (itself apart if self_join), ranked by distance, then key.
 
     A row is settled once its k-th distance is within the ring of cells searched; the others go on with cells twice as
-    large. Exact; the last round takes what there is.
+    large, until a ring holds everything. Exact: no row is left out, however far it lies. size: the first cell edge; by
+    default it follows from the number of build rows and their extent. The k best of each task are kept before rows are shuffled by key.
     """
-    done, todo = None, probe
-    total = build.count()
-    extent = build.agg(*[F.max(d) - F.min(d) for d in dims]).first()
-    widest = max([float(v or 0.0) for v in extent] + [size])
-    for round_ in range(most_rounds):
-        step = size * (2**round_)
+    edge, widest = _first_edge(build.select(*dims).unionByName(probe.select(*dims)), k, dims)
+    step, done, todo = float(size or edge), None, probe
+    while True:
         right = build.select(*[F.col(c).alias(prefix + c) for c in build.columns])
         for i, d in enumerate(dims):
-            right = right.withColumn(f"b{i}", F.floor(F.col(prefix + d) / F.lit(float(step))).cast("long"))
+            right = right.withColumn(f"b{i}", F.floor(F.col(prefix + d) / F.lit(step)).cast("long"))
         on = reduce(lambda a, b: a & b, [F.col(f"c{i}") == F.col(f"b{i}") for i in range(len(dims))])
         if self_join:
             on = on & (F.col(key) != F.col(prefix + key))
@@ -64,18 +74,14 @@ def knn_join(probe: DataFrame, build: DataFrame, k: int, size: float, dims: tupl
         order = Window.partitionBy(key).orderBy("d2", prefix + key)
         near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         near = near.drop(*[f"c{i}" for i in range(len(dims))], *[f"b{i}" for i in range(len(dims))])
-        last = step >= widest or round_ == most_rounds - 1 or total <= k + int(self_join)
-        if last and step < widest:
-            continue
-        if last:
-            found = near
-        else:
-            near = settle(near)  # read twice here and again by the next round
-            settled = near.groupBy(key).agg(F.max("d2").alias("far"), F.count(F.lit(1)).alias("have"))
-            settled = settled.where((F.col("have") >= k) & (F.col("far") <= F.lit(step * step))).select(F.col(key).alias("settled"))
-            found = near.join(settled, F.col(key) == F.col("settled"), "left_semi")
-            todo = settle(todo.join(settled, F.col(key) == F.col("settled"), "left_anti"))
+        if step > widest:
+            return near if done is None else done.unionByName(near)
+        near = settle(near)  # read twice here and again by the next round
+        settled = near.groupBy(key).agg(F.max("d2").alias("far"), F.count(F.lit(1)).alias("have"))
+        settled = settled.where((F.col("have") >= k) & (F.col("far") <= F.lit(step * step))).select(F.col(key).alias("settled"))
+        found = near.join(settled, F.col(key) == F.col("settled"), "left_semi")
+        todo = settle(todo.join(settled, F.col(key) == F.col("settled"), "left_anti"))
         done = found if done is None else done.unionByName(found)
-        if last or todo.isEmpty():
+        if todo.isEmpty():
             return done
-    return done
+        step *= 2.0

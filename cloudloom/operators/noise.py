@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cells import knn_join, radius_join
+from ..cells import cell, knn_join, radius_join
+from ..graph import components
 from ..lineage import settle
 
 
@@ -62,30 +65,46 @@ def low_cleanup(points: DataFrame, k: int, drop: float, size: float) -> DataFram
     return mid.select("pid", F.round("mid", 6).alias("mid"), (F.col("z") >= F.col("mid") - drop).alias("keep"))
 
 
-def dbscan(points: DataFrame, eps: float, least: int, dims: tuple[str, ...] = ("x", "y", "z"), most_rounds: int = 40) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, least: int, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """(pid, label): the smallest core id of each cluster; null for noise.
 
-    Core points by counts, clusters as connected components of core pairs by the least label among neighbours with
-    pointer jumping; a border point takes the least cluster among its core neighbours.
+    Cells have a diagonal of eps, so all points of a cell are neighbours: a cell of ``least`` points is core without any
+    pair, and the core points of a cell are one vertex of the graph of clusters. Only points of thinner cells are counted
+    by pairs, and pairs between cells are reduced to pairs of cells in the task that finds them. A border point takes the least cluster
+    among its core neighbours. Runs until no label changes.
     """
-    small = points.select("pid", *dims)
-    pairs = settle(radius_join(small, small, eps, dims).select("pid", "n_pid"))
-    core = pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("pid").alias("core"))
+    edge, d = eps / math.sqrt(len(dims)) * (1 - 1e-9), len(dims)
+    names = [f"g{i}" for i in range(d)]
+    small = points.select("pid", *dims, *[cell(c, edge).alias(n) for c, n in zip(dims, names)])
+    crowd = small.groupBy(*names).agg(F.count(F.lit(1)).alias("own"))
+    small = settle(small.join(crowd, names).withColumn("cell", F.struct(*names)))
+    thin = small.where(F.col("own") < least).select("pid", *dims)
+    counted = radius_join(thin, small.select("pid", *dims), eps, dims).groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    core = small.where(F.col("own") >= least).select("pid", *dims, "cell").unionByName(
+        small.join(counted.where(F.col("n") >= least), "pid", "left_semi").select("pid", *dims, "cell")
+    )
     core = settle(core)
-    linked = pairs.join(core, F.col("n_pid") == F.col("core"), "left_semi")
-    linked = settle(linked)
-    inner = settle(linked.join(core, F.col("pid") == F.col("core"), "left_semi"))
-    labels = core.select(F.col("core").alias("v"), F.col("core").alias("label"))
-    for _ in range(most_rounds):
-        near = inner.join(labels, F.col("n_pid") == F.col("v")).groupBy("pid").agg(F.min("label").alias("low"))
-        jump = labels.select(F.col("v").alias("jv"), F.col("label").alias("jl"))
-        new = near.join(jump, F.col("low") == F.col("jv")).select(F.col("pid").alias("v"), F.least("low", "jl").alias("label"))
-        new = settle(new)
-        changed = new.join(labels.withColumnsRenamed({"v": "ov", "label": "ol"}), F.col("v") == F.col("ov")).where("label <> ol").isEmpty()
-        labels = new
-        if changed:
-            break
-    border = linked.join(labels, F.col("n_pid") == F.col("v")).groupBy(F.col("pid").alias("p")).agg(F.min("label").alias("label"))
-    own = labels.select(F.col("v").alias("ov"), F.col("label").alias("ol"))
-    out = small.select("pid").join(border, F.col("pid") == F.col("p"), "left").join(own, F.col("pid") == F.col("ov"), "left")
-    return out.select("pid", F.coalesce("ol", "label").alias("label"))
+    # The least core id stands for a cell.
+    heads = settle(core.groupBy("cell").agg(F.min("pid").alias("head")))
+    core = settle(core.join(heads, "cell").select("pid", *dims, "head"))
+    touch = radius_join(core, core, eps, dims).where("head < n_head").select(F.col("head").alias("a"), F.col("n_head").alias("b")).distinct()
+    lone = heads.select(F.col("head").alias("a"), F.col("head").alias("b"))
+    labels = settle(components(touch.unionByName(lone)))
+    named = core.join(labels.withColumnRenamed("v", "head"), "head").select("pid", *dims, "label")
+    rest = small.join(core, "pid", "left_anti").select("pid", *dims)
+    border = radius_join(rest, named, eps, dims).groupBy("pid").agg(F.min("n_label").alias("label"))
+    return small.select("pid").join(named.select("pid", "label").unionByName(border), "pid", "left")
+
+
+def dbscan_noise(points: DataFrame, eps: float, least: int, smallest: int, mode: str = "both", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """keep: false for noise points and points of clusters under ``smallest`` that lie ``above``, ``below`` or on either side
+    of the median height; a small cluster is judged by its mean height, a noise point by its own."""
+    if mode not in ("above", "below", "both"):
+        raise ValueError(f"unknown mode {mode!r}")
+    labelled = dbscan(points, eps, least, dims).join(points.select("pid", "z"), "pid")
+    mid = points.agg(F.expr("percentile(z, 0.5)").alias("mid"))
+    means = labelled.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.avg("z").alias("level"))
+    judged = labelled.join(means, "label", "left").crossJoin(F.broadcast(mid))
+    level = F.when(F.col("label").isNull(), F.col("z")).when(F.col("members") < smallest, F.col("level"))
+    off = {"above": level > F.col("mid"), "below": level < F.col("mid"), "both": level.isNotNull()}[mode]
+    return judged.select("pid", "label", (~F.coalesce(off, F.lit(False))).alias("keep"))

@@ -1 +1 @@
-"""Part of the point-cloud engine."""
+"""Registered queries by subject, each with the SQL that gives the same rows."""

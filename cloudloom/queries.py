@@ -6,28 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .adapter import PTS_SQL, points, read
+from .adapter import points, read
 from .cells import cell, knn_join
 from .operators import basic, bathy, noise, register
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, pts: bool = True):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            # CTEs of a query follow the adapter's.
-            SQL[f.__name__] = f"WITH {PTS_SQL}{', ' if sql.lstrip().startswith('-- ctes') else ' '}{sql.replace('-- ctes', '', 1)}" if pts else sql
-        return f
-
-    return add
-
-
-def _r(name: str, places: int = 6):
-    return F.round(F.col(name), places).alias(name)
-
+from .plans.registry import QUERIES, SQL, query
+from .plans.registry import rounded as _r
 
 # Grids and tiles
 
@@ -100,71 +83,6 @@ def intensity_scale(spark, d):
     return points(spark, d).agg(F.greatest(F.lit(1.0), F.expr("percentile(intensity, 0.97)")).alias("scale"))
 
 
-# Selections
-
-
-@query("SELECT pid, classification FROM pts WHERE classification IN (2, 6)")
-def class_filter(spark, d):
-    return points(spark, d).where(F.col("classification").isin(2, 6)).select("pid", "classification")
-
-
-@query("""-- ctes m AS (SELECT *, max(nr) OVER (PARTITION BY tile) AS most, sum(CASE WHEN rn = nr THEN 1 ELSE 0 END) OVER (PARTITION BY tile) AS n_last FROM pts)
-SELECT pid, tile FROM m WHERE most <= 1 OR n_last < 3 OR rn = nr""")
-def last_returns(spark, d):
-    return basic.last_returns(points(spark, d)).select("pid", "tile")
-
-
-@query("SELECT pid FROM pts WHERE NOT (sensor = 2 AND nr <= 1)")
-def water_single_returns(spark, d):
-    return points(spark, d).where(~((F.col("sensor") == 2) & (F.col("nr") <= 1))).select("pid")
-
-
-@query("SELECT pid, (z > 100) OR sensor <> 2 AS keep FROM pts")
-def sensor_override(spark, d):
-    return points(spark, d).select("pid", ((F.col("z") > 100) | (F.col("sensor") != 2)).alias("keep"))
-
-
-@query("""-- ctes b AS (SELECT tile, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY 1)
-SELECT tile FROM b WHERE x1 >= 150 AND x0 <= 450 AND y1 >= 150 AND y0 <= 420""")
-def bbox_tiles(spark, d):
-    box = points(spark, d).groupBy("tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return box.where("x1 >= 150 AND x0 <= 450 AND y1 >= 150 AND y0 <= 420").select("tile")
-
-
-CORRIDOR = """c AS (SELECT *, greatest(0.0, least(1.0, ((x - 100.0) * 700.0 + (y - 100.0) * 500.0) / 740000.0)) AS f FROM pts),
- prof AS (SELECT *, f * sqrt(740000.0E0) AS along FROM c WHERE sqrt((x - (100.0 + f * 700.0))**2 + (y - (100.0 + f * 500.0))**2) <= 20)"""
-
-
-@query(f"-- ctes {CORRIDOR} SELECT pid, round(along, 6) AS along, z FROM prof")
-def profile_corridor(spark, d):
-    return basic.corridor(points(spark, d), 100.0, 100.0, 800.0, 600.0, 40.0).select("pid", _r("along"), "z")
-
-
-@query(f"-- ctes {CORRIDOR} SELECT pid FROM prof WHERE z > 50.0 + (along - 100.0) * 0.25")
-def profile_above_line(spark, d):
-    prof = basic.corridor(points(spark, d), 100.0, 100.0, 800.0, 600.0, 40.0)
-    return basic.above_line(prof, 100.0, 50.0, 500.0, 150.0).select("pid")
-
-
-@query(f"-- ctes {CORRIDOR} SELECT pid FROM prof WHERE (along BETWEEN 100 AND 300 AND z BETWEEN 50 AND 200) OR sqrt((along - 400)**2 + (z - 120)**2) <= 60")
-def profile_select(spark, d):
-    prof = basic.corridor(points(spark, d), 100.0, 100.0, 800.0, 600.0, 40.0)
-    box = F.col("along").between(100, 300) & F.col("z").between(50, 200)
-    brush = F.sqrt((F.col("along") - 400) ** 2 + (F.col("z") - 120) ** 2) <= 60
-    return prof.where(box | brush).select("pid")
-
-
-@query("SELECT pid, CASE WHEN classification = 2 THEN 2 WHEN classification IN (5, 6) THEN 3 ELSE 0 END AS mapped FROM pts")
-def class_remap(spark, d):
-    table = F.create_map(*[F.lit(v) for kv in {2: 2, 5: 3, 6: 3}.items() for v in kv])
-    return points(spark, d).select("pid", F.coalesce(F.try_element_at(table, "classification"), F.lit(0)).alias("mapped"))
-
-
-@query("SELECT pid, x FROM pts WHERE (pid - 1) % 7 = 0")
-def stride_sample(spark, d):
-    return points(spark, d).where(F.pmod(F.col("pid") - 1, F.lit(7)) == 0).select("pid", "x")
-
-
 # Spatial joins and noise filters
 
 PAIR3 = "FROM pts a JOIN pts b ON b.x BETWEEN a.x - {r} AND a.x + {r} AND b.y BETWEEN a.y - {r} AND a.y + {r} AND b.z BETWEEN a.z - {r} AND a.z + {r} AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= {r}.0 * {r}"
@@ -256,8 +174,9 @@ def raster_sample(spark, d):
     return bathy.sample_raster(points(spark, d), water(spark), 10, -1.0).select("pid", "ws")
 
 
-@query(f"""-- ctes {WATER}, wide AS (SELECT DISTINCT row + i AS r, col + j AS c FROM water, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE z IS NOT NULL AND abs(i) + abs(j) <= 2)
-SELECT pid FROM pts JOIN wide ON r = floor(y / 10) AND c = floor(x / 10) LEFT JOIN water w ON w.row = r AND w.col = c WHERE w.z IS NULL OR pts.z <= w.z + 0.5""")
+@query(f"""-- ctes {WATER}, wide AS (SELECT DISTINCT row + i AS r, col + j AS c FROM water, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE z IS NOT NULL AND abs(i) + abs(j) <= 2),
+ p AS (SELECT pid, z, CAST(floor(y / 10) AS BIGINT) AS r, CAST(floor(x / 10) AS BIGINT) AS c FROM pts)
+SELECT pid FROM p JOIN wide USING (r, c) LEFT JOIN water w ON w.row = p.r AND w.col = p.c WHERE w.z IS NULL OR p.z <= w.z + 0.5""")
 def crop_to_water(spark, d):
     return bathy.crop_to_water(points(spark, d), water(spark), 10, 0.5, 2).select("pid")
 
@@ -315,53 +234,7 @@ def affine_apply(spark, d):
     return register.affine(points(spark, d), m).select("pid", _r("x"), _r("y"), _r("z"))
 
 
-# Catalogue, log and evaluation
-
-LOG = "log AS (SELECT o_custkey % 50 AS tile_id, CASE o_orderkey % 3 WHEN 0 THEN 'filter' WHEN 1 THEN 'pointcept' ELSE 'ground' END AS step, o_totalprice / 1000.0E0 AS duration, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE month(o_orderdate) END AS batch, o_orderkey AS id FROM orders)"
-
-
-def log(spark, d):
-    return read(spark, d, "orders").select(
-        F.expr("o_custkey % 50").alias("tile_id"),
-        F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'filter' WHEN 1 THEN 'pointcept' ELSE 'ground' END").alias("step"),
-        F.expr("o_totalprice / 1000.0D").alias("duration"),
-        F.expr("CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE month(o_orderdate) END").alias("batch"),
-        F.col("o_orderkey").alias("id"),
-    )
-
-
-@query(f"""WITH {LOG}, n AS (SELECT step, coalesce(CAST(batch AS VARCHAR), '(no batch)') AS batch, duration FROM log)
-SELECT step, batch, CAST(grouping(step, batch) AS INTEGER) AS level, count(*) AS n, round(sum(duration), 2) AS total, round(avg(duration), 4) AS mean, round(quantile_cont(duration, 0.5), 4) AS median, min(duration) AS least, max(duration) AS most, round(coalesce(stddev_samp(duration), 0), 4) AS std, round(quantile_cont(duration, 0.25), 4) AS p25, round(quantile_cont(duration, 0.75), 4) AS p75 FROM n GROUP BY GROUPING SETS ((), (step), (batch))""", pts=False)
-def processing_stats(spark, d):
-    return basic.processing_stats(log(spark, d))
-
-
-@query(f"WITH {LOG} SELECT CAST(batch AS INTEGER) AS batch, min(duration) AS least, max(duration) AS most, count(*) AS n, string_agg(DISTINCT step, ',' ORDER BY step) AS steps FROM log WHERE batch IS NOT NULL GROUP BY 1", pts=False)
-def distinct_batches(spark, d):
-    own = log(spark, d).where("batch is not null")
-    return own.groupBy("batch").agg(F.min("duration").alias("least"), F.max("duration").alias("most"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("step")), ",").alias("steps"))
-
-
-@query(f"WITH {LOG} SELECT tile_id, id, duration FROM log WHERE step = 'ground' AND tile_id IN (1, 2, 3) AND batch >= 6", pts=False)
-def timing_filter(spark, d):
-    return log(spark, d).where("step = 'ground' AND tile_id IN (1, 2, 3) AND batch >= 6").select("tile_id", "id", "duration")
-
-
-@query(f"WITH {LOG} SELECT tile_id, id FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY id DESC) AS r FROM log) WHERE r <= 3", pts=False)
-def latest_entries(spark, d):
-    order = Window.partitionBy("tile_id").orderBy(F.desc("id"))
-    return log(spark, d).withColumn("r", F.row_number().over(order)).where("r <= 3").select("tile_id", "id")
-
-
-EDITS = "WITH e AS (SELECT l_partkey AS point, l_orderkey AS at_, l_linenumber AS line, l_suppkey AS who, l_quantity AS q FROM lineitem WHERE l_returnflag = 'A')"
-
-
-@query(EDITS + " SELECT point, arg_max(CAST(q AS BIGINT), (at_, line, who, q)) AS class FROM e GROUP BY 1", pts=False)
-def last_edit_wins(spark, d):
-    e = read(spark, d, "lineitem").where("l_returnflag = 'A'")
-    last = F.max(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"))
-    return e.groupBy(F.col("l_partkey").alias("point")).agg(last["l_quantity"].cast("long").alias("class"))
-
+# Evaluation
 
 GUESS = "g AS (SELECT classification AS truth, CASE WHEN pid % 10 = 0 THEN CASE classification WHEN 1 THEN 2 WHEN 2 THEN 5 WHEN 5 THEN 6 WHEN 6 THEN 7 ELSE 1 END ELSE classification END AS guess FROM pts)"
 CONF = GUESS + ", conf AS (SELECT c AS class, count(*) FILTER (truth = c AND guess = c) AS inter, count(*) FILTER (truth = c OR guess = c) AS uni, count(*) FILTER (truth = c) AS target FROM (SELECT unnest([1, 2, 5, 6, 7, 9]) AS c) LEFT JOIN g ON truth = c OR guess = c GROUP BY 1)"
@@ -401,12 +274,6 @@ def voxel_fragment(spark, d):
     return v.where(F.col("i") == F.lit(3) % F.col("n")).select("pid", "i", "n")
 
 
-@query("-- ctes c AS (SELECT tile, count(*) AS n FROM pts GROUP BY 1) SELECT tile, n, CAST(sum(n) OVER (ORDER BY tile) AS BIGINT) AS upto FROM c")
-def batch_offsets(spark, d):
-    c = points(spark, d).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("upto", F.sum("n").over(Window.orderBy("tile").rowsBetween(Window.unboundedPreceding, 0)))
-
-
 @query("-- ctes c AS (SELECT CAST(floor(y / 20) AS BIGINT) AS row, CAST(floor(x / 20) AS BIGINT) AS col, max(z) AS z FROM pts WHERE classification IN (2,3,4,5,6) GROUP BY 1, 2), s AS (SELECT round(avg(z), 6) AS m, min(row) AS r0, max(row) AS r1, min(col) AS k0, max(col) AS k1 FROM c), n AS (SELECT a.row, a.col, m, r0, r1, k0, k1, " + ", ".join(
     f"coalesce(max(CASE WHEN b.row = a.row + {i} AND b.col = a.col + {j} THEN b.z END), any_value(m)) AS {'abc'[i + 1]}{j + 1}" for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)
 ) + " FROM c a CROSS JOIN s LEFT JOIN c b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY a.row, a.col, m, r0, r1, k0, k1), d AS (SELECT row, col, CASE WHEN row > r0 AND row < r1 AND col > k0 AND col < k1 THEN ((a2 + 2*b2 + c2) - (a0 + 2*b0 + c0)) / 160.0E0 ELSE 0 END AS dx, CASE WHEN row > r0 AND row < r1 AND col > k0 AND col < k1 THEN ((c0 + 2*c1 + c2) - (a0 + 2*a1 + a2)) / 160.0E0 ELSE 0 END AS dy FROM n), e AS (SELECT *, atan(sqrt(dx*dx + dy*dy)) AS st FROM d) SELECT row, col, round(greatest(0, least(1, cos(radians(45.0)) * cos(st) + sin(radians(45.0)) * sin(st) * cos(radians(135.0) - CASE WHEN st > 0 THEN atan2(dy, -dx) ELSE 0 END))) * 254.0 + 1.0, 4) AS shade FROM e")
@@ -414,6 +281,10 @@ def hillshade(spark, d):
     return basic.hillshade(basic.dsm(points(spark, d), 20), 20).select("row", "col", _r("shade", 4))
 
 
+# Registered when they are imported.
+from .plans import catalog, selections  # noqa: E402, F401
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
