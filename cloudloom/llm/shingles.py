@@ -66,6 +66,25 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+def word_hashes(own: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, A-Z in lower case, one text after the other, and where each text begins in them."""
+    offsets, data = flat_bytes(own)
+    raw = data[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    # A gap behind each text, so that no word crosses into the next.
+    n = len(raw) + len(own)
+    buffer = np.full(n, 0x20, dtype=np.uint8)
+    starts = offsets[:-1] + np.arange(len(own))
+    buffer[np.arange(len(raw)) + np.repeat(np.arange(len(own)), np.diff(offsets))] = raw
+    buffer = LOWER[buffer]
+    inside = ~SPACE[buffer]
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = powers_for(n)
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(byte_codes()[buffer] * power[:n], dtype=np.uint64)))
+    return mix((prefix[end] - prefix[begin]) * inverse[begin]), np.searchsorted(begin, np.append(starts, n))
+
+
 def shingle_sets(texts: pa.Array, words: int):
     """For each text the sorted distinct hashes of its shingles of so many words.
 
@@ -73,23 +92,7 @@ def shingle_sets(texts: pa.Array, words: int):
     """
     coef = mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) | np.uint64(1)
     for lo, hi in slices(texts):
-        own = texts.slice(lo, hi - lo)
-        offsets, data = flat_bytes(own)
-        raw = data[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        # A gap behind each text, so that no word crosses into the next.
-        n = len(raw) + len(own)
-        buffer = np.full(n, 0x20, dtype=np.uint8)
-        starts = offsets[:-1] + np.arange(len(own))
-        buffer[np.arange(len(raw)) + np.repeat(np.arange(len(own)), np.diff(offsets))] = raw
-        buffer = LOWER[buffer]
-        inside = ~SPACE[buffer]
-        edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        power, inverse = powers_for(n)
-        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(byte_codes()[buffer] * power[:n], dtype=np.uint64)))
-        word = mix((prefix[end] - prefix[begin]) * inverse[begin])
-        first = np.searchsorted(begin, np.append(starts, n))
+        word, first = word_hashes(texts.slice(lo, hi - lo))
         grams = np.zeros(max(0, len(word) - words + 1), dtype=np.uint64)
         for k in range(words):
             grams += word[k : k + len(grams)] * coef[k]

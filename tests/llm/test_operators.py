@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -311,6 +312,42 @@ def test_suffix_dedup(docs, nothing, hot):
     assert suffixdedup.remove_repeats(nothing).count() == 0
 
 
+def brute_passages(texts, length=50):
+    """Words of each text within stretches of so many words that another row has too; of equal ones in a text the first."""
+    split = [words((t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
+    where = {}
+    for k, w in enumerate(split):
+        for i in range(len(w) - length + 1):
+            where.setdefault(tuple(w[i : i + length]), {}).setdefault(k, i)
+    covered = [set() for _ in texts]
+    for places in where.values():
+        if len(places) > 1:
+            for k, i in places.items():
+                covered[k].update(range(i, i + length))
+    return [len(c) for c in covered]
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_passages(spark, hot):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 4)))
+    quote = [word() for _ in range(54)]
+    short = quote[:49]
+    texts = [None, "", " ".join(quote)]
+    for k in range(8):
+        own = [word() for _ in range(80)]
+        at = r.randint(0, 80)
+        texts.append("\n".join(own[:at] + (quote if k % 2 else short) + own[at:]))
+    twice = [word() for _ in range(60)]
+    texts += [" ".join(twice + ["x"] + twice), " ".join(quote).upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_passage_words, x.n_removed) for x in suffixdedup.remove_repeats(df, hot=hot, bucket_windows=100, batch_windows=30).collect()}
+    want = brute_passages(texts)
+    assert [got[i][0] for i in range(len(texts))] == want
+    assert want[4] == 54 and want[3] == 0 and want[11] == 0  # nothing recurs in another document
+    assert got[4][1] == 0  # under 400 bytes
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.binary(min_size=0, max_size=20).map(lambda b: bytes(c % 2 for c in b)), min_size=1, max_size=3), min_size=1, max_size=6))
 def test_index_family(batches):
