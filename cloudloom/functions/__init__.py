@@ -1 +1 @@
-"""Part of the point-cloud engine."""
+"""Column functions: space-filling curves, voxel hashes, colours, arrays and screen geometry."""
