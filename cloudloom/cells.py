@@ -53,12 +53,12 @@ def _first_edge(build: DataFrame, k: int, dims: tuple[str, ...]) -> tuple[float,
     return max((volume * (k + 1) / row[0]) ** (1.0 / n_dims), max(extents) * 1e-9), max(extents)
 
 
-def knn_join(probe: DataFrame, build: DataFrame, k: int, size: float | None = None, dims: tuple[str, ...] = ("x", "y"), key: str = "pid", self_join: bool = True, prefix: str = "n_") -> DataFrame:
+def knn_join(probe: DataFrame, build: DataFrame, k: int, size: float | None = None, dims: tuple[str, ...] = ("x", "y"), key: str = "pid", self_join: bool = True, prefix: str = "n_", by: str | None = None) -> DataFrame:
     """The k nearest build rows of each probe row (itself apart if self_join), ranked by distance, then key.
 
     A row is settled once its k-th distance is within the ring of cells searched; the others go on with cells twice as
     large, until a ring holds everything. Exact: no row is left out, however far it lies. size: the first cell edge; by
-    default it follows from the number of build rows and their extent. The k best of each task are kept before rows are shuffled by key.
+    default it follows from the number of build rows and their extent. by: a column that must be equal on both sides, as a batch is. The k best of each task are kept before rows are shuffled by key.
     """
     edge, widest = _first_edge(build.select(*dims).unionByName(probe.select(*dims)), k, dims)
     step, done, todo = float(size or edge), None, probe
@@ -69,6 +69,8 @@ def knn_join(probe: DataFrame, build: DataFrame, k: int, size: float | None = No
         on = reduce(lambda a, b: a & b, [F.col(f"c{i}") == F.col(f"b{i}") for i in range(len(dims))])
         if self_join:
             on = on & (F.col(key) != F.col(prefix + key))
+        if by:
+            on = on & (F.col(by) == F.col(prefix + by))
         d2 = reduce(lambda a, b: a + b, [(F.col(d) - F.col(prefix + d)) * (F.col(d) - F.col(prefix + d)) for d in dims])
         near = _neighbour_cells(todo, dims, step, 1).join(right, on).withColumn("d2", d2)
         order = Window.partitionBy(key).orderBy("d2", prefix + key)

@@ -234,28 +234,7 @@ def affine_apply(spark, d):
     return register.affine(points(spark, d), m).select("pid", _r("x"), _r("y"), _r("z"))
 
 
-# Evaluation
-
-GUESS = "g AS (SELECT classification AS truth, CASE WHEN pid % 10 = 0 THEN CASE classification WHEN 1 THEN 2 WHEN 2 THEN 5 WHEN 5 THEN 6 WHEN 6 THEN 7 ELSE 1 END ELSE classification END AS guess FROM pts)"
-CONF = GUESS + ", conf AS (SELECT c AS class, count(*) FILTER (truth = c AND guess = c) AS inter, count(*) FILTER (truth = c OR guess = c) AS uni, count(*) FILTER (truth = c) AS target FROM (SELECT unnest([1, 2, 5, 6, 7, 9]) AS c) LEFT JOIN g ON truth = c OR guess = c GROUP BY 1)"
-
-
-def guesses(spark, d):
-    nxt = F.create_map(*[F.lit(v) for kv in {1: 2, 2: 5, 5: 6, 6: 7, 7: 1}.items() for v in kv])
-    guess = F.when(F.col("pid") % 10 == 0, F.element_at(nxt, F.col("classification"))).otherwise(F.col("classification"))
-    return points(spark, d).select(F.col("classification").alias("truth"), guess.alias("guess"))
-
-
-@query(f"-- ctes {CONF} SELECT class, inter, uni, target FROM conf")
-def confusion(spark, d):
-    return basic.confusion(guesses(spark, d), (1, 2, 5, 6, 7, 9))
-
-
-@query(f"-- ctes {CONF} SELECT round(avg(inter / (uni + 1e-10)), 6) AS miou, round(avg(inter / (target + 1e-10)), 6) AS macc, round(sum(inter) / (sum(target) + 1e-10), 6) AS allacc FROM conf")
-def mean_iou(spark, d):
-    c = basic.confusion(guesses(spark, d), (1, 2, 5, 6, 7, 9))
-    e = F.lit(1e-10)
-    return c.agg(F.round(F.avg(F.col("inter") / (F.col("uni") + e)), 6).alias("miou"), F.round(F.avg(F.col("inter") / (F.col("target") + e)), 6).alias("macc"), F.round(F.sum("inter") / (F.sum("target") + e), 6).alias("allacc"))
+# Blocks and voxels
 
 
 @query("SELECT CAST(bx AS BIGINT) AS bx, CAST(by_ AS BIGINT) AS by_, count(*) AS n FROM pts, (SELECT unnest([0, -1]) AS i), (SELECT unnest([0, -1]) AS j), LATERAL (SELECT floor(x / 25) + i AS bx, floor(y / 25) + j AS by_) GROUP BY 1, 2")
@@ -282,7 +261,7 @@ def hillshade(spark, d):
 
 
 # Registered when they are imported.
-from .plans import catalog, selections  # noqa: E402, F401
+from .plans import catalog, evaluation, kernels, selections  # noqa: E402, F401
 
 
 def queries() -> dict:
