@@ -38,6 +38,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def bounded(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A narrow table of a few numbers a row, for a join: broadcast if it has at most so many rows, counted now; else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_cloudloom_path", None)
@@ -47,6 +52,14 @@ def discard(df: DataFrame | None) -> None:
         jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Words in a text; none in a null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

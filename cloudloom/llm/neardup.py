@@ -4,22 +4,28 @@ Documents with the same shingle set collapse into one representative. Each repre
 sketch. In each of several independent trees a node picks one or two places of the sketch (4/3 on average, the inverse of the
 similarity sought) and its documents branch by their minwise tokens there, so that a similar pair stays together
 along some path with a chance that hardly falls with depth. Nodes of up to ``leaf`` documents are compared
-exhaustively on sketches. A larger node draws hubs at random, about equally many from each component found so far, and compares them with
+exhaustively. A larger node draws hubs at random, about equally many from each component found so far, and compares them with
 all its documents; these links are confirmed on full sets at once. A node all of whose documents confirmed links join has nothing
 left to compare. One with at most ``whole`` pairs between components is compared exhaustively, block against block;
 any other branches on with all its documents, so that those linked to different hubs meet again. At the last depth
 every node is compared exhaustively, however large.
 
-Candidates are confirmed on full sets: first those that most likely connect the documents of a leaf, each document's best one before the
-others, then every pair of a leaf with a sufficient estimate whose ends no confirmed links join. What was not confirmed joins nothing.
-Documents, sketches, links and components are never collected.
+Links come in two steps, and no step writes out pairs of a group:
+
+1. Each document of a node proposes its likeliest partner by the sketches, and a spanning forest of the likely pairs of a node is proposed;
+   these pairs, fewer than two a document, are confirmed on full sets and joined to components.
+2. Nodes that still hold several components keep the documents that have a partner in another one with a sufficient estimate. The full
+   sets of these documents meet in one task, which intersects every such pair of different components and gives a link for each two components it joins.
+
+What was not confirmed joins nothing. Documents, sketches, links and components are never collected.
 
 Chance of missing a pair at the threshold: it meets in a tree's depth 1 with 0.81, depth 3 with 0.60, depth 6, the last, with 0.44, so
 16 trees miss 0.0001 there and less before; the sketch estimate's slack (``slack``) misses another 0.0004.
 
 Defined results: a null text is an empty one; a text without words has no shingles and is linked with nothing; a
-text of fewer words than a shingle has one, of all its words; repeated rows form a group; an empty table gives an empty table; extra
-columns are ignored by ``group`` and kept by ``dedup``. Ids are integers; a row with a null id stays by itself.
+text of fewer words than a shingle has one, of all its words; repeated rows form a group; should rows of one id have different texts, one of
+them stands for the id; an empty table gives an empty table; extra columns are ignored by ``group`` and kept by ``dedup``, whatever their
+names. Ids are integers; a row with a null id stays by itself.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import bounded, discard, materialize, spare
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -77,33 +83,13 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x == y).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray, est: np.ndarray, sure: float, most: int = 2) -> np.ndarray:
-    """Which candidate pairs of a small node to confirm first; those it leaves out are looked at again afterwards.
-
-    Sure pairs: those of a spanning forest, best first. Others: the best few between two sure components.
-    """
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    keep, between = [], {}
-    for k in np.argsort(-est, kind="stable").tolist():
-        i, j = find(int(a[k])), find(int(b[k]))
-        if i == j:
-            continue
-        if est[k] >= sure:
-            root[i] = j
-            keep.append(k)
-        else:
-            pair = (min(i, j), max(i, j))
-            if between.setdefault(pair, 0) < most:
-                between[pair] += 1
-                keep.append(k)
-    return np.array(keep, dtype=np.int64)
+def _proposals(n: int, a: np.ndarray, b: np.ndarray, est: np.ndarray, sure: float) -> np.ndarray:
+    """Which candidate pairs of a node to confirm first, fewer than two a document: each document's best, and a forest of the sure ones."""
+    order = np.argsort(-est, kind="stable")
+    first = np.unique(np.stack((a[order], b[order]), axis=1), return_index=True)[1] // 2
+    sure_ones = order[est[order] >= sure]
+    forest = sure_ones[_tree(n, a[sure_ones], b[sure_ones], est[sure_ones])] if len(sure_ones) else sure_ones
+    return np.union1d(order[first], forest).astype(np.int64)
 
 
 def group(
@@ -148,13 +134,10 @@ def group(
 
     profiles = materialize(rows.mapInArrow(profile, "id long, n long, d1 long, d2 long, sketch binary, low binary"))
     filled = profiles.where("n > 0 and id is not null")
-    classes = materialize(filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
-    # A repeated id is one row here: any text of it can stand for the class.
-    reps = materialize(
-        filled.join(classes.withColumnsRenamed({"n": "cn", "d1": "c1", "d2": "c2"}), (F.col("id") == F.col("rep")) & (F.col("n") == F.col("cn")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")))
-        .select("rep", "sketch", "low")
-        .dropDuplicates(["rep"])
-    )
+    # The document of the smallest id stands for a class; copies are combined in each task before they are shuffled.
+    reps = filled.groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "sketch", "low")).alias("x"))
+    reps = materialize(reps.select("n", "d1", "d2", F.col("x.id").alias("rep"), "x.sketch", "x.low"))
+    classes = reps.select("n", "d1", "d2", "rep")
     lows = reps.select("rep", "low")
 
     def plant(batches):
@@ -183,15 +166,15 @@ def group(
         sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("n > 1"))
         used += [members, sizes]
         last = level == depth - 1
-        some = members.withColumnRenamed("key", "k").join(sizes.where(f"n between 3 and {leaf}").select("key"), F.col("k") == F.col("key"))
+        some = members.withColumnRenamed("key", "k").join(bounded(sizes.where(f"n between 3 and {leaf}").select("key")), F.col("k") == F.col("key"))
         lists = some.groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m")).select("m")
         lists = lists.unionByName(sizes.where("n = 2").select(F.array("r0", "r1").alias("m"))).distinct()
         leaves.append(materialize(lists))
         big = sizes.where(f"n > {leaf}").select("key")
         if big.isEmpty():
             break
-        large = materialize(members.withColumnRenamed("key", "k").join(big, F.col("k") == F.col("key")).select("key", "rep"))
-        links.confirm(_hub_links(links.label(large, "rep", "c"), lows, hubs, least, sure))
+        large = materialize(members.withColumnRenamed("key", "k").join(bounded(big), F.col("k") == F.col("key")).select("key", "rep"))
+        links.confirm(_hub_links(links.label(large, "rep", "c"), lows, hubs, least, sure, seed + level))
         # A node goes on, whole, unless confirmed links join all its documents or what is left is few pairs.
         now = materialize(links.label(large, "rep", "c"))
         counts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
@@ -203,8 +186,9 @@ def group(
         goes_on = nodes.where("not ends")
         if last or goes_on.isEmpty():
             break
-        goes_on = large.join(goes_on, F.col("key") == F.col("k"), "left_semi")
-        members = goes_on.join(sketches, F.col("rep") == F.col("r")).select("key", "rep", "sketch").mapInArrow(branch, member)
+        goes_on = materialize(large.join(bounded(goes_on), F.col("key") == F.col("k"), "left_semi"))
+        used.append(goes_on)
+        members = bounded(goes_on).join(sketches, F.col("rep") == F.col("r")).select("key", "rep", "sketch").mapInArrow(branch, member)
 
     lists = leaves[0]
     for more in leaves[1:]:
@@ -215,9 +199,9 @@ def group(
     lists = materialize(lists)
     for x in [*leaves, *blocks, *used]:
         discard(x)
-    # First what most likely connects the documents of a leaf, then every pair that is not joined by confirmed links.
+    # First what most likely connects the documents of a node, then every pair of it that confirmed links don't join.
     links.confirm(_compare(lists, lows, links, least, sure))
-    links.confirm(_compare(lists, lows, links, least))
+    links.within(_close(lists, lows, links, least))
     discard(lists)
     answer = links.labels(spark)
 
@@ -230,44 +214,93 @@ def group(
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _compare(lists: DataFrame, lows: DataFrame, links: _Links, least: float, sure: float | None = None) -> DataFrame:
-    """Exhaustive comparison inside lists (list, rep, side) of few documents, many lists a task.
+def _dealt(lists: DataFrame, lows: DataFrame, links: _Links) -> DataFrame:
+    """Lists that hold several components, with sketches, dealt into buckets of about 20,000 rows."""
+    own = materialize(links.label(lists, "rep", "c"))
+    mixed = own.groupBy(F.col("list").alias("l")).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 < c1")
+    mixed = materialize(mixed.select("l", "m"))
+    buckets = max(64, int(mixed.agg(F.sum("m")).first()[0] or 0) // 20_000)
+    own = own.join(bounded(mixed.select("l")), F.col("list") == F.col("l"), "left_semi")
+    dealt = own.join(lows.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("list", "rep", "side", "c", "low")
+    return dealt.withColumn("bucket", F.pmod("list", F.lit(buckets)))
+
 
-    Documents of side 0 are compared with all others of the list, those of sides 1 and 2 with the other side only.
+def _nodes(table: pa.Table):
+    """The rows of each list of a bucket: (ids, components, sides, sketches, order in the table)."""
+    ids, of, comp = table["rep"].to_numpy(), table["list"].to_numpy(), table["c"].to_numpy()
+    side = table["side"].to_numpy()
+    order = np.lexsort((ids, of))
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(of[order])) + 1, [len(of)])) if len(of) else np.zeros(1, np.int64)
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        own = order[lo:hi]
+        yield ids[own], comp[own], side[own], own
+
+
+def _compare(lists: DataFrame, lows: DataFrame, links: _Links, least: float, sure: float) -> DataFrame:
+    """Pairs (a, b, est) that most likely connect the documents of lists (list, rep, side), fewer than two a document.
 
-    Pairs of different components, as links knows them, with an estimate of at least ``least``: all of them, or with ``sure``
-    those to be confirmed first.
+    Documents of side 0 are compared with all others of the list, those of sides 1 and 2 with the other side only.
     """
-    own = materialize(links.label(lists, "rep", "c"))
-    mixed = own.groupBy(F.col("list").alias("l")).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("l")
-    own = own.join(mixed, F.col("list") == F.col("l"), "left_semi")
-    dealt = own.join(lows.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("list", "rep", "side", "c", "low")
-    dealt = dealt.withColumn("bucket", F.pmod("list", F.lit(1024)))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("list", "ascending"), ("rep", "ascending")])
-        ids, of, comp = table["rep"].to_numpy(), table["list"].to_numpy(), table["c"].to_numpy()
-        low, side = _matrix(table["low"], np.uint8), table["side"].to_numpy()
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)]))
-        size = np.diff(cut)
-        two = cut[:-1][size == 2]
-        est = _agreement(low[two], low[two + 1])
-        good = (est >= least) & (comp[two] != comp[two + 1]) & ((side[two] == 0) | (side[two] != side[two + 1]))
-        out = [(ids[two[good]], ids[two[good] + 1], est[good])]
-        for at, m in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            i, j, est = _near(low[at : at + m], comp[at : at + m], side[at : at + m], least)
-            if len(i) and sure is not None:
-                keep = _forest(m, i, j, est, sure)
-                i, j, est = i[keep], j[keep], est[keep]
-            out.append((ids[at + i], ids[at + j], est))
+        low = _matrix(table["low"], np.uint8)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for ids, comp, side, own in _nodes(table):
+            i, j, est = _near(low[own], comp, side, least)
+            if len(i):
+                keep = _proposals(len(ids), i, j, est, sure)
+                out.append((ids[i[keep]], ids[j[keep]], est[keep]))
         columns = [np.concatenate(c) for c in zip(*out)]
         return pa.table({"a": columns[0], "b": columns[1], "est": columns[2]})
 
-    return dealt.groupBy("bucket").applyInArrow(run, "a long, b long, est double").distinct()
+    return _dealt(lists, lows, links).groupBy("bucket").applyInArrow(run, "a long, b long, est double").distinct()
+
+
+def _close(lists: DataFrame, lows: DataFrame, links: _Links, least: float) -> DataFrame:
+    """The documents (list, rep, side, c) that still have a partner in another component with an estimate of at least ``least``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low, keep = _matrix(table["low"], np.uint8), [np.zeros(0, np.int64)]
+        for _, comp, side, own in _nodes(table):
+            i, j, _ = _near(low[own], comp, side, least)
+            keep.append(own[np.unique(np.concatenate((i, j)))])
+        return table.select(["list", "rep", "side", "c"]).take(pa.array(np.concatenate(keep)))
+
+    return _dealt(lists, lows, links).groupBy("bucket").applyInArrow(run, "list long, rep long, side int, c long")
+
+
+def _united(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) on full sets that join the components of a node: a pair is intersected unless links found before join it."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    at = np.cumsum(size) - size
+    # Components by number, the largest last: among its documents nothing is left to compare.
+    names, label, n = np.unique(comp, return_inverse=True, return_counts=True)
+    order = np.argsort(label == n.argmax(), kind="stable")
+    mark, out = np.zeros(int(flat.max()) + 1, dtype=bool), []
+    label = label.astype(np.int64)
+    for i in order[: len(order) - n.max()].tolist():
+        if (label == label[i]).all():
+            break
+        own = flat[at[i] : at[i] + size[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[flat].astype(np.int32), at)
+        mark[own] = False
+        near = 100 * both >= percent * (size + size[i] - both)
+        near &= (label != label[i]) & ((side == 0) | (side[i] == 0) | (side != side[i]))
+        for j in np.flatnonzero(near).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
 
 
 def _near(low: np.ndarray, comp: np.ndarray, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs i < j of different components, and of different sides if any, with an estimate of at least ``least``."""
+    if len(comp) == 2:  # by far the most lists
+        est = _agreement(low[:1], low[1:])
+        keep = (est >= least) & (comp[0] != comp[1]) & ((side[0] == 0) | (side[0] != side[1]))
+        return np.zeros(int(keep.sum()), np.int64), np.ones(int(keep.sum()), np.int64), est[keep]
     names, index, n = np.unique(comp, return_inverse=True, return_counts=True)
     # Documents of the largest component come last: among themselves they need no comparison.
     order = np.argsort(index == n.argmax(), kind="stable")
@@ -301,18 +334,19 @@ def _blocks(nodes: DataFrame, block: int = 1024) -> DataFrame:
     return dealt.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("list"), "rep", side.alias("side"))
 
 
-def _hub_links(large: DataFrame, lows: DataFrame, hubs: int, least: float, sure: float) -> DataFrame:
+def _hub_links(large: DataFrame, lows: DataFrame, hubs: int, least: float, sure: float, seed: int) -> DataFrame:
     """Candidate links (a, b, est) of documents (key, rep, c) in large nodes with hubs of other components.
 
-    Each component of a node has about equally many hubs. Members go in chunks, each of which meets all hubs of its node.
+    Each component of a node has about equally many hubs. Which documents are hubs follows from the document and the level alone, so the
+    nodes of a group in different trees mostly propose the same links. Members go in chunks, each of which meets all hubs of its node.
     """
     counts = large.groupBy(F.col("key").alias("k"), F.col("c").alias("kc")).agg(F.count(F.lit(1)).alias("m"))
-    nodes = counts.groupBy(F.col("k").alias("key")).agg(F.count(F.lit(1)).alias("n_c"), F.ceil(F.sum("m") / 2000).alias("chunks")).where("n_c > 1")
+    nodes = counts.groupBy(F.col("k").alias("key")).agg(F.count(F.lit(1)).alias("n_c"), F.ceil(F.sum("m") / 1000).alias("chunks")).where("n_c > 1")
     shares = counts.join(nodes, F.col("k") == F.col("key")).select("k", "kc", "m", "n_c", "chunks")
     dealt = large.join(shares, (F.col("key") == F.col("k")) & (F.col("c") == F.col("kc")))
     dealt = dealt.join(lows.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"))
     dealt = materialize(dealt.select("key", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), "rep", "c", "low", "m", "n_c", "chunks"))
-    chance = F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30))
+    chance = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30))
     hub = dealt.where(chance < F.lit(hubs * float(1 << 30)) / F.col("n_c") / F.col("m"))
     hub = hub.select(F.col("key").alias("hk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("hc"), F.col("rep").alias("hrep"), F.col("c").alias("hcomp"), F.col("low").alias("hs"))
     own = dealt.select("key", "chunk", "rep", "c", "low")
@@ -342,9 +376,6 @@ def _grow(least: float, sure: float):
             every = np.arange(len(ids))
             best = est.argmax(axis=1)
             link(every, best)
-            if len(names) > 1:  # a second hub, should the first not be confirmed
-                second = np.argpartition(-est, 1, axis=1)[:, :2]
-                link(every, np.where(second[:, 0] == best, second[:, 1], second[:, 0]))
             # And each hub's best documents, or a hub that is nobody's best would stay alone.
             for j in range(len(names)):
                 mine = np.argpartition(-est[:, j], min(1, len(ids) - 1))[:2]
@@ -385,11 +416,11 @@ def _tree(n: int, a: np.ndarray, b: np.ndarray, est: np.ndarray) -> np.ndarray:
 
 
 class _Links:
-    """Links that hold on full sets, the components they make, and which pairs were compared."""
+    """Links that hold on full sets, and the components they make."""
 
     def __init__(self, rows: DataFrame, words: int, percent: int):
         self.rows, self.words, self.percent = rows, words, percent
-        self.stars, self.tried = None, []
+        self.stars = None
 
     def labels(self, spark) -> DataFrame:
         """(v, component) for each document that isn't the smallest of its component."""
@@ -399,40 +430,58 @@ class _Links:
         """df with the component of a column's documents."""
         if self.stars is None:
             return df.withColumn(name, F.col(column))
-        of = self.stars.select(F.col("v").alias("_v"), F.col("component").alias("_c"))
+        of = bounded(self.stars.select(F.col("v").alias("_v"), F.col("component").alias("_c")))
         return df.join(of, F.col(column) == F.col("_v"), "left").withColumn(name, F.coalesce("_c", column)).drop("_v", "_c")
 
-    def between(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that no confirmed links join and that were not compared."""
-        out = self.label(self.label(pairs, "a", "ca"), "b", "cb").where("ca <> cb").drop("ca", "cb")
-        for t in self.tried:
-            out = out.join(t.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(r, text) of the ids (r) that occur in a table."""
+        ids = materialize(ids.distinct())
+        out = materialize(self.rows.join(bounded(ids), F.col("id") == F.col("r")).select("r", "text").dropDuplicates(["r"]))
+        discard(ids)
         return out
 
     def confirm(self, found: DataFrame) -> None:
-        """Compare candidates (a, b, est) on full sets: each document's best one, then all others between components that remain."""
-        found = materialize(self.between(found.groupBy("a", "b").agg(F.max("est").alias("est"))))
-        ends = found.select(F.col("a").alias("r")).unionByName(found.select(F.col("b").alias("r"))).distinct()
-        texts = materialize(self.rows.join(ends, F.col("id") == F.col("r")).select("r", "text").dropDuplicates(["r"]))
-        both = found.select("a", "b", "est").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
-        best = both.groupBy("a").agg(F.max(F.struct("est", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-        self._add(best, texts)
-        self._add(self.between(found.select("a", "b")), texts)
+        """Compare candidates (a, b), about one a document, on full sets."""
+        found = materialize(found.select("a", "b").distinct())
+        texts = self.texts(found.select(F.explode(F.array("a", "b")).alias("r")))
+        self.add(_verify(found, texts, self.words, self.percent))
         discard(texts)
         discard(found)
 
-    def _add(self, pairs: DataFrame, texts: DataFrame) -> None:
-        pairs = materialize(pairs)
-        if pairs.isEmpty():
-            return
-        self.tried.append(pairs)
-        true = materialize(_verify(pairs, texts, self.words, self.percent))
-        if true.isEmpty():
-            return
-        old, edges = self.stars, true
-        if old is not None:
-            edges = edges.unionByName(old.select(F.col("component").alias("a"), F.col("v").alias("b")))
-        self.stars = components(edges)
+    def within(self, members: DataFrame) -> None:
+        """Compare the documents (list, rep, side, c) of each list on full sets, every pair that links found so far don't join."""
+        members = materialize(members)
+        texts = self.texts(members.select(F.col("rep").alias("r")))
+        own = members.join(texts, F.col("rep") == F.col("r")).select("list", "rep", "side", "c", "text")
+        weight = members.join(texts.select("r", F.octet_length("text").alias("w")), F.col("rep") == F.col("r")).agg(F.sum("w")).first()[0]
+        buckets = max(64, int(weight or 0) // (8 << 20))
+        words, percent = self.words, self.percent
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            ids = table["rep"].to_numpy()
+            first = np.unique(ids, return_index=True)[1]
+            text = table["text"].combine_chunks().cast(pa.string()) if len(ids) else pa.array([], pa.string())
+            texts_here = text.take(pa.array(first))
+            sets = dict(zip(ids[first].tolist(), shingle_sets(texts_here, words)))
+            found = []
+            for names, comp, side, _ in _nodes(table):
+                if len(names) > 1:
+                    found += _united(names, comp, side, [sets[r] for r in names.tolist()], percent)
+            return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+        dealt = own.withColumn("bucket", F.pmod("list", F.lit(buckets)))
+        self.add(dealt.groupBy("bucket").applyInArrow(run, "a long, b long").distinct())
+        discard(texts)
+        discard(members)
+
+    def add(self, links: DataFrame) -> None:
+        true = materialize(links)
+        if not true.isEmpty():
+            edges, old = true, self.stars
+            if old is not None:
+                edges = edges.unionByName(old.select(F.col("component").alias("a"), F.col("v").alias("b")))
+            self.stars = components(edges)
         discard(true)
 
 
@@ -455,8 +504,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each group: that of the smallest id, once. The columns stay."""
-    kept = group(docs, id_col, text_col, **options).where("kept")
-    unique = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    stay = unique.join(kept.select(F.col(id_col).alias("_kept")).where("_kept is not null").distinct(), unique[id_col] == F.col("_kept"), "left_semi")
+    """docs with the document of the smallest id of each group. The columns stay, whatever their names.
+
+    Equal rows of that id become one; should the id have several texts, one row of each stays. Rows without an id stay.
+    """
+    name = spare(docs, "kept_id")
+    kept = group(docs, id_col, text_col, **options).where("kept").where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(name)).distinct()
+    stay = docs.join(kept, F.col(id_col).cast("long") == F.col(name), "left_semi").dropDuplicates([id_col, text_col])
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
