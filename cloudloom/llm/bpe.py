@@ -8,7 +8,7 @@
 3. A shuffle by block brings ids and positions together, and each document's ids are put in order.
 
 A row of the first shuffle is one (block, bucket) with all its words packed, so a very common word costs one
-entry a block. Buckets grow in number with the corpus, so memory is bounded by one block or one bucket.
+entry a block. Buckets grow in number with the distinct words, which are far fewer than words, so a row stays a pack of many.
 
 Decoding joins ids to the token-byte table, which is as large as the vocabulary and sent to each task.
 
@@ -168,13 +168,16 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_bytes: int = 8 << 20,
-    bucket_bytes: int = 4 << 20,
+    bucket_words: int = 20_000,
 ) -> DataFrame:
-    """(id, ids) for each row of docs. ranks: the bytes of a .tiktoken file; pattern: its pre-token pattern."""
+    """(id, ids) for each row of docs. ranks: the bytes of a .tiktoken file; pattern: its pre-token pattern.
+
+    bucket_words: distinct words to a bucket; their number is estimated over all texts, words taken at blanks.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(16, total // bucket_bytes))
+    distinct = rows.select(F.explode(F.split("text", " ")).alias("w")).agg(F.approx_count_distinct("w", 0.05)).first()[0] or 0
+    buckets = int(max(16, distinct // bucket_words))
     id_type = rows.schema["id"].dataType
     table = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
 

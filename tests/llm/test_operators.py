@@ -215,7 +215,7 @@ def test_bpe_is_the_library(docs, nothing):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = f.read()
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(ranks), special_tokens={})
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, block_bytes=3000, bucket_bytes=2000)
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, block_bytes=3000, bucket_words=300)
     want = {r.doc_id: own.encode_ordinary(r.text or "") for r in docs.collect()}
     got = bpe.decode(encoded, ranks).collect()
     assert len(got) == docs.count()
