@@ -32,6 +32,7 @@ def exact_graph(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
     """The k nearest others of each row."""
     n = len(x)
     k = min(k, n - 1)
+    x = x - x.mean(axis=0)  # far from the origin products lose the digits that tell vectors apart
     norm = (x**2).sum(axis=1)
     out = np.empty((n, k), dtype=np.int64)
     for lo in range(0, n, block):
@@ -155,6 +156,8 @@ def probes_for(router: Router, sample: np.ndarray, asked: np.ndarray, k: int, co
     place = np.empty_like(order)  # of each part, when a query would probe it
     np.put_along_axis(place, order, np.broadcast_to(np.arange(parts), order.shape), axis=1)
     k = min(k, len(sample))
+    centre = sample.mean(axis=0)
+    sample, asked = sample - centre, asked - centre
     rough = (sample**2).sum(axis=1)[None, :] - 2.0 * asked @ sample.T
     near = np.argpartition(rough, k - 1, axis=1)[:, :k]
     when = place[np.arange(len(asked))[:, None, None], homes[near]].min(axis=2)
@@ -179,15 +182,17 @@ def search(
     vector_col: str = "embedding",
     k: int = 10,
     sample_rows: int = 6000,
-    rows_per_part: int = 1500,
+    rows_per_part: int = 250,
     most_parts: int = 256,
+    rows_per_split: int = 6000,
     recall: float = 0.95,
     copies: int = 2,
     seed: int = 0,
 ) -> DataFrame:
     """(query_id, rank, id, score) of each query's k nearest found. is_query: a condition on the column ``id``.
 
-    sample_rows: the bound of the sample for the fit, drawn by hash. rows_per_part: vectors to a part, up to most_parts parts.
+    sample_rows: the bound of the sample for the fit, drawn by hash. rows_per_part: vectors to a part, up to most_parts parts; beyond that parts grow, and
+    one of more than rows_per_split vectors is answered in several tasks.
     recall: a query visits as many parts as held-back vectors (a sixth of the sample) need to find this share of their neighbours.
     """
     spark = vectors.sparkSession
@@ -222,7 +227,7 @@ def search(
     routed = "id long, v array<double>, part int"
     index = materialize(distinct.select("id", "v").mapInArrow(route(min(copies, parts)), routed))
     held = dict(index.groupBy("part").count().collect())
-    cut = [max(1, -(-held.get(p, 0) // (4 * rows_per_part))) for p in range(parts)]  # splits of each part
+    cut = [max(1, -(-held.get(p, 0) // rows_per_split)) for p in range(parts)]  # splits of each part
     splits = F.get(F.split(F.lit(",".join(map(str, cut))), ",").cast("array<int>"), F.col("part"))
     index = index.withColumn("split", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), splits).cast("int"))
     # Equal queries are one query; where(is_query) is on all ids, not on the least of a group.
@@ -234,16 +239,12 @@ def search(
         ids, out = own["id"].to_numpy(), [[], [], []]
         names = queries["id"].to_numpy()
         for lo in range(0, len(q) if len(c) else 0, 256):
-            d = _distances(q[lo : lo + 256], c)
-            for i, row in enumerate(d):
-                # k + 1: the query's own vector may be among them. All ties at the border stay.
-                top = np.arange(len(row))
-                if len(row) > k + 1:
-                    top = np.flatnonzero(row <= np.partition(row, k)[k])
-                top = top[np.lexsort((ids[top], row[top]))][: k + 1]
-                out[0] += [names[lo + i]] * len(top)
-                out[1] += ids[top].tolist()
-                out[2] += row[top].tolist()
+            # k + 1: the query's own vector may be among them.
+            for i, (top, row) in enumerate(_nearest(q[lo : lo + 256], c, k + 1)):
+                order = np.lexsort((ids[top], row))[: k + 1]
+                out[0] += [names[lo + i]] * len(order)
+                out[1] += ids[top[order]].tolist()
+                out[2] += row[order].tolist()
         return pa.table({"q": pa.array(out[0], pa.int64()), "c": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     found = asked.groupBy("part", "split").cogroup(index.groupBy("part", "split")).applyInArrow(rerank, "q long, c long, score double").distinct()
@@ -280,12 +281,24 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy().reshape(len(lists), -1)
 
 
-def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Euclidean distances; those near the top are worked out from differences, not from products."""
-    rough = np.maximum((q**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2.0 * q @ c.T, 0.0)
-    few = min(64, c.shape[0])
-    at = np.argpartition(rough, few - 1, axis=1)[:, :few]
-    out = np.full(rough.shape, np.inf)
-    exact = np.sqrt(((q[:, None, :] - c[at]) ** 2).sum(axis=2))
-    np.put_along_axis(out, at, exact, axis=1)
-    return out
+def _nearest(q: np.ndarray, c: np.ndarray, k: int):
+    """For each query the rows of c that may be among its k nearest, ties at the border included, and their Euclidean distances.
+
+    Candidates are picked by products of centred vectors, with a margin above what rounding can do to them; distances are
+    worked out from the differences of the original vectors.
+    """
+    centre = c.mean(axis=0)
+    a, b = q - centre, c - centre
+    na, nb = (a**2).sum(axis=1), (b**2).sum(axis=1)
+    rough = na[:, None] + nb[None, :] - 2.0 * a @ b.T
+    tiny, width = np.finfo(np.float64).eps, c.shape[1]
+    # Rounding of the products, and of the coordinates when they were centred.
+    moved = tiny * (np.abs(centre).max() + max(np.abs(q).max(), np.abs(c).max()))
+    for i in range(len(q)):
+        row = rough[i]
+        top = np.arange(len(row))
+        if len(row) > k:
+            border = max(0.0, np.partition(row, k - 1)[k - 1])
+            error = 8.0 * width * tiny * (na[i] + nb.max()) + 4.0 * np.sqrt(width * max(border, 0.0)) * moved + 4.0 * width * moved * moved
+            top = np.flatnonzero(row <= border + 2.0 * error + 8.0 * np.sqrt(width * error) * moved)
+        yield top, np.sqrt(((q[i] - c[top]) ** 2).sum(axis=1))
