@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .shingles import SPACE, slices
 
@@ -220,6 +221,11 @@ def _calibrate(value: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[floa
     return float(w[0] / scale), float(w[1] - w[0] * centre / scale)
 
 
+def _pieces(word: str, size: int = 64) -> list[str]:
+    """A word, or overlapping pieces of a long one, which between them hold all its subsequences of one span."""
+    return [word] if len(word) <= size else [word[i : i + size] for i in range(0, len(word) - size // 2, size // 2)]
+
+
 def fit(texts: list[str], labels: list[int], landmarks: int = 200, rounds: int = 4, random_negatives: int = 2_500, seed: int = 1) -> Model:
     """Train on texts with labels 0 or 1; the same result for the same rows in the same order.
 
@@ -236,7 +242,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 200, rounds: int =
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
     number: dict[str, int] = {}
-    sets = [sorted({number.setdefault(w.lower()[:64], len(number)) for w in _WORD.findall(t)}) for t in texts]
+    sets = [sorted({number.setdefault(p, len(number)) for w in _WORD.findall(t) for p in _pieces(w.lower())}) for t in texts]
     words = list(number)
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     flat = np.array([w for s in sets for w in s], dtype=np.int64)
@@ -333,8 +339,9 @@ def _spread(ranked: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate((top, rest[:: max(1, -(-len(rest) // max(1, n - len(top))))]))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train_docs: int = 4000) -> Model:
-    """Fit on at most max_train_docs labelled rows of each label, those first in the order of a hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train_docs: int = 4000, max_train_bytes: int = 32 << 20) -> Model:
+    """Fit on at most max_train_docs labelled rows of each label, those first in the order of a hash of their id whose texts together
+    have at most max_train_bytes: a bound on what the driver gets. Texts are taken whole or not at all."""
     named = labels.where(rows & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     named = named.where("id is not null")
     picked = None
@@ -342,6 +349,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_i
         some = named.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_train_docs)
         picked = some if picked is None else picked.unionByName(some)
     sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(F.broadcast(picked), F.col("d") == F.col("id"))
+    # At most twice max_train_docs rows; of these the texts' sizes are summed in the order of the sample.
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id", "t")
+    sample = sample.withColumn("upto", F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).over(order)).where(F.col("upto") <= max_train_bytes)
     got = sorted((r["id"], r["t"] or "", r["y"]) for r in sample.select("id", "t", "y").collect())
     return fit([t for _, t, _ in got], [y for *_, y in got])
 
