@@ -87,5 +87,28 @@ def queries() -> dict:
     return {"op1_neardup": op1_neardup, "op2_token_counts": op2_token_counts, "op3_toxicity": op3_toxicity, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op6_neighbours": op6_neighbours, "op7_quality": op7_quality, "op8_suffix": op8_suffix, "op9_pii": op9_pii, "op10_shard": op10_shard}
 
 
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+_OP1_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+ reps AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+ flat AS (SELECT rep, n, unnest(s) AS g FROM reps),
+ pairs AS (SELECT a.rep AS x, b.rep AS y, a.n + b.n AS n, count(*) AS common FROM flat a JOIN flat b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+ links AS (SELECT x, y FROM pairs WHERE 100 * common >= 75 * (n - common) UNION ALL SELECT y, x FROM pairs WHERE 100 * common >= 75 * (n - common)),
+ reach AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b),
+ comp AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c, s.doc_id) AS component_id, coalesce(c, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN reps USING (s) LEFT JOIN comp ON a = rep"""
+
+_OP7_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT doc_id, t, {_WORDS.format("t")} AS w, string_split(t, chr(10)) AS l FROM d),
+ win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM w)),
+ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS times FROM win), range(3) r(k) WHERE times > 1 GROUP BY 1),
+ ln AS (SELECT doc_id, x, len({_WORDS.format("x")}) AS words, length(x) - length(translate(x, '{quality.SYMBOLS}', '')) AS symbols, length(x) - length(translate(x, '|»›•', '')) AS marks, lower(x) AS low FROM (SELECT doc_id, unnest(l) AS x FROM w)),
+ ok AS (SELECT doc_id, sum(words) FILTER (NOT (symbols >= 0.3 * words OR marks >= 0.3 * words OR {" OR ".join(f"contains(low, '{p}')" for p in quality.BOILERPLATE)} OR (words >= 30 AND NOT regexp_matches(x, '[.!?;:…。！？]')))) AS stay, count(*) - count(DISTINCT x) AS dup FROM ln WHERE words > 0 GROUP BY 1),
+ c AS (SELECT doc_id, len(w) AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars, length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(stay, 0) AS stay FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN ok USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - stay <= 0.5 * n_words AS kept FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express on the smaller tables; of the others tests compare with brute force."""
+    return {"op1_neardup": _OP1_SQL, "op7_quality": _OP7_SQL}
