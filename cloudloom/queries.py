@@ -261,7 +261,7 @@ def hillshade(spark, d):
 
 
 # Registered when they are imported.
-from .plans import catalog, evaluation, kernels, selections  # noqa: E402, F401
+from .plans import catalog, evaluation, kernels, selections, surface  # noqa: E402, F401
 
 
 def queries() -> dict:
