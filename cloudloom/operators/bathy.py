@@ -13,26 +13,30 @@ N_WATER = 1.3333
 def interpolate(points: DataFrame, trajectory: DataFrame, bucket: float) -> DataFrame:
     """Sensor position sx, sy, sz at each point's time t, linear between trajectory records and clamped at the ends.
 
-    Segments are exploded into time buckets, so the as-of join is an equi-join on bucket and tile-sized ranges of time never
-    meet all segments. The order of the trajectory is by (t, x, y, z).
+    Segments are put into time buckets, so the as-of join is an equi-join on the bucket. Records are ordered by (t, x, y, z) inside buckets
+    only; the last record of a bucket gets the first one of the next that has any, from a table of one row a bucket.
     """
-    order = Window.orderBy("t", "x", "y", "z")
-    seg = trajectory.select("t", "x", "y", "z", *[F.lead(c).over(order).alias(c + "2") for c in ("t", "x", "y", "z")])
-    ends = trajectory.agg(
-        F.min(F.struct("t", "x", "y", "z")).alias("first"), F.max(F.struct("t", "x", "y", "z")).alias("last")
-    )
     number = lambda c: F.floor(c / F.lit(float(bucket))).cast("long")
+    at = F.struct("t", "x", "y", "z")
+    records = trajectory.select("t", "x", "y", "z").withColumn("tb", number(F.col("t")))
+    ends = trajectory.agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    # Firsts of buckets: few rows, so their order is no matter.
+    firsts = records.groupBy("tb").agg(F.min(at).alias("head"))
+    firsts = firsts.select(F.col("tb").alias("fb"), F.lead("head").over(Window.orderBy("tb")).alias("next"))
+    order = Window.partitionBy("tb").orderBy("t", "x", "y", "z")
+    seg = records.withColumn("n", F.lead(at).over(order)).join(firsts, F.col("tb") == F.col("fb")).withColumn("n", F.coalesce("n", "next"))
+    seg = seg.select("t", "x", "y", "z", *[F.col(f"n.{c}").alias(c + "2") for c in ("t", "x", "y", "z")])
     seg = seg.where("t2 > t").withColumn("b", F.explode(F.sequence(number(F.col("t")), number(F.col("t2")))))
     seg = seg.select("b", *[F.col(c).alias("g" + c) for c in ("t", "x", "y", "z", "t2", "x2", "y2", "z2")])
     keyed = points.withColumn("pb", number(F.col("t")))
     joined = keyed.join(seg, (F.col("pb") == F.col("b")) & (F.col("t") >= F.col("gt")) & (F.col("t") < F.col("gt2")), "left").crossJoin(F.broadcast(ends))
     frac = (F.col("t") - F.col("gt")) / (F.col("gt2") - F.col("gt"))
 
-    def at(axis: str) -> Column:
+    def value(axis: str) -> Column:
         inside = F.col("g" + axis) + frac * (F.col(f"g{axis}2") - F.col("g" + axis))
         return F.when(F.col("t") < F.col("first.t"), F.col(f"first.{axis}")).when(F.col("t") >= F.col("last.t"), F.col(f"last.{axis}")).otherwise(inside)
 
-    return joined.select(*[F.col(c) for c in points.columns], *[at(a).alias("s" + a) for a in "xyz"])
+    return joined.select(*[F.col(c) for c in points.columns], *[value(a).alias("s" + a) for a in "xyz"])
 
 
 def snell(points: DataFrame, n: float = N_WATER) -> DataFrame:
@@ -81,3 +85,86 @@ def crop_to_water(points: DataFrame, cells: DataFrame, size: float, tolerance: f
     keyed = sample_raster(points, cells, size).withColumns({"pr": F.floor(F.col("y") / size).cast("long"), "pc": F.floor(F.col("x") / size).cast("long")})
     inside = keyed.join(wide, (F.col("pr") == F.col("wr")) & (F.col("pc") == F.col("wc")), "left_semi")
     return inside.where(F.col("ws").isNull() | (F.col("z") <= F.col("ws") + tolerance)).drop("pr", "pc")
+
+
+def median_position(trajectory: DataFrame) -> DataFrame:
+    """One row sx, sy, sz: where the sensor is taken to be if points have no usable time."""
+    return trajectory.agg(*[F.expr(f"percentile({c}, 0.5)").alias("s" + c) for c in "xyz"])
+
+
+def with_level(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """points with ``ws``, one water level for all: the median of the raster."""
+    return points.crossJoin(F.broadcast(cells.agg(F.expr("percentile(z, 0.5)").alias("ws"))))
+
+
+def bathy_only(points: DataFrame, correct, tile: str = "tile", bathy: int = 2) -> DataFrame:
+    """correct() applied to a tile's bathymetric points if it has any, else to all of its points."""
+    is_bathy = F.col("sensor") == bathy
+    marked = points.withColumn("_any", F.max(is_bathy).over(Window.partitionBy(tile)))
+    use = is_bathy | ~F.col("_any")
+    return correct(marked.where(use)).drop("_any").unionByName(marked.where(~use).drop("_any"))
+
+
+def water_plane(points: DataFrame, share: float = 0.9, residual: float = 0.3, most: int = 200_000, seed: int = 0) -> DataFrame:
+    """One row a, b, c, level, n: a plane through the highest points, by consensus of a sample of at most ``most`` of them, drawn by hash;
+    zeros under 50 points or 20 candidates. The sample bounds what one task fits."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .clean import plane_by_consensus
+
+    cut = points.agg(F.expr(f"percentile(z, {share})").alias("_cut"), F.count(F.lit(1)).alias("_n"))
+    high = points.select("pid", "x", "y", "z").crossJoin(F.broadcast(cut)).where((F.col("z") >= F.col("_cut")) & (F.col("_n") >= 50))
+    some = high.orderBy(F.xxhash64(F.lit(seed), "pid"), "pid").limit(most).select("pid", "x", "y", "z")
+
+    def run(batches):
+        got = pa.Table.from_batches(list(batches), schema=pa.schema([("pid", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])).sort_by("pid")
+        xyz = np.stack([got[c].to_numpy() for c in "xyz"], axis=1)
+        plane = plane_by_consensus(xyz, residual, seed, 200) if len(xyz) >= 20 else None
+        if plane is None:
+            row = [0.0, 0.0, 0.0, 0.0, len(xyz)]
+        else:
+            near = np.abs(xyz[:, :2] @ plane[:2] + plane[2] - xyz[:, 2]) <= residual
+            row = [*map(float, plane), float(np.median(xyz[near, 2])) if near.any() else 0.0, len(xyz)]
+        yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(("a", "b", "c", "level", "n"), row)})
+
+    return some.coalesce(1).mapInArrow(run, "a double, b double, c double, level double, n long")
+
+
+CHAIN = ("ws_crop", "snells", "water_surface", "river_crop", "benthic")
+
+
+def chain(points: DataFrame, cells: DataFrame, size: float, steps: list[dict], trajectory: DataFrame | None = None) -> DataFrame:
+    """Steps for bathymetric points (sensor 2), in the order given; points of other sensors pass. A tile without bathymetric points
+    is left as it is, for these steps change nothing in it."""
+    from ..lineage import settle
+    from . import clean
+
+    for s in steps:
+        if s.get("type") not in CHAIN:
+            raise ValueError(f"unknown step {s.get('type')!r}")
+    wet, dry = points.where(F.col("sensor") == 2), points.where(F.coalesce(F.col("sensor") != 2, F.lit(True)))
+    for s in steps:
+        kind = s["type"]
+        if kind == "ws_crop":
+            wet = crop_to_water(wet, cells, size, s.get("tolerance", 0.5), int(s.get("steps", 0))).select(*points.columns)
+        elif kind == "snells":
+            n = s.get("n_water", N_WATER)
+            at = sample_raster(wet, cells, size, s.get("fallback", -1e9))
+            if s.get("mode") == "nadir" or trajectory is None and "sensor_position" not in s:
+                at = snell_nadir(at, n)
+            elif trajectory is not None and "t" in points.columns:
+                at = snell(interpolate(at, trajectory, s.get("bucket", 60.0)), n)
+            else:
+                spot = s.get("sensor_position") or tuple(median_position(trajectory).first())
+                at = snell(at.withColumns({f"s{c}": F.lit(float(v)) for c, v in zip("xyz", spot)}), n)
+            wet = at.select(*points.columns)
+        elif kind == "water_surface":
+            keep = clean.water_ghosts(wet, s.get("tile_length", 40.0), compat=s.get("compat", False)).where("keep")
+            wet = settle(wet.join(keep.select("pid"), "pid", "left_semi"))
+        elif kind == "river_crop":
+            wet = settle(wet.join(clean.river_corridor(wet, s.get("grid_res", 2.0), s.get("water_surface_z")).where("river").select("pid"), "pid", "left_semi"))
+        else:
+            seeded = wet.withColumn("_certain", F.expr(s["seed"]))
+            wet = settle(wet.join(clean.bed_continuity(seeded, "_certain", s.get("search_radius", 0.3), s.get("max_slope", 0.35)).where("bed").select("pid"), "pid", "left_semi"))
+    return wet.unionByName(dry)

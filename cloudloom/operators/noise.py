@@ -32,7 +32,7 @@ def low_points(points: DataFrame, radius: float, below: float, above: float, exc
     return small.join(near, F.col("pid") == F.col("p"), "left").select("pid", "z", (~F.coalesce(odd, F.lit(False))).alias("keep"))
 
 
-def statistical_outliers(points: DataFrame, k: int, ratio: float, size: float) -> DataFrame:
+def statistical_outliers(points: DataFrame, k: int, ratio: float, size: float | None = None) -> DataFrame:
     """keep: mean distance to the k nearest others at most mean + ratio * deviation over all points."""
     small = points.select("pid", "x", "y", "z")
     near = knn_join(small, small, k, size, ("x", "y", "z"))
@@ -41,7 +41,7 @@ def statistical_outliers(points: DataFrame, k: int, ratio: float, size: float) -
     return mean.crossJoin(F.broadcast(limit)).select("pid", "mean_d", (F.col("mean_d") <= F.col("top")).alias("keep"))
 
 
-def bilateral(points: DataFrame, k: int, sigma_s: float, sigma_r: float, size: float) -> DataFrame:
+def bilateral(points: DataFrame, k: int, sigma_s: float, sigma_r: float, size: float | None = None) -> DataFrame:
     """Each point moved to the mean of its neighbours, weighted by distance and by height difference."""
     small = points.select("pid", "x", "y", "z")
     near = knn_join(small, small, k, size, ("x", "y", "z"))
@@ -51,13 +51,13 @@ def bilateral(points: DataFrame, k: int, sigma_s: float, sigma_r: float, size: f
     return sums.select("pid", *[F.when(F.col("sw") > 0, F.col(f"s{d}") / F.col("sw")).otherwise(F.col(d)).alias(d) for d in "xyz"])
 
 
-def nearest_distance(points: DataFrame, size: float) -> DataFrame:
+def nearest_distance(points: DataFrame, size: float | None = None) -> DataFrame:
     """Distance to the nearest other point in XY."""
     small = points.select("pid", "x", "y")
     return knn_join(small, small, 1, size).select("pid", F.col("n_pid").alias("nearest"), F.sqrt("d2").alias("dist"))
 
 
-def low_cleanup(points: DataFrame, k: int, drop: float, size: float) -> DataFrame:
+def low_cleanup(points: DataFrame, k: int, drop: float, size: float | None = None) -> DataFrame:
     """keep: no more than ``drop`` below the median height of the k XY neighbours (one pass)."""
     small = points.select("pid", "x", "y", "z")
     near = knn_join(small, small, k, size)

@@ -76,3 +76,211 @@ def utm_to_geographic_columns(zone: int, north: bool = True) -> tuple[str, str]:
     lat = f"degrees({phi} - ({n1} * tan({phi}) / {r1}) * ({d} * {d} / 2 - (5 + 3 * {t1} + 10 * {c1} - 4 * {c1} * {c1} - {9 * ep2!r}) * power({d}, 4) / 24 + (61 + 90 * {t1} + 298 * {c1} + 45 * {t1} * {t1} - {252 * ep2!r} - 3 * {c1} * {c1}) * power({d}, 6) / 720))"
     lon = f"{zone * 6 - 183} + degrees(({d} - (1 + 2 * {t1} + {c1}) * power({d}, 3) / 6 + (5 - 2 * {c1} + 28 * {t1} - 3 * {c1} * {c1} + {8 * ep2!r} + 24 * {t1} * {t1}) * power({d}, 5) / 120) / cos({phi}))"
     return lon, lat
+
+
+def shift(points: DataFrame, dx: float, dy: float, dz: float) -> DataFrame:
+    return points.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy, "z": F.col("z") + dz})
+
+
+def apply_helmert(pairs: DataFrame, found: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
+    """pairs (sx, sy, sz) with mx, my, mz: scale, rotation and shift applied."""
+    scale, r, t = found
+    row = lambda i: sum(F.col("s" + c) * float(scale * r[i, j]) for j, c in enumerate("xyz")) + float(t[i])
+    return pairs.withColumns({"mx": row(0), "my": row(1), "mz": row(2)})
+
+
+def estimate_affine(pairs: DataFrame) -> np.ndarray:
+    """3 x 4 matrix from (sx, sy, sz) to (tx, ty, tz) by least squares: sums of products in one pass, solved about their means."""
+    s, t = ("sx", "sy", "sz"), ("tx", "ty", "tz")
+    sums = pairs.agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias("m_" + c) for c in s + t],
+        *[F.covar_pop(a, b).alias(f"{a}_{b}") for a in s for b in s + t],
+    ).first()
+    if sums["n"] < 4:
+        raise ValueError("four pairs are needed")
+    left = np.array([[sums[f"{a}_{b}"] for b in s] for a in s])
+    right = np.array([[sums[f"{a}_{b}"] for b in t] for a in s])
+    m = np.linalg.lstsq(left, right, rcond=None)[0].T
+    shift_ = np.array([sums["m_" + c] for c in t]) - m @ np.array([sums["m_" + c] for c in s])
+    return np.column_stack((m, shift_))
+
+
+def residuals(pairs: DataFrame, moved: DataFrame, key: str = "pid") -> DataFrame:
+    """(key, residual): how far each moved source lies from its target."""
+    off = sum((F.col("m" + c) - F.col("t" + c)) * (F.col("m" + c) - F.col("t" + c)) for c in "xyz")
+    return moved.select(key, F.sqrt(off).alias("residual"))
+
+
+def residual_stats(rows: DataFrame) -> DataFrame:
+    e = F.col("residual")
+    return rows.agg(
+        F.sqrt(F.avg(e * e)).alias("rmse"), *[F.expr(f"percentile(residual, {p / 100})").alias(f"p{p}") for p in (68, 95, 99)], F.max(e).alias("most"),
+    )
+
+
+def roof_summary(shifts: DataFrame) -> DataFrame:
+    """Mean shift along each axis, and median and mean of its length."""
+    length = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2)
+    own = shifts.where("dx is not null").withColumn("length", length)
+    return own.agg(F.avg("dx").alias("dx"), F.avg("dy").alias("dy"), F.avg("dz").alias("dz"), F.expr("percentile(length, 0.5)").alias("median"), F.avg("length").alias("mean"))
+
+
+def roof_shifts(corners: DataFrame, points: DataFrame, radius: float, residual: float = 0.3, tries: int = 200, seed: int = 0) -> DataFrame:
+    """(surface, dx, dy, dz, offset, n): what moves the points near a roof onto it, along the normal of their own plane, which a seeded consensus finds.
+
+    corners (surface, x, y, z), at least three a surface. With fewer than three points near, the shift is null.
+    """
+    import pyarrow as pa
+
+    sizes = corners.groupBy("surface").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("corners")).where("corners >= 3")
+    near = radius_join(sizes.select("surface", "x", "y"), points.select("x", "y", "z"), radius, ("x", "y")).select(F.col("surface").alias("near"), "n_x", "n_y", "n_z")
+
+    def run(own: pa.Table, cloud: pa.Table) -> pa.Table:
+        v = np.stack([own[c].to_numpy() for c in "xyz"], axis=1) if own.num_rows else np.zeros((0, 3))
+        p = np.stack([cloud["n_" + c].to_numpy() for c in "xyz"], axis=1) if cloud.num_rows else np.zeros((0, 3))
+        p = p[np.lexsort(p.T)]
+        out = {"surface": [], "dx": [], "dy": [], "dz": [], "offset": [], "n": []}
+        if len(v) >= 3:
+            move, offset = [None] * 3, None
+            normal = _plane_normal(p, residual, tries, seed) if len(p) >= 3 else None
+            if normal is not None:
+                offset = float(np.median((v - p.mean(axis=0)) @ normal) - np.median((p - p.mean(axis=0)) @ normal))
+                move = (-offset * normal).tolist()
+            elif len(p) >= 3:
+                offset = float(v[:, 2].mean() - np.median(p[:, 2]))
+                move = [0.0, 0.0, offset]
+            for k, x in zip(out, [own["surface"][0].as_py(), *move, offset, len(p)]):
+                out[k].append(x)
+        kinds = (own.schema.field("surface").type, pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+        return pa.table({k: pa.array(x, t) for (k, x), t in zip(out.items(), kinds)})
+
+    kind = corners.schema["surface"].dataType.simpleString()
+    schema = f"surface {kind}, dx double, dy double, dz double, offset double, n long"
+    return corners.select("surface", "x", "y", "z").groupBy("surface").cogroup(near.groupBy("near")).applyInArrow(run, schema)
+
+
+def _plane_normal(p: np.ndarray, residual: float, tries: int, seed: int) -> np.ndarray | None:
+    rng, best, most = np.random.default_rng(seed), None, 0
+    for _ in range(tries):
+        a, b, c = p[rng.choice(len(p), 3, replace=False)]
+        normal = np.cross(b - a, c - a)
+        size = np.linalg.norm(normal)
+        if size > 1e-10 and (n := int((np.abs((p - a) @ normal / size) < residual).sum())) > most:
+            best, most = np.abs((p - a) @ normal / size) < residual, n
+    if best is None or most < 3:
+        return None
+    normal = np.linalg.svd(p[best] - p[best].mean(axis=0))[2][2]
+    return normal if normal[2] >= 0 else -normal  # one of two signs, so that reruns agree
+
+
+def icp(source: DataFrame, target: DataFrame, rounds: int = 30, reach: float = 1.0, neighbours: int = 12, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """4 x 4 matrix and RMS of a point-to-plane alignment of source to target.
+
+    Normals are those of the target. Each round is one nearest-neighbour join and one pass of sums (a 6 x 6 system); only these come to the driver.
+    """
+    from ..cells import knn_join
+    from ..lineage import settle
+
+    normals = settle(_normals(target, neighbours))
+    m, before = np.eye(4), None
+    for _ in range(rounds):
+        moved = affine(source.select("pid", "x", "y", "z"), m.tolist())
+        near = knn_join(moved, normals, 1, dims=("x", "y", "z"), self_join=False).where(F.sqrt("d2") <= reach)
+        j = {"a": "y * n_nz - z * n_ny", "b": "z * n_nx - x * n_nz", "c": "x * n_ny - y * n_nx", "d": "n_nx", "e": "n_ny", "f": "n_nz"}
+        own = near.selectExpr(*[f"{v} as {k}" for k, v in j.items()], "(n_x - x) * n_nx + (n_y - y) * n_ny + (n_z - z) * n_nz as r")
+        names = list(j)
+        sums = own.agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * F.col("r")).alias("rr"),
+            *[F.sum(F.col(p) * F.col(q)).alias(p + q) for i, p in enumerate(names) for q in names[i:]], *[F.sum(F.col(p) * F.col("r")).alias(p + "r") for p in names],
+        ).first()
+        if sums["n"] < 6:
+            raise ValueError("too few points are within reach")
+        left = np.array([[sums[min(p, q) + max(p, q)] for q in names] for p in names])
+        step = np.linalg.lstsq(left, np.array([sums[p + "r"] for p in names]), rcond=None)[0]
+        a, b, c = step[:3]
+        turn = np.array([[1, -c, b], [c, 1, -a], [-b, a, 1]])
+        u, _, vt = np.linalg.svd(turn)
+        move = np.eye(4)
+        move[:3, :3], move[:3, 3] = u @ vt, step[3:]
+        m = move @ m
+        rms = math.sqrt(sums["rr"] / sums["n"])
+        if before is not None and abs(before - rms) < tolerance:
+            break
+        before = rms
+    return m, rms
+
+
+def _normals(points: DataFrame, k: int) -> DataFrame:
+    """points (pid, x, y, z) with nx, ny, nz, the upright normal of the k nearest points and the point itself."""
+    import pyarrow as pa
+
+    from ..cells import knn_join
+
+    small = points.select("pid", "x", "y", "z")
+    near = knn_join(small, small, k, dims=("x", "y", "z"))
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    sums = near.groupBy("pid", "x", "y", "z").agg(*[F.covar_pop("n_" + a, "n_" + b).alias(a + b) for a, b in pairs])
+
+    def solve(batches):
+        for batch in batches:
+            c = np.zeros((batch.num_rows, 3, 3))
+            for i, (a, b) in enumerate(pairs):
+                v = np.nan_to_num(batch.column(4 + i).to_numpy(zero_copy_only=False).astype(np.float64))
+                c[:, "xyz".index(a), "xyz".index(b)] = c[:, "xyz".index(b), "xyz".index(a)] = v
+            n = np.linalg.eigh(c)[1][:, :, 0] if batch.num_rows else np.zeros((0, 3))
+            n = np.where(n[:, 2:] < 0, -n, n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *[pa.array(np.ascontiguousarray(n[:, i])) for i in range(3)]], names=["pid", "x", "y", "z", "nx", "ny", "nz"])
+
+    return sums.mapInArrow(solve, "pid long, x double, y double, z double, nx double, ny double, nz double")
+
+
+def _zone(epsg: int) -> tuple[int, bool]:
+    """Zone and hemisphere of a UTM code: WGS 84 north 326xx and south 327xx, ETRS 89 258xx."""
+    if 32601 <= epsg <= 32660:
+        return epsg - 32600, True
+    if 32701 <= epsg <= 32760:
+        return epsg - 32700, False
+    if 25828 <= epsg <= 25838:
+        return epsg - 25800, True
+    raise ValueError(f"EPSG:{epsg} is not one of the known projections")
+
+
+def to_geographic(points: DataFrame, epsg: int) -> DataFrame:
+    """x, y as longitude and latitude."""
+    lon, lat = utm_to_geographic_columns(*_zone(epsg))
+    return points.withColumns({"_lon": F.expr(lon), "_lat": F.expr(lat)}).withColumns({"x": F.col("_lon"), "y": F.col("_lat")}).drop("_lon", "_lat")
+
+
+def to_utm(points: DataFrame, epsg: int) -> DataFrame:
+    """Longitude and latitude x, y as eastings and northings (series to the sixth order)."""
+    zone, north = _zone(epsg)
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    e2 = f * (2 - f)
+    ep2 = e2 / (1 - e2)
+    phi, lam = F.radians("y"), F.radians(F.col("x") - (zone * 6 - 183))
+    p = points.withColumns({"_s": F.sin(phi), "_c": F.cos(phi), "_t": F.tan(phi), "_phi": phi, "_lam": lam})
+    p = p.withColumns({"_n": a / F.sqrt(1 - e2 * F.col("_s") * F.col("_s")), "_t2": F.col("_t") * F.col("_t"), "_c2": ep2 * F.col("_c") * F.col("_c"), "_a": F.col("_lam") * F.col("_c")})
+    m = a * (
+        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * F.col("_phi") - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * F.col("_phi"))
+        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * F.col("_phi")) - (35 * e2**3 / 3072) * F.sin(6 * F.col("_phi"))
+    )
+    east = k0 * F.col("_n") * F.expr(f"_a + (1 - _t2 + _c2) * power(_a, 3) / 6 + (5 - 18 * _t2 + _t2 * _t2 + 72 * _c2 - {58 * ep2!r}) * power(_a, 5) / 120") + 500000.0
+    up = F.expr(f"_a * _a / 2 + (5 - _t2 + 9 * _c2 + 4 * _c2 * _c2) * power(_a, 4) / 24 + (61 - 58 * _t2 + _t2 * _t2 + 600 * _c2 - {330 * ep2!r}) * power(_a, 6) / 720")
+    north_ = k0 * (m + F.col("_n") * F.col("_t") * up) + (0.0 if north else 10000000.0)
+    return p.withColumns({"x": east, "y": north_}).drop("_s", "_c", "_t", "_phi", "_lam", "_n", "_t2", "_c2", "_a")
+
+
+def transform(points: DataFrame, source: int, target: int) -> DataFrame:
+    """x, y from one code to another, over longitude and latitude; 4326 is those themselves."""
+    if source == target:
+        return points
+    there = points if source == 4326 else to_geographic(points, source)
+    return there if target == 4326 else to_utm(there, target)
+
+
+def transform_or_keep(points: DataFrame, source: int, target: int) -> tuple[DataFrame, str | None]:
+    """Transformed points, or the points as they are with a warning if the codes aren't known."""
+    try:
+        return transform(points, source, target), None
+    except ValueError as e:
+        return points, str(e)

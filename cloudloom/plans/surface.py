@@ -23,20 +23,20 @@ def grid(spark, d):
     return means.where("(row * 7 + col) % 11 <> 0")
 
 
-CORNERS = "kc AS (SELECT pid, x, y, z, x / 40 AS fx, y / 40 AS fy, greatest(0, least(24, CAST(floor(x / 40) AS BIGINT))) AS c0, greatest(0, least(24, CAST(floor(y / 40) AS BIGINT))) AS r0 FROM pts), k4 AS (SELECT *, least(24, r0 + i) AS r, least(24, c0 + j) AS c, (CASE WHEN i = 1 THEN fy - r0 ELSE 1 - (fy - r0) END) * (CASE WHEN j = 1 THEN fx - c0 ELSE 1 - (fx - c0) END) AS w FROM kc, range(2) a(i), range(2) b(j))"
+CORNERS = "kc AS (SELECT pid, x, y, z, (x - 0.0123) / 40 AS fx, (y - 0.0457) / 40 AS fy, greatest(0, least(24, CAST(floor((x - 0.0123) / 40) AS BIGINT))) AS c0, greatest(0, least(24, CAST(floor((y - 0.0457) / 40) AS BIGINT))) AS r0 FROM pts), k4 AS (SELECT *, least(24, r0 + i) AS r, least(24, c0 + j) AS c, (CASE WHEN i = 1 THEN fy - r0 ELSE 1 - (fy - r0) END) * (CASE WHEN j = 1 THEN fx - c0 ELSE 1 - (fx - c0) END) AS w FROM kc, range(2) a(i), range(2) b(j))"
 BILINEAR = f"{GRID}, {CORNERS}, md AS (SELECT quantile_cont(z, 0.5) AS m FROM gr), sf AS (SELECT pid, any_value(k4.z) AS z, sum(w * coalesce(gr.z, m)) AS s FROM k4 CROSS JOIN md LEFT JOIN gr ON row = r AND col = c GROUP BY 1)"
 
 
-@query(f"-- ctes {BILINEAR} SELECT pid, round(s, 11) AS surface FROM sf")
+@query(f"-- ctes {BILINEAR} SELECT pid, round(s, 6) AS surface FROM sf")
 def bilinear_lookup(spark, d):
-    out = surface.bilinear(points(spark, d).select("pid", "x", "y"), grid(spark, d), SIZE, N, N)
-    return out.select("pid", _r("surface", 11))
+    out = surface.bilinear(points(spark, d).select("pid", "x", "y"), grid(spark, d), SIZE, N, N, 0.0123, 0.0457)
+    return out.select("pid", _r("surface"))
 
 
-@query(f"-- ctes {BILINEAR} SELECT pid, round(greatest(0.0, least(100.0, z - s)), 11) AS hag FROM sf")
+@query(f"-- ctes {BILINEAR} SELECT pid, round(greatest(0.0, least(100.0, z - s)), 6) AS hag FROM sf")
 def height_above_ground(spark, d):
-    out = surface.bilinear(points(spark, d).select("pid", "x", "y", "z"), grid(spark, d), SIZE, N, N)
-    return out.select("pid", F.round(arrays.height_above_ground(F.col("z"), F.col("surface")), 11).alias("hag"))
+    out = surface.bilinear(points(spark, d).select("pid", "x", "y", "z"), grid(spark, d), SIZE, N, N, 0.0123, 0.0457)
+    return out.select("pid", F.round(arrays.height_above_ground(F.col("z"), F.col("surface")), 6).alias("hag"))
 
 
 NODES = "nd AS (SELECT a.i AS row, b.j AS col, CASE WHEN (a.i * 5 + b.j) % 13 = 0 THEN NULL ELSE (a.i * a.i % 17) + b.j * 0.5E0 END AS z FROM range(21) a(i), range(21) b(j))"

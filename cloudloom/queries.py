@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .adapter import points, read
+from .adapter import gcp, points, water
 from .cells import cell, knn_join
 from .operators import basic, bathy, noise, register
 from .plans.registry import QUERIES, SQL, query
@@ -107,35 +107,35 @@ D3, D2 = "(a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)", "(a.
 @query("-- ctes " + KNN.format(d2=D2, w=120, third="", k=5) + " SELECT pid, CAST(rank AS INTEGER) AS rank, q AS nbr, round(d2, 6) AS d2 FROM k")
 def knn_xy(spark, d):
     p = points(spark, d).select("pid", "x", "y")
-    return knn_join(p, p, 5, 20).select("pid", "rank", F.col("n_pid").alias("nbr"), _r("d2"))
+    return knn_join(p, p, 5).select("pid", "rank", F.col("n_pid").alias("nbr"), _r("d2"))
 
 
 @query("-- ctes " + KNN.format(d2=D3, w=250, third=" AND abs(a.z - b.z) <= 250", k=6) + ", m AS (SELECT pid, round(avg(sqrt(d2)), 6) AS mean_d FROM k GROUP BY 1) SELECT pid, mean_d, mean_d <= (SELECT avg(mean_d) + 2.0 * stddev_pop(mean_d) FROM m) AS keep FROM m")
 def statistical_outliers(spark, d):
-    return noise.statistical_outliers(points(spark, d), 6, 2.0, 60)
+    return noise.statistical_outliers(points(spark, d), 6, 2.0)
 
 
 @query("-- ctes " + KNN.format(d2=D2, w=120, third="", k=1) + " SELECT pid, q AS nearest, round(sqrt(d2), 6) AS dist, sqrt(d2) <= 6 AS keep FROM k")
 def nearest_isolated(spark, d):
-    near = noise.nearest_distance(points(spark, d), 10)
+    near = noise.nearest_distance(points(spark, d))
     return near.select("pid", "nearest", _r("dist"), (F.col("dist") <= 6).alias("keep"))
 
 
 @query("-- ctes " + KNN.format(d2=D3, w=250, third=" AND abs(a.z - b.z) <= 250", k=6) + """, w AS (SELECT *, exp(-d2 / 800.0) * exp(-(z - bz) * (z - bz) / 200.0) AS w FROM k)
  SELECT pid, round(CASE WHEN sum(w) > 0 THEN sum(w * bx) / sum(w) ELSE any_value(x) END, 4) AS x, round(CASE WHEN sum(w) > 0 THEN sum(w * by_) / sum(w) ELSE any_value(y) END, 4) AS y, round(CASE WHEN sum(w) > 0 THEN sum(w * bz) / sum(w) ELSE any_value(z) END, 4) AS z FROM w GROUP BY 1""")
 def bilateral(spark, d):
-    return noise.bilateral(points(spark, d), 6, 20.0, 10.0, 60).select("pid", _r("x", 4), _r("y", 4), _r("z", 4))
+    return noise.bilateral(points(spark, d), 6, 20.0, 10.0).select("pid", _r("x", 4), _r("y", 4), _r("z", 4))
 
 
 @query("-- ctes " + KNN.format(d2=D2, w=120, third="", k=8) + " SELECT pid, round(quantile_cont(bz, 0.5), 6) AS mid, any_value(z) >= quantile_cont(bz, 0.5) - 1.0 AS keep FROM k GROUP BY 1")
 def low_cleanup(spark, d):
-    return noise.low_cleanup(points(spark, d), 8, 1.0, 20)
+    return noise.low_cleanup(points(spark, d), 8, 1.0)
 
 
 @query("-- ctes g AS (SELECT pid, x, y, classification FROM pts WHERE pid % 4 = 0), near AS (SELECT a.pid, b.classification AS c, row_number() OVER (PARTITION BY a.pid ORDER BY " + D2 + ", b.pid) AS rank FROM pts a JOIN g b ON abs(a.x - b.x) <= 200 AND abs(a.y - b.y) <= 200 QUALIFY rank <= 5), v AS (SELECT pid, c, count(*) AS n FROM near GROUP BY 1, 2) SELECT pid, arg_min(c, (-n, c)) AS label FROM v GROUP BY 1")
 def label_transfer(spark, d):
     p = points(spark, d).select("pid", "x", "y", "classification")
-    near = knn_join(p.select("pid", "x", "y"), p.where("pid % 4 = 0"), 5, 40, self_join=False)
+    near = knn_join(p.select("pid", "x", "y"), p.where("pid % 4 = 0"), 5, self_join=False)
     votes = near.groupBy("pid", "n_classification").count()
     return votes.groupBy("pid").agg(F.min(F.struct((-F.col("count")).alias("c"), F.col("n_classification").alias("l")))["l"].alias("label"))
 
@@ -158,11 +158,6 @@ def trajectory(p: DataFrame) -> DataFrame:
     return nth.where((F.col("i") - 1) % 100 == 0).select("t", "x", "y", (F.col("z") + 1000).alias("z"))
 
 
-def water(spark: SparkSession) -> DataFrame:
-    cells = spark.range(100).select(F.col("id").alias("row")).crossJoin(spark.range(60).select(F.col("id").alias("col")))
-    return cells.withColumn("z", F.expr("CASE WHEN (row * 7 + col) % 11 = 0 THEN NULL ELSE 200.0D + (row + col) % 7 END"))
-
-
 @query(f"-- ctes {TRAJ} SELECT pid, round(sx, 4) AS sx, round(sy, 4) AS sy, round(sz, 4) AS sz FROM pos")
 def trajectory_asof(spark, d):
     p = points(spark, d)
@@ -205,12 +200,6 @@ def snell_nadir(spark, d):
 GCP = "gcp AS (SELECT s_name AS name, (s_suppkey * 7919 % 1000) * 1.0E0 AS x, (s_suppkey * 104729 % 1000) * 1.0E0 AS y, s_acctbal % 500 AS z FROM supplier), dz AS (SELECT g.name, g.z, quantile_cont(p.z, 0.5) AS mid, stddev_pop(p.z) AS std, count(*) AS n, g.z - quantile_cont(p.z, 0.5) AS dz FROM gcp g JOIN pts p ON abs(g.x - p.x) <= 30 AND abs(g.y - p.y) <= 30 AND (g.x-p.x)*(g.x-p.x) + (g.y-p.y)*(g.y-p.y) <= 900.0 GROUP BY 1, 2)"
 
 
-def gcp(spark, d):
-    return read(spark, d, "supplier").select(
-        F.col("s_name").alias("name"), F.expr("(s_suppkey * 7919 % 1000) * 1.0D").alias("x"), F.expr("(s_suppkey * 104729 % 1000) * 1.0D").alias("y"), F.expr("s_acctbal % 500").alias("z")
-    )
-
-
 @query(f"-- ctes {GCP} SELECT name, round(mid, 6) AS mid, round(std, 6) AS std, n, round(dz, 6) AS dz FROM dz")
 def gcp_dz(spark, d):
     return register.gcp_dz(gcp(spark, d), points(spark, d), 30).select("name", _r("mid"), _r("std"), "n", _r("dz"))
@@ -261,7 +250,7 @@ def hillshade(spark, d):
 
 
 # Registered when they are imported.
-from .plans import catalog, evaluation, kernels, selections, surface  # noqa: E402, F401
+from .plans import catalog, evaluation, kernels, selections, surface, terrain  # noqa: E402, F401
 
 
 def queries() -> dict:
