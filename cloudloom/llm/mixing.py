@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, n_words
+from .common import materialize, n_words, spare
 
 
 def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None) -> np.ndarray:
@@ -167,12 +167,13 @@ def apply(docs: DataFrame, id_col: str = "doc_id", seed: int = 7, **options) ->
     """docs as the mix takes them, in whole documents: each as many times as the words taken of it hold it.
 
     A remainder becomes one more copy with the chance that it is of a whole, by a hash of the id, so reruns agree. Rows that
-    share an id get the copies of the first of them. The columns stay.
+    share an id get the copies of the first of them. The columns stay, whatever their names.
     """
     dealt = mix(docs, id_col=id_col, seed=seed, **options).dropDuplicates([id_col])
     chance = F.pmod(F.xxhash64(F.lit(seed + 3), id_col), F.lit(1 << 30)) / float(1 << 30)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(F.lit(0)).cast("int")
-    dealt = dealt.select(F.col(id_col).alias("_mix_id"), whole.alias("_mix_copies")).where("_mix_copies > 0")
-    out = docs.join(dealt, docs[id_col].eqNullSafe(F.col("_mix_id")))
-    times = F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")
-    return out.select(*[docs[c] for c in docs.columns], times).select(*[f"`{c}`" for c in docs.columns])
+    name, times, copy = (spare(docs, n) for n in ("mix_id", "mix_copies", "mix_copy"))
+    dealt = dealt.select(F.col(id_col).alias(name), whole.alias(times)).where(F.col(times) > 0)
+    out = docs.join(dealt, docs[id_col].eqNullSafe(F.col(name)))
+    every = F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)
+    return out.select(*[docs[c] for c in docs.columns], every).select(*[F.col(f"`{c}`") for c in docs.columns])
