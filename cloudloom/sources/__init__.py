@@ -1 +1 @@
-"""Part of the point-cloud engine."""
+"""Readers and writers: LAS tiles, rasters, text tables, training scenes and project folders."""

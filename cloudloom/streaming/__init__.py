@@ -1 +1 @@
-"""Part of the point-cloud engine."""
+"""Arriving strips and running statistics as streams: additions that batch jobs don't need."""
