@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 # White space as the pattern sees it, and what Python and RE2 might take for it: texts with two such
 # characters side by side, one of them a space, are matched as a whole.
 _WS = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -167,7 +169,7 @@ def encode(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 6 << 20,
     bucket_words: int = 20_000,
 ) -> DataFrame:
     """(id, ids) for each row of docs. ranks: the bytes of a .tiktoken file; pattern: its pre-token pattern.
@@ -195,6 +197,7 @@ def encode(
                     "words": pa.array([_pack([np.diff(ends[lo : hi + 1]).astype(np.int32), data[ends[lo] : ends[hi]]]) for _, lo, hi in out], pa.binary()),
                 }
             )
+        tidy()
 
     def positions_of(batches):
         for block, ids, texts in _blocks(batches, block_bytes):
@@ -210,6 +213,7 @@ def encode(
                     "places": pa.array(blobs, pa.binary()),
                 }
             )
+        tidy()
 
     def encode_bucket(group: pa.Table) -> pa.Table:
         own = _encoding_of(table.value, pattern)
@@ -247,6 +251,8 @@ def encode(
         ends = np.concatenate(([0], np.cumsum(many[sequence], dtype=np.int64)))
         offsets = ends[np.concatenate(([0], np.cumsum([len(s) for s in sequences])))]
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+        del sequences, sequence, ids, flat, starts, many, ends
+        tidy()
         return pa.table({"id": places["id"], "ids": lists})
 
     words = rows.mapInArrow(words_of, "block long, bucket int, n int, words binary")
@@ -294,5 +300,7 @@ def decode(encoded: DataFrame, ranks: bytes, ids_col: str = "ids", out_col: str
                 ends = np.concatenate(([0], np.cumsum(lengths[own])))[at[lo : hi + 1] - at[lo]]
                 out += [blob[a:b] for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, out_col])
+            del out
+        tidy()
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())]))

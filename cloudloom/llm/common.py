@@ -52,6 +52,19 @@ def discard(df: DataFrame | None) -> None:
         jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def tidy() -> None:
+    """Give free memory of this worker back: workers stay for the next stage, and what they hold on to is missing there."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def spare(df: DataFrame, name: str) -> str:
     """The name, or one like it that no column of df has."""
     taken = {c.lower() for c in df.columns}

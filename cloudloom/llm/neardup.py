@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, materialize, spare
+from .common import bounded, discard, materialize, spare, tidy
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -131,6 +131,7 @@ def group(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sk, pa.binary()), pa.array(low, pa.binary())],
                 names=["id", "n", "d1", "d2", "sketch", "low"],
             )
+        tidy()
 
     profiles = materialize(rows.mapInArrow(profile, "id long, n long, d1 long, d2 long, sketch binary, low binary"))
     filled = profiles.where("n > 0 and id is not null")
@@ -251,6 +252,7 @@ def _compare(lists: DataFrame, lows: DataFrame, links: _Links, least: float, sur
                 keep = _proposals(len(ids), i, j, est, sure)
                 out.append((ids[i[keep]], ids[j[keep]], est[keep]))
         columns = [np.concatenate(c) for c in zip(*out)]
+        tidy()
         return pa.table({"a": columns[0], "b": columns[1], "est": columns[2]})
 
     return _dealt(lists, lows, links).groupBy("bucket").applyInArrow(run, "a long, b long, est double").distinct()

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # Kinds in their order and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -413,6 +415,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
     def run(texts: pd.Series) -> pd.DataFrame:
         both = spans_of(texts.tolist(), model)
+        tidy()
         out = {f"n_{kind}": [sum(k == i for _, k, _ in base) for base, _ in both] for i, kind in enumerate(KINDS)}
         return pd.DataFrame(out | {"base": [_listed(b) for b, _ in both], "spans": [_listed(a) for _, a in both], "n_spans": [len(a) for _, a in both]})
 
@@ -434,6 +437,7 @@ def redact(docs: DataFrame, text_col: str = "text", seed: int = 5) -> DataFrame:
                     parts += [t[at:s], f"<{KINDS[k]}>"]
                 at = max(at, e)
             out.append("".join([*parts, t[at:]]) if spans else t)
+        tidy()
         return pd.Series(out, dtype=object)
 
     out = docs.withColumn(text_col, _apply(docs, text_col, run, "string"))
