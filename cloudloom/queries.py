@@ -250,7 +250,7 @@ def hillshade(spark, d):
 
 
 # Registered when they are imported.
-from .plans import catalog, evaluation, kernels, selections, surface, terrain  # noqa: E402, F401
+from .plans import catalog, evaluation, kernels, selections, storage, surface, terrain  # noqa: E402, F401
 
 
 def queries() -> dict:

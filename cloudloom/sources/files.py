@@ -9,8 +9,8 @@ from typing import BinaryIO
 
 def _store(path: str):
     """The store and the path in it, for a path with a scheme; None for a plain one."""
-    if "://" not in path or path.startswith("file://"):
-        return None, path.removeprefix("file://")
+    if "://" not in path or path.startswith("file:"):
+        return None, path.removeprefix("file://").removeprefix("file:")
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path)
