@@ -241,7 +241,7 @@ def density_normalized(spark, d):
     return inference.normalize_density(points(spark, d), "voxel", 15.0).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("x"))
 
 
-@query("-- ctes g AS (SELECT pid, x, y, z FROM pts WHERE classification = 2), n AS (SELECT a.pid, b.pid AS q, b.z AS gz, row_number() OVER (PARTITION BY a.pid ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), b.pid) AS rank FROM pts a JOIN g b ON abs(a.x - b.x) <= 150 AND abs(a.y - b.y) <= 150 WHERE a.classification <> 2 QUALIFY rank <= 3) SELECT pid, CAST(rank AS INTEGER) AS rank, q AS ground FROM n")
+@query("-- ctes g AS (SELECT pid, x, y, z FROM pts WHERE classification = 2), n AS (SELECT a.pid, b.pid AS q, b.z AS gz, row_number() OVER (PARTITION BY a.pid ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), b.pid) AS rank FROM pts a JOIN g b ON abs(a.x - b.x) <= 500 AND abs(a.y - b.y) <= 500 WHERE a.classification <> 2 QUALIFY rank <= 3) SELECT pid, CAST(rank AS INTEGER) AS rank, q AS ground FROM n")
 def ground_neighbours(spark, d):
     p = points(spark, d).select("pid", "x", "y", "z", "classification")
     near = knn_join(p.where("classification <> 2").select("pid", "x", "y"), p.where("classification = 2").select("pid", "x", "y", "z"), 3, self_join=False)
