@@ -16,7 +16,8 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    vocabulary = tokencount.load_sentencepiece(public_tokenizers.path("piece_bpe_32k.model"))
+    # No public file holds a unigram model; this one's pieces and scores serve as one.
+    vocabulary = tokencount.load_sentencepiece(public_tokenizers.path("piece_bpe_32k.model"), scores_as_unigram=True)
     return tokencount.count(read(spark, sf_dir, "documents"), vocabulary)
 
 

@@ -10,6 +10,9 @@ Texts are cut before each space that follows another character. The space mark s
 pieces (checked when a vocabulary is loaded), so no piece crosses such a cut and counts of words add up. A word's
 count is worked out once a worker, in a memo of bounded size.
 
+Counts are those of a unigram tokenizer over the same pieces and scores, a space mark put before the text and in place of each space,
+on whole texts.
+
 Defined results: a null or empty text has 0 tokens; an empty table gives an empty table; repeated rows are each
 counted; extra columns are ignored.
 """
@@ -45,10 +48,49 @@ class Vocabulary:
             raise ValueError("a piece has the space mark behind another character: words can't be counted apart")
 
 
-def load_sentencepiece(path: str) -> Vocabulary:
-    """The ordinary pieces of a sentencepiece model with their scores."""
+def _fields(message: bytes):
+    """(number, value) of a protocol buffer message's fields: integers, or bytes."""
+    i = 0
+
+    def varint() -> int:
+        nonlocal i
+        value = shift = 0
+        while True:
+            byte = message[i]
+            i += 1
+            value |= (byte & 127) << shift
+            if byte < 128:
+                return value
+            shift += 7
+
+    while i < len(message):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, message[i : i + size]
+            i += size
+
+
+def model_kind(model: bytes) -> str:
+    """The kind of a sentencepiece model: field 3 of its trainer's settings, field 2; unigram where that is left out."""
+    trainer = next((v for n, v in _fields(model) if n == 2), b"")
+    return {1: "unigram", 2: "bpe", 3: "word", 4: "char"}.get(next((v for n, v in _fields(trainer) if n == 3), 1), "unknown")
+
+
+def load_sentencepiece(path: str, scores_as_unigram: bool = False) -> Vocabulary:
+    """The ordinary pieces of a sentencepiece model with their scores.
+
+    Another kind of model than unigram is refused, for its own tokenizer doesn't choose pieces by the sum of their scores; with
+    ``scores_as_unigram`` its pieces and scores are read as a unigram vocabulary all the same, whose counts are not those of that tokenizer.
+    """
     import sentencepiece
 
+    with open(path, "rb") as f:
+        kind = model_kind(f.read())
+    if kind != "unigram" and not scores_as_unigram:
+        raise ValueError(f"{path} is a {kind} model, not a unigram one")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     own = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]

@@ -124,18 +124,23 @@ def test_last_node_is_compared_whole(spark):
 def vocabulary():
     import public_tokenizers
 
-    return tokencount.load_sentencepiece(public_tokenizers.path("piece_bpe_32k.model"))
-
-
-def test_token_counts(docs, nothing, vocabulary):
-    from tokenizers import models
-
-    own = models.Unigram([("<unk>", 0.0), *vocabulary.pieces], 0, False)
-    for r in tokencount.count(docs, vocabulary).join(docs.select("doc_id", "text"), "doc_id").distinct().collect():
-        units = re.findall(" *[^ ]+| +", " " + r.text) if r.text else []
-        pieces = [t for u in units for t in own.tokenize(u.replace(" ", "▁"))]
-        # The library fuses unknown characters; with byte fallback each is its bytes.
-        assert r.n_tokens == sum(len(t.value.encode()) if t.id == 0 else 1 for t in pieces)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with pytest.raises(ValueError, match="bpe"):
+        tokencount.load_sentencepiece(path)
+    return tokencount.load_sentencepiece(path, scores_as_unigram=True)
+
+
+def test_token_counts(spark, docs, nothing, vocabulary):
+    """Whole texts against the library's own unigram tokenizer over the same pieces, normalization included; repeated rows stay."""
+    from tokenizers import Tokenizer, models, normalizers
+
+    own = Tokenizer(models.Unigram([("<unk>", 0.0), *vocabulary.pieces, *[(f"<0x{i:02X}>", 0.0) for i in range(256)]], 0, True))
+    own.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    odd = ["", " ", "  a  b ", "a\nb\tc", "héé ñ 日本語 🙂", "ａｂｃ ﬁ", "x" * 300, " x", "\x00a", "🙂🙂 🙂", "word " * 30_000, None, "twice", "twice"]
+    texts = [r.text for r in docs.select("text").collect()] + odd
+    df = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_tokens) for r in tokencount.count(df, vocabulary).collect())
+    assert got == sorted((i % 50, len(own.encode(t, add_special_tokens=False).ids) if t else 0) for i, t in enumerate(texts))
     assert tokencount.count(nothing, vocabulary).count() == 0
 
 
