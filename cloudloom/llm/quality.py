@@ -22,6 +22,9 @@ from .common import WORD
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
+# Marks between the entries of a menu.
+NAVIGATION = "|»›•"
+
 # Phrases that mark a line as boilerplate (lower case).
 BOILERPLATE = (
     "all rights reserved",
@@ -69,9 +72,12 @@ def _count_of(text: Column, chars: str) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """Words that lie in a 3-word window found at least twice in the text, first finding included."""
+    """Words that lie in a 3-word window found at least twice in the text, first finding included.
 
-    def covered(w: Column) -> Column:
+    A text all of whose windows have different hashes has none; only others are worked out on the windows themselves.
+    """
+
+    def exactly(w: Column) -> Column:
         windows = F.transform(
             F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
         )
@@ -91,24 +97,45 @@ def repeat_words(words: Column) -> Column:
                 at = F.flatten(F.transform(hit, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
                 return F.size(F.array_distinct(at))
 
-            return F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(_let(marked, twice))
+            return _let(marked, twice)
+
+        return _let(windows, starts)
 
-        return F.when(F.size(w) < 4, F.lit(0)).otherwise(_let(windows, starts))
+    def covered(w: Column) -> Column:
+        prints = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        none = _let(prints, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+        return F.when(F.size(w) < 4, F.lit(0)).when(none, F.lit(0)).otherwise(exactly(w))
 
     return _let(words, covered).cast("long")
 
 
+_ENDS = r"[.!?;:…。！？]"
+
+
+def _boiler(low: Column) -> Column:
+    out = low.contains(BOILERPLATE[0])
+    for phrase in BOILERPLATE[1:]:
+        out = out | low.contains(phrase)
+    return out
+
+
 def line_ok(line: Column, rules: Rules = Rules()) -> Column:
     """True for a line that stays. Blank lines stay: they hold nothing to lose."""
-    words = F.regexp_count(line, F.lit(WORD))
-    symbols = _count_of(line, SYMBOLS)
-    marks = _count_of(line, "|»›•")
-    low = F.lower(line)
-    boiler = low.contains(BOILERPLATE[0])
-    for phrase in BOILERPLATE[1:]:
-        boiler = boiler | low.contains(phrase)
-    bare = (words >= rules.bare_words) & ~line.rlike(r"[.!?;:…。！？]")
-    return (words == 0) | ~((symbols >= rules.symbol_share * words) | (marks >= rules.nav_marks * words) | boiler | bare)
+
+    def judged(words: Column) -> Column:
+        symbols = _count_of(line, SYMBOLS)
+        marks = _count_of(line, NAVIGATION)
+        bare = (words >= rules.bare_words) & ~line.rlike(_ENDS)
+        return (words == 0) | ~((symbols >= rules.symbol_share * words) | (marks >= rules.nav_marks * words) | bare | _let(F.lower(line), _boiler))
+
+    return _let(F.regexp_count(line, F.lit(WORD)), judged)
+
+
+def good_lines(text: Column, lines: Column, rules: Rules = Rules()) -> Column:
+    """The lines that stay. In a text without any symbol, mark or phrase of the rules a line can only be bare, which is quick to see."""
+    plain = (_count_of(text, SYMBOLS + NAVIGATION) == 0) & ~_let(F.lower(text), _boiler)
+    full = F.filter(lines, lambda x: x.rlike(_ENDS) | (F.regexp_count(x, F.lit(WORD)) < rules.bare_words))
+    return F.when(plain, full).otherwise(F.filter(lines, lambda x: line_ok(x, rules)))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -116,7 +143,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     base = base.withColumn("_w", _words(F.col("_t"))).withColumn("_l", F.split(F.col("_t"), "\n", -1))
     full = F.filter(F.col("_l"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    good = F.filter(F.col("_l"), lambda x: line_ok(x, rules))
+    base = base.withColumn("_g", good_lines(F.col("_t"), F.col("_l"), rules))
+    whole = F.size("_g") == F.size("_l")
     counted = base.select(
         id_col,
         F.size("_w").cast("long").alias("n_words"),
@@ -124,9 +152,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
         _count_of(F.col("_t"), SYMBOLS).alias("n_symbols"),
         _let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("_w")).alias("n_repeat_words"),
-        F.array_join(good, "\n").alias("clean_text"),
+        F.when(whole, F.col("_t")).otherwise(F.array_join("_g", "\n")).alias("clean_text"),
+        F.when(whole, F.size("_w")).otherwise(F.regexp_count(F.array_join("_g", "\n"), F.lit(WORD))).cast("long").alias("n_clean_words"),
     )
-    counted = counted.withColumn("n_clean_words", F.regexp_count("clean_text", F.lit(WORD)).cast("long"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words"))
     keeps = F.col("n_words") - F.col("n_clean_words") <= rules.max_loss * F.col("n_words")
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & keeps)
