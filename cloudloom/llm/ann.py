@@ -8,7 +8,7 @@ most probable ones, as many as held-back vectors need for the recall sought, and
 
 All vectors are indexed, only the fit is on a sample. A part that is too large for one task is split by hash, and
 each split answers each query that probes it; equal vectors collapse to one row with a list of ids, of which no answer needs
-more than k, so a hot vector costs what one vector does.
+more than k, so a hot vector costs what one vector does. Vectors are told apart by 64-bit hashes when answers go back to ids.
 
 Defined results: vectors that are null, zero, of another length than the most common one, or hold null or non-finite components take no part,
 neither as queries nor as candidates; ties go to the smaller id; fewer candidates than k give fewer rows; an empty table gives an
@@ -220,41 +220,41 @@ def search(
                     x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                     at = shared.value.most_probable(x, times)
                 row = pa.array(np.repeat(np.arange(batch.num_rows), at.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns), pa.array(at.ravel().astype(np.int32))], names=["id", "v", "part"])
+                yield pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns), pa.array(at.ravel().astype(np.int32))], names=["id", "v", "h", "part"])
 
         return run
 
-    routed = "id long, v array<double>, part int"
-    index = materialize(distinct.select("id", "v").mapInArrow(route(min(copies, parts)), routed))
+    # A vector goes by the hash of its components: an id may stand for several.
+    routed = "id long, v array<double>, h long, part int"
+    index = materialize(distinct.select("id", "v", "h").mapInArrow(route(min(copies, parts)), routed))
     held = dict(index.groupBy("part").count().collect())
     cut = [max(1, -(-held.get(p, 0) // rows_per_split)) for p in range(parts)]  # splits of each part
     splits = F.get(F.split(F.lit(",".join(map(str, cut))), ",").cast("array<int>"), F.col("part"))
-    index = index.withColumn("split", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), splits).cast("int"))
+    index = index.withColumn("split", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), splits).cast("int"))
     # Equal queries are one query; where(is_query) is on all ids, not on the least of a group.
     asked = rows.where(is_query).groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-    asked = asked.select("id", "v").mapInArrow(route(many), routed).withColumn("split", F.explode(F.sequence(F.lit(0), splits - 1)))
+    asked = asked.select("id", "v", F.xxhash64("v").alias("h")).mapInArrow(route(many), routed).withColumn("split", F.explode(F.sequence(F.lit(0), splits - 1)))
 
     def rerank(queries: pa.Table, own: pa.Table) -> pa.Table:
         q, c = _matrix(queries["v"]), _matrix(own["v"])
-        ids, out = own["id"].to_numpy(), [[], [], []]
-        names = queries["id"].to_numpy()
+        ids, prints, out = own["id"].to_numpy(), own["h"].to_numpy(), [[], [], [], []]
+        names = queries["h"].to_numpy()
         for lo in range(0, len(q) if len(c) else 0, 256):
             # k + 1: the query's own vector may be among them.
             for i, (top, row) in enumerate(_nearest(q[lo : lo + 256], c, k + 1)):
                 order = np.lexsort((ids[top], row))[: k + 1]
                 out[0] += [names[lo + i]] * len(order)
-                out[1] += ids[top[order]].tolist()
-                out[2] += row[order].tolist()
-        return pa.table({"q": pa.array(out[0], pa.int64()), "c": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+                out[1] += prints[top[order]].tolist()
+                out[2] += ids[top[order]].tolist()
+                out[3] += row[order].tolist()
+        return pa.table({"q": pa.array(out[0], pa.int64()), "c": pa.array(out[1], pa.int64()), "least": pa.array(out[2], pa.int64()), "score": pa.array(out[3], pa.float64())})
 
-    found = asked.groupBy("part", "split").cogroup(index.groupBy("part", "split")).applyInArrow(rerank, "q long, c long, score double").distinct()
-    best = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "c"))), 1, k + 1).alias("top"))
+    found = asked.groupBy("part", "split").cogroup(index.groupBy("part", "split")).applyInArrow(rerank, "q long, c long, least long, score double").distinct()
+    best = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "least", "c"))), 1, k + 1).alias("top"))
     best = materialize(best)
-    # Back from representatives to all ids: of a group of equal vectors at most the k + 1 smallest are ever needed.
+    # Back from vectors to all ids: of a group of equal vectors at most the k + 1 smallest are ever needed.
     ends = best.select(F.explode("top").alias("t")).select(F.col("t.c").alias("rep")).distinct()
-    named = distinct.select("id", "v", "h").join(ends, F.col("id") == F.col("rep")).select("rep", F.col("v").alias("rv"), F.col("h").alias("rh"))
-    hashed = rows.withColumn("h", F.xxhash64("v"))
-    members = hashed.join(named, (F.col("h") == F.col("rh")) & (F.col("v") == F.col("rv"))).select("rep", "id")
+    members = rows.select("id", F.xxhash64("v").alias("h")).join(ends, F.col("h") == F.col("rep")).select("rep", "id")
     # The limit works inside each task before rows are shuffled, so a hot vector sends a few ids from each.
     order = Window.partitionBy("rep").orderBy("id")
     members = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
@@ -262,9 +262,7 @@ def search(
     wide = best.select("q", F.explode("top").alias("t")).select("q", "t.score", "t.c")
     wide = wide.join(members, F.col("c") == F.col("rep")).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "ids"))).alias("top"))
     # Each query with its own answer: a row less that of itself.
-    asked_by = rows.where(is_query).withColumn("h", F.xxhash64("v")).select("id", "v", "h")
-    reps = rows.where(is_query).groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).select(F.col("rep"), F.col("v").alias("rv"), F.xxhash64("v").alias("rh"))
-    own = asked_by.join(reps, (F.col("h") == F.col("rh")) & (F.col("v") == F.col("rv"))).select(F.col("id").alias("query_id"), "rep").distinct()
+    own = rows.where(is_query).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("rep")).distinct()
     flat = F.flatten(F.transform("top", lambda t: F.transform(t["ids"], lambda i: F.struct(t["score"].alias("score"), i.alias("id")))))
     answer = own.join(wide, F.col("rep") == F.col("q")).select("query_id", F.sort_array(flat).alias("all"))
     answer = answer.select("query_id", F.slice(F.filter("all", lambda t: t["id"] != F.col("query_id")), 1, k).alias("all"))
