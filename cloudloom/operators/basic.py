@@ -49,6 +49,33 @@ def thin_average(points: DataFrame, size: float) -> DataFrame:
     return near.groupBy("row", "col").agg(F.min(F.struct(F.round(d2, 6).alias("d"), F.col("pid").alias("pid")))["pid"].alias("pid"))
 
 
+def effective_density(points: DataFrame, size: float = 1.0) -> DataFrame:
+    """One row: points to an occupied cell, and to an area of the box."""
+    cells = points.groupBy(cell("x", size), cell("y", size)).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(k + c) for c in "xy" for k, f in (("lo_", F.min), ("hi_", F.max))])
+    area = (F.max("hi_x") - F.min("lo_x")) * (F.max("hi_y") - F.min("lo_y"))
+    return cells.agg((F.sum("n") / (F.count(F.lit(1)) * size * size)).alias("density"), (F.sum("n") / area).alias("by_box"))
+
+
+def intensity_scale(points: DataFrame, share: float = 0.97, least: float = 1.0, default: float = 65535.0) -> DataFrame:
+    """One row: the intensity that stands for full scale."""
+    return points.agg(F.coalesce(F.greatest(F.lit(least), F.expr(f"percentile(intensity, {share})")), F.lit(default)).alias("scale"))
+
+
+def block_overlap(points: DataFrame, stride: float, times: int = 2) -> DataFrame:
+    """(bx, by, n): points of blocks of ``times`` strides that begin every stride, so that a point is in times squared of them."""
+    back = F.array(*[F.lit(-i) for i in range(times)])
+    own = points.select(cell("x", stride).alias("cx"), cell("y", stride).alias("cy")).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))  # cells first, then blocks
+    spread = own.withColumn("i", F.explode(back)).withColumn("j", F.explode(back))
+    return spread.groupBy((F.col("cx") + F.col("i")).alias("bx"), (F.col("cy") + F.col("j")).alias("by")).agg(F.sum("n").alias("n"))
+
+
+def voxel_fragment(points: DataFrame, size: float, fragment: int, dims: str = "xy") -> DataFrame:
+    """points with i and n, of each cell the fragment-th of its n points by id, in a circle."""
+    own = Window.partitionBy(*[cell(c, size) for c in dims])
+    numbered = points.withColumns({"i": F.row_number().over(own.orderBy("pid")).cast("long") - 1, "n": F.count(F.lit(1)).over(own)})
+    return numbered.where(F.col("i") == F.lit(fragment) % F.col("n"))
+
+
 def last_returns(points: DataFrame) -> DataFrame:
     """Last returns of tiles that have multiple returns; of tiles with fewer than three of them, all points."""
     own = Window.partitionBy("tile")

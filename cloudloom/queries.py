@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .adapter import gcp, points, water
-from .cells import cell, knn_join
+from .cells import knn_join
 from .operators import basic, bathy, noise, register
 from .plans.registry import QUERIES, SQL, query
 from .plans.registry import rounded as _r
@@ -72,15 +72,12 @@ def tile_catalog(spark, d):
 
 @query("SELECT round(count(*) / count(DISTINCT (floor(x), floor(y))), 6) AS density, round(count(*) / ((max(x) - min(x)) * (max(y) - min(y))), 9) AS by_box FROM pts")
 def effective_density(spark, d):
-    p = points(spark, d)
-    occupied = p.groupBy(cell("x", 1), cell("y", 1)).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(k + c) for c in "xy" for k, f in (("lo_", F.min), ("hi_", F.max))])
-    area = (F.max("hi_x") - F.min("lo_x")) * (F.max("hi_y") - F.min("lo_y"))
-    return occupied.agg(F.round(F.sum("n") / F.count(F.lit(1)), 6).alias("density"), F.round(F.sum("n") / area, 9).alias("by_box"))
+    return basic.effective_density(points(spark, d)).select(_r("density"), _r("by_box", 9))
 
 
 @query("SELECT greatest(1.0, quantile_cont(intensity, 0.97)) AS scale FROM pts")
 def intensity_scale(spark, d):
-    return points(spark, d).agg(F.greatest(F.lit(1.0), F.expr("percentile(intensity, 0.97)")).alias("scale"))
+    return basic.intensity_scale(points(spark, d))
 
 
 # Spatial joins and noise filters
@@ -228,18 +225,13 @@ def affine_apply(spark, d):
 
 @query("SELECT CAST(bx AS BIGINT) AS bx, CAST(by_ AS BIGINT) AS by_, count(*) AS n FROM pts, (SELECT unnest([0, -1]) AS i), (SELECT unnest([0, -1]) AS j), LATERAL (SELECT floor(x / 25) + i AS bx, floor(y / 25) + j AS by_) GROUP BY 1, 2")
 def block_overlap(spark, d):
-    p = points(spark, d).select(cell("x", 25).alias("cx"), cell("y", 25).alias("cy"))
-    both = F.array(F.lit(0), F.lit(-1))
-    spread = p.withColumn("i", F.explode(both)).withColumn("j", F.explode(both))
-    return spread.groupBy((F.col("cx") + F.col("i")).alias("bx"), (F.col("cy") + F.col("j")).alias("by_")).agg(F.count(F.lit(1)).alias("n"))
+    return basic.block_overlap(points(spark, d), 25).withColumnRenamed("by", "by_")
 
 
 @query("""-- ctes v AS (SELECT pid, row_number() OVER (PARTITION BY floor(x / 50), floor(y / 50) ORDER BY pid) - 1 AS i, count(*) OVER (PARTITION BY floor(x / 50), floor(y / 50)) AS n FROM pts)
 SELECT pid, i, n FROM v WHERE i = 3 % n""")
 def voxel_fragment(spark, d):
-    own = Window.partitionBy(cell("x", 50), cell("y", 50))
-    v = points(spark, d).withColumns({"i": F.row_number().over(own.orderBy("pid")).cast("long") - 1, "n": F.count(F.lit(1)).over(own)})
-    return v.where(F.col("i") == F.lit(3) % F.col("n")).select("pid", "i", "n")
+    return basic.voxel_fragment(points(spark, d), 50, 3).select("pid", "i", "n")
 
 
 @query("-- ctes c AS (SELECT CAST(floor(y / 20) AS BIGINT) AS row, CAST(floor(x / 20) AS BIGINT) AS col, max(z) AS z FROM pts WHERE classification IN (2,3,4,5,6) GROUP BY 1, 2), s AS (SELECT round(avg(z), 6) AS m, min(row) AS r0, max(row) AS r1, min(col) AS k0, max(col) AS k1 FROM c), n AS (SELECT a.row, a.col, m, r0, r1, k0, k1, " + ", ".join(
