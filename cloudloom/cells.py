@@ -41,16 +41,30 @@ def radius_join(probe: DataFrame, build: DataFrame, radius: float, dims: tuple[s
     return joined.drop(*[f"c{i}" for i in range(len(dims))], *[f"b{i}" for i in range(len(dims))])
 
 
-def _first_edge(build: DataFrame, k: int, dims: tuple[str, ...]) -> tuple[float, float]:
-    """A cell edge at which a cell and its neighbours hold a few times k rows if they lie evenly, and the widest extent."""
+def _first_edge(build: DataFrame, k: int, dims: tuple[str, ...], tries: int = 3) -> tuple[float, float]:
+    """A cell edge at which most points find k others within one edge, and the widest extent.
+
+    From even density at first, then fitted to the number of points in the cell of the median point: clouds are dense in few places.
+    """
     row = build.agg(F.count(F.lit(1)), *[F.max(d) - F.min(d) for d in dims]).first()
     extents = [float(v) for v in row[1:] if v]
     if not extents:
         return 1.0, 0.0
-    volume, n_dims = 1.0, len(extents)
+    volume, n_dims, widest = 1.0, len(extents), max(extents)
     for e in extents:
         volume *= e
-    return max((volume * (k + 1) / row[0]) ** (1.0 / n_dims), max(extents) * 1e-9), max(extents)
+    # Points within one edge of a point, for each point a cell has: the ball's share of a cube.
+    wanted = 1.5 * (k + 1) / {1: 2.0, 2: 3.14}.get(n_dims, 4.19)
+    edge = max((volume * wanted / row[0]) ** (1.0 / n_dims), widest * 1e-9)
+    for _ in range(tries):
+        cells = build.groupBy(*[F.floor(F.col(d) / F.lit(edge)) for d in dims]).agg(F.count(F.lit(1)).alias("n"))
+        there = cells.agg(F.expr("percentile(n, 0.5, n)")).first()[0]
+        if there is None or wanted / 1.5 <= there <= wanted * 1.5:
+            break
+        edge = min(widest, max(edge * min(8.0, max(0.125, (wanted / there) ** (1.0 / n_dims))), widest * 1e-9))
+        if there <= 1 and edge >= widest / 4:
+            break
+    return edge, widest
 
 
 def knn_join(probe: DataFrame, build: DataFrame, k: int, size: float | None = None, dims: tuple[str, ...] = ("x", "y"), key: str = "pid", self_join: bool = True, prefix: str = "n_", by: str | None = None) -> DataFrame:
