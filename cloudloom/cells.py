@@ -92,10 +92,11 @@ def knn_join(probe: DataFrame, build: DataFrame, k: int, size: float | None = No
         near = near.drop(*[f"c{i}" for i in range(len(dims))], *[f"b{i}" for i in range(len(dims))])
         if step > widest:
             return near if done is None else done.unionByName(near)
-        near = settle(near)  # read twice here and again by the next round
-        settled = near.groupBy(key).agg(F.max("d2").alias("far"), F.count(F.lit(1)).alias("have"))
-        settled = settled.where((F.col("have") >= k) & (F.col("far") <= F.lit(step * step))).select(F.col(key).alias("settled"))
-        found = near.join(settled, F.col(key) == F.col("settled"), "left_semi")
+        # Whether a row is settled shows in its own k rows, which lie together here.
+        own = Window.partitionBy(key)
+        near = near.withColumns({"_far": F.max("d2").over(own), "_have": F.count(F.lit(1)).over(own)})
+        found = settle(near.where((F.col("_have") >= k) & (F.col("_far") <= F.lit(step * step))).drop("_far", "_have"))
+        settled = found.where("rank = 1").select(F.col(key).alias("settled"))
         todo = settle(todo.join(settled, F.col(key) == F.col("settled"), "left_anti"))
         done = found if done is None else done.unionByName(found)
         if todo.isEmpty():
