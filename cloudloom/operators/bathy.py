@@ -128,7 +128,9 @@ def water_plane(points: DataFrame, share: float = 0.9, residual: float = 0.3, mo
             row = [*map(float, plane), float(np.median(xyz[near, 2])) if near.any() else 0.0, len(xyz)]
         yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(("a", "b", "c", "level", "n"), row)})
 
-    return some.coalesce(1).mapInArrow(run, "a double, b double, c double, level double, n long")
+    fitted = some.coalesce(1).mapInArrow(run, "a double, b double, c double, level double, n long")
+    # Without candidates there may be no task at all.
+    return fitted.agg(*[F.coalesce(F.first(c), F.lit(0).cast(t)).alias(c) for c, t in fitted.dtypes])
 
 
 CHAIN = ("ws_crop", "snells", "water_surface", "river_crop", "benthic")
