@@ -47,9 +47,13 @@ def discard(df: DataFrame | None) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_cloudloom_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+        drop_folder(df.sparkSession, path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own in the shared one."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def tidy() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, neardup, pii, quality, sharding, suffixdedup, tokencount, toxicity
+from . import ann, bpe, exactdedup, hardneg, merkle, mixing, neardup, pii, quality, sharding, suffixdedup, tokencount, toxicity
 from .common import read
 
 
@@ -84,8 +84,33 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.dedup(read(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(wrong, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    proof = F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256")
+    whole = merkle.manifest(read(spark, sf_dir, "documents"), tampered=("n_chars", tampered))
+    return whole.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform("embedding", lambda x: x.cast("double") * 256)  # mine() takes the floor
+    return hardneg.mine(rows.select("vec_id", label.alias("label"), scaled.alias("embedding")), F.col("id") % 100 == 0)
+
+
+_QUERIES = (
+    op1_neardup, op2_token_counts, op3_toxicity, op4_mix, op5_bpe, op6_neighbours, op7_quality, op8_suffix, op9_pii, op10_shard,
+    op11_exact, op12_manifest, op13_hard_negatives,
+)
+
+
 def queries() -> dict:
-    return {"op1_neardup": op1_neardup, "op2_token_counts": op2_token_counts, "op3_toxicity": op3_toxicity, "op4_mix": op4_mix, "op5_bpe": op5_bpe, "op6_neighbours": op6_neighbours, "op7_quality": op7_quality, "op8_suffix": op8_suffix, "op9_pii": op9_pii, "op10_shard": op10_shard}
+    return {q.__name__: q for q in _QUERIES}
 
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -110,6 +135,40 @@ _OP7_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - stay <= 0.5 * n_words AS kept FROM c"""
 
 
+_OP11_SQL = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+_PART = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+_OP12_SQL = f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS t),
+ d AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) % 7 = 0 AS wrong FROM documents, crc),
+ leaf AS (SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS h, {_LEAF.format(n="(n_chars + CASE WHEN wrong THEN 1 ELSE 0 END)")} AS now FROM d),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+ nodes AS (SELECT lang, 0 AS level, pos, h, n FROM placed UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2),
+ subs AS (SELECT lang, level AS depth, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM nodes WHERE n = 1),
+ top AS (SELECT 0 AS level, tree AS pos, h, (SELECT count(*) FROM subs) AS n FROM subs UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY level, pos // 2),
+ root AS (SELECT level AS depth, h FROM top WHERE n = 1),
+ own AS (SELECT p.lang, p.pos, l, (p.pos >> l) % 2 AS side, s.h FROM placed p JOIN subs ON p.lang IS NOT DISTINCT FROM subs.lang, unnest(range(depth)) u(l)
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = l AND s.pos = xor(p.pos >> l, 1)),
+ beyond AS (SELECT tree, l, (tree >> l) % 2 AS side, s.h FROM subs, unnest(range((SELECT depth FROM root))) u(l) LEFT JOIN top s ON s.level = l AND s.pos = xor(tree >> l, 1)),
+ step AS (SELECT lang, pos, l, side, h FROM own UNION ALL SELECT p.lang, pos, 1000 + l, side, b.h FROM placed p JOIN subs s ON p.lang IS NOT DISTINCT FROM s.lang JOIN beyond b USING (tree)),
+ path AS (SELECT lang, pos, list(CASE WHEN h IS NULL THEN 'N' WHEN side = 1 THEN 'R' || h ELSE 'L' || h END ORDER BY l) AS steps, coalesce(string_agg(h, '' ORDER BY l), '') AS proof FROM step GROUP BY lang, pos)
+SELECT doc_id, p.h AS leaf, s.h AS subroot, root.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root, folded = root.h AS verified
+FROM (SELECT p.*, proof, list_reduce(list_prepend(now, coalesce(steps, [])), lambda a, s: sha256(CASE s[1] WHEN 'N' THEN a WHEN 'R' THEN s[2:] || a ELSE a || s[2:] END)) AS folded
+ FROM placed p LEFT JOIN path q ON p.lang IS NOT DISTINCT FROM q.lang AND p.pos = q.pos) p JOIN subs s ON p.lang IS NOT DISTINCT FROM s.lang, root"""
+
+_OP13_SQL = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.other AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other) QUALIFY row_number() OVER w <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express on the smaller tables; of the others tests compare with brute force."""
-    return {"op1_neardup": _OP1_SQL, "op7_quality": _OP7_SQL}
+    return {"op1_neardup": _OP1_SQL, "op7_quality": _OP7_SQL, "op11_exact": _OP11_SQL, "op12_manifest": _OP12_SQL, "op13_hard_negatives": _OP13_SQL}
