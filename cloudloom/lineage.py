@@ -1,10 +1,12 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and tables kept for a while."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,8 +22,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder."""
+    """df computed once and kept in the shared folder. With spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes it
+    once nothing refers to it."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+class kept:
+    """``with kept(df) as table``: df written to the shared folder once, read as often as need be, deleted at the end."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def __enter__(self) -> DataFrame:
+        spark = self.df.sparkSession
+        self.path = f"{shared_folder(spark)}/cloudloom/{uuid.uuid4().hex}"
+        self.df.write.parquet(self.path)
+        return spark.read.schema(self.df.schema).parquet(self.path)
+
+    def __exit__(self, *problem: object) -> None:
+        spark = self.df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(df: DataFrame, rows: int = 1 << 17) -> DataFrame:
+    """A narrow table for a join: broadcast if it has at most so many rows, counted now; else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

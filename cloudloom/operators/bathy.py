@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..quantiles import percentile
+
 # Fixed value: refractive index of water.
 N_WATER = 1.3333
 
@@ -89,12 +91,12 @@ def crop_to_water(points: DataFrame, cells: DataFrame, size: float, tolerance: f
 
 def median_position(trajectory: DataFrame) -> DataFrame:
     """One row sx, sy, sz: where the sensor is taken to be if points have no usable time."""
-    return trajectory.agg(*[F.expr(f"percentile({c}, 0.5)").alias("s" + c) for c in "xyz"])
+    return trajectory.sparkSession.range(1).select(*[F.lit(percentile(trajectory, c, 0.5)).cast("double").alias("s" + c) for c in "xyz"])
 
 
 def with_level(points: DataFrame, cells: DataFrame) -> DataFrame:
     """points with ``ws``, one water level for all: the median of the raster."""
-    return points.crossJoin(F.broadcast(cells.agg(F.expr("percentile(z, 0.5)").alias("ws"))))
+    return points.withColumn("ws", F.lit(percentile(cells, "z", 0.5)).cast("double"))
 
 
 def bathy_only(points: DataFrame, correct, tile: str = "tile", bathy: int = 2) -> DataFrame:
@@ -113,8 +115,8 @@ def water_plane(points: DataFrame, share: float = 0.9, residual: float = 0.3, mo
 
     from .clean import plane_by_consensus
 
-    cut = points.agg(F.expr(f"percentile(z, {share})").alias("_cut"), F.count(F.lit(1)).alias("_n"))
-    high = points.select("pid", "x", "y", "z").crossJoin(F.broadcast(cut)).where((F.col("z") >= F.col("_cut")) & (F.col("_n") >= 50))
+    cut = percentile(points, "z", share) if points.limit(50).count() == 50 else None
+    high = points.select("pid", "x", "y", "z").where(F.col("z") >= F.lit(cut).cast("double"))
     some = high.orderBy(F.xxhash64(F.lit(seed), "pid"), "pid").limit(most).select("pid", "x", "y", "z")
 
     def run(batches):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.arrays import argmax, log_softmax, softmax
+from ..lineage import bounded
+from ..ranges import running
 
 
 def mean_scores(confusion: DataFrame) -> DataFrame:
@@ -76,21 +77,21 @@ def dice(rows: DataFrame, classes: int, smooth: float = 1.0, exponent: float = 2
 
 
 def lovasz_gradient(errors: DataFrame, by: list[str], error: str = "err", positive: str = "fg", tie: str = "id") -> DataFrame:
-    """errors with ``grad``, the change of the Jaccard loss along errors in falling order, by group."""
-    own = Window.partitionBy(*by)
-    falling = own.orderBy(F.desc(error), tie).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(positive).over(own)
-    hit, miss = F.sum(positive).over(falling), F.sum(F.lit(1.0) - F.col(positive)).over(falling)
-    ranked = errors.withColumn("jaccard", 1.0 - (total - hit) / (total + miss))
-    before = F.coalesce(F.lag("jaccard").over(own.orderBy(F.desc(error), tie)), F.lit(0.0))
-    return ranked.withColumn("grad", F.col("jaccard") - before).drop("jaccard")
+    """errors with ``grad``, the change of the Jaccard loss along errors in falling order, by group: running sums by ranges, so a class may hold all rows."""
+    summed = running(errors, [F.desc(error), tie], tuple(by), {"_hit": positive}, {"_total": "_hit"}, "_n")
+
+    def jaccard(hit: Column, n: Column) -> Column:
+        return 1.0 - (F.col("_total") - hit) / (F.col("_total") + n - hit)
+
+    before = F.when(F.col("_n") == 1, 0.0).otherwise(jaccard(F.col("_hit") - F.col(positive), F.col("_n") - 1))
+    return summed.withColumn("grad", jaccard(F.col("_hit"), F.col("_n")) - before).drop("_hit", "_total", "_n")
 
 
 def lovasz_softmax(rows: DataFrame, id_col: str = "id") -> DataFrame:
     """One row: the mean over classes that occur of the sum of errors times their gradient, from (id, logits, target)."""
     spread = rows.select(F.col(id_col).alias("id"), "target", F.posexplode(softmax(F.col("logits"))).alias("c", "p"))
     seen = rows.select(F.col("target").alias("c")).distinct()
-    spread = spread.join(F.broadcast(seen), "c").withColumn("fg", F.when(F.col("target") == F.col("c"), 1.0).otherwise(0.0))
+    spread = spread.join(bounded(seen), "c").withColumn("fg", F.when(F.col("target") == F.col("c"), 1.0).otherwise(0.0))
     graded = lovasz_gradient(spread.withColumn("err", F.abs(F.col("fg") - F.col("p"))), ["c"])
     return graded.groupBy("c").agg(F.sum(F.col("err") * F.col("grad")).alias("loss")).agg(F.avg("loss").alias("lovasz"))
 
@@ -119,13 +120,13 @@ def matrix_nms(members: DataFrame, masks: DataFrame, kernel: str = "gaussian", s
     """(mask, label, score): scores of masks (mask, label, score) lowered where better masks of their label cover the same points (mask, point)."""
     if kernel not in ("gaussian", "linear"):
         raise ValueError(f"unknown kernel {kernel!r}")
-    order = Window.orderBy(F.desc("score"), "mask")  # one row a mask
-    ranked = masks.withColumn("place", F.row_number().over(order))
+    # Of two masks the smaller of these is the better one.
+    ranked = masks.withColumn("place", F.struct((-F.col("score")).alias("s"), F.col("mask").alias("m")))
     if before > 0:
-        ranked = ranked.where(F.col("place") <= before)
+        ranked = ranked.orderBy("place").limit(before)
     area = members.groupBy("mask").agg(F.count(F.lit(1)).alias("area"))
     own = ranked.join(area, "mask", "left").na.fill(0, ["area"])
-    near = members.join(F.broadcast(own.select("mask", "label", "place", "area")), "mask")
+    near = members.join(bounded(own.select("mask", "label", "place", "area")), "mask")
     a, b = near.alias("a"), near.alias("b")
     met = a.join(b, (F.col("a.point") == F.col("b.point")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.place") < F.col("b.place")))
     pairs = met.groupBy(F.col("a.mask").alias("i"), F.col("b.mask").alias("j"), F.col("a.area").alias("ai"), F.col("b.area").alias("aj")).agg(F.count(F.lit(1)).alias("n"))

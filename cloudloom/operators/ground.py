@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import grids, tin
 from ..cells import cell, knn_join
 from ..lineage import settle
+from ..quantiles import percentile
 from .basic import keep_lowest, last_returns
 
 
@@ -210,8 +211,8 @@ def ground_probability(points: DataFrame, k: int = 20, size: float | None = None
     agree = near.groupBy("pid").agg(F.avg(F.when(F.col("n_classification") == 2, 1.0).otherwise(0.0)).alias("agree"))
     shape = eigenvalues(points, k, with_self=False).select("pid", F.when(F.col("e0") > 0, (F.col("e1") - F.col("e2")) / F.col("e0")).otherwise(0.0).alias("planarity"), "n")
     low = points.groupBy(cell("x", edge).alias("_c"), cell("y", edge).alias("_r")).agg(F.min("z").alias("_low"))
-    mid = points.agg(F.expr("percentile(intensity, 0.5)").alias("_mid"))
-    own = points.join(low, (cell("x", edge) == F.col("_c")) & (cell("y", edge) == F.col("_r"))).join(agree, "pid").join(shape, "pid").crossJoin(F.broadcast(mid))
+    mid = F.lit(percentile(points, "intensity", 0.5)).cast("double").alias("_mid")
+    own = points.join(low, (cell("x", edge) == F.col("_c")) & (cell("y", edge) == F.col("_r"))).join(agree, "pid").join(shape, "pid").select("*", mid)
     height = F.col("z") - F.col("_low")
     score = (
         F.least(F.lit(1.0), F.col("planarity")) * 0.35 + F.greatest(F.lit(0.0), 1.0 - height / 2.0) * 0.25 + F.when(F.col("rn") == 1, 0.15).otherwise(0.0)

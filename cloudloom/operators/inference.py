@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..cells import cell, knn_join
 from ..functions.arrays import argmax, blend_weight
+from ..ranges import placed
 from .kernels import farthest_points
 
 # Standard codes of the model's classes, and the code of dropped points.
@@ -120,20 +120,31 @@ def sampled_by_weight(parts: dict[str, tuple[DataFrame, int]], main: str, key: s
     """(dataset, key, place): datasets dealt round robin, ``ratio`` rows each turn, until the main one is through; shorter ones begin anew."""
     turns = None
     for i, (name, (rows, ratio)) in enumerate(parts.items()):
-        order = Window.orderBy(key)
-        own = rows.select(F.lit(name).alias("dataset"), F.col(key), (F.row_number().over(order) - 1).alias("r"), F.lit(i).alias("part"), F.lit(ratio).alias("ratio"))
+        own = placed(rows.select(key), [key], place="r").select(F.lit(name).alias("dataset"), F.col(key), (F.col("r") - 1).alias("r"), F.lit(i).alias("part"), F.lit(ratio).alias("ratio"))
         turns = own if turns is None else turns.unionByName(own)
     sizes = turns.groupBy("dataset").agg(F.count(F.lit(1)).alias("size"))
     rounds = turns.where(F.col("dataset") == main).agg(F.ceil(F.count(F.lit(1)) / parts[main][1]).alias("rounds"))
-    own = turns.join(F.broadcast(sizes), "dataset").crossJoin(F.broadcast(rounds))
+    own = turns.join(F.broadcast(sizes), "dataset").crossJoin(F.broadcast(rounds))  # one row a dataset asked for
     need = F.col("rounds") * F.col("ratio")
     again = own.withColumn("lap", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(need / F.col("size")) - 1))).withColumn("n", F.col("lap") * F.col("size") + F.col("r")).where(F.col("n") < need)
     return again.select("dataset", key, F.struct(F.floor(F.col("n") / F.col("ratio")).alias("turn"), "part", (F.col("n") % F.col("ratio")).alias("i")).alias("place"))
 
 
 def capped(rows: DataFrame, limits: dict[str, int], source: str = "source", key: str = "id", seed: int = 0) -> DataFrame:
-    """rows with at most so many of each source that has a limit, chosen by a seeded hash: an imbalanced sample, as asked for."""
-    pairs = F.create_map(*[F.lit(v) for kv in limits.items() for v in kv])
-    own = Window.partitionBy(source).orderBy(F.xxhash64(F.lit(seed), key), key)
-    ranked = rows.withColumn("_r", F.row_number().over(own)).withColumn("_most", F.try_element_at(pairs, F.col(source)))
-    return ranked.where(F.col("_most").isNull() | (F.col("_r") <= F.col("_most"))).drop("_r", "_most")
+    """rows with at most so many of each source that has a limit, chosen by a seeded hash: an imbalanced sample, as asked for.
+
+    Only rows whose hash may be among the smallest are put in order: a bound by the source's size first, with room for chance. Should chance
+    go beyond that room, the source is ordered whole.
+    """
+    if not limits:
+        return rows
+    own = rows.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_share", F.col("_h") / float(1 << 64) + 0.5)
+    known = own.where(F.col(source).isin(*limits))
+    sizes = {r[0]: r[1] for r in known.groupBy(source).agg(F.count(F.lit(1))).collect()}  # one row a limit
+    cut = {s: min(1.0, (most + 8 * most**0.5 + 32) / max(1, sizes.get(s, 0))) for s, most in limits.items()}
+    bound = lambda c: F.try_element_at(F.create_map(*[F.lit(v) for kv in c.items() for v in kv]), F.col(source))
+    held = {r[0]: r[1] for r in known.where(F.col("_share") <= bound(cut)).groupBy(source).agg(F.count(F.lit(1))).collect()}
+    cut = {s: 1.0 if held.get(s, 0) < min(most, sizes.get(s, 0)) else cut[s] for s, most in limits.items()}
+    near = placed(known.where(F.col("_share") <= bound(cut)), ["_h", key], (source,), "_r").where(F.col("_r") <= bound(limits))
+    rest = own.where(~F.coalesce(F.col(source).isin(*limits), F.lit(False)))
+    return rest.drop("_h", "_share").unionByName(near.drop("_h", "_share", "_r"))

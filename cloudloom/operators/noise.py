@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..cells import cell, knn_join, radius_join
 from ..graph import components
 from ..lineage import settle
+from ..quantiles import percentile
 
 
 def radius_outliers(points: DataFrame, radius: float, least: int) -> DataFrame:
@@ -102,9 +103,9 @@ def dbscan_noise(points: DataFrame, eps: float, least: int, smallest: int, mode:
     if mode not in ("above", "below", "both"):
         raise ValueError(f"unknown mode {mode!r}")
     labelled = dbscan(points, eps, least, dims).join(points.select("pid", "z"), "pid")
-    mid = points.agg(F.expr("percentile(z, 0.5)").alias("mid"))
+    mid = F.lit(percentile(points, "z", 0.5)).cast("double").alias("mid")
     means = labelled.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.avg("z").alias("level"))
-    judged = labelled.join(means, "label", "left").crossJoin(F.broadcast(mid))
+    judged = labelled.join(means, "label", "left").select("*", mid)
     level = F.when(F.col("label").isNull(), F.col("z")).when(F.col("members") < smallest, F.col("level"))
     off = {"above": level > F.col("mid"), "below": level < F.col("mid"), "both": level.isNotNull()}[mode]
     return judged.select("pid", "label", (~F.coalesce(off, F.lit(False))).alias("keep"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cells import cell, radius_join
+from ..lineage import kept
+from ..quantiles import percentile, percentiles
 
 
 def gcp_dz(gcp: DataFrame, points: DataFrame, radius: float) -> DataFrame:
@@ -32,7 +34,9 @@ def vertical_shift(source: DataFrame, target: DataFrame, size: float) -> DataFra
     """Median of (mean height of the target's cell - source height) over source points whose cell has target points."""
     mean = target.groupBy(cell("y", size).alias("r"), cell("x", size).alias("c")).agg(F.avg("z").alias("tz"))
     pairs = source.withColumns({"sr": cell("y", size), "sc": cell("x", size)}).join(mean, (F.col("sr") == F.col("r")) & (F.col("sc") == F.col("c")))
-    return pairs.agg(F.expr("percentile(tz - z, 0.5)").alias("shift"), F.count(F.lit(1)).alias("n"))
+    with kept(pairs.select((F.col("tz") - F.col("z")).alias("dz"))) as shifts:
+        middle, n = percentile(shifts, "dz", 0.5), shifts.count()
+    return source.sparkSession.range(1).select(F.lit(middle).cast("double").alias("shift"), F.lit(n).cast("long").alias("n"))
 
 
 def affine(points: DataFrame, m: list[list[float]]) -> DataFrame:
@@ -112,10 +116,12 @@ def residuals(pairs: DataFrame, moved: DataFrame, key: str = "pid") -> DataFrame
 
 
 def residual_stats(rows: DataFrame) -> DataFrame:
+    """One row rmse, p68, p95, p99, most."""
     e = F.col("residual")
-    return rows.agg(
-        F.sqrt(F.avg(e * e)).alias("rmse"), *[F.expr(f"percentile(residual, {p / 100})").alias(f"p{p}") for p in (68, 95, 99)], F.max(e).alias("most"),
-    )
+    with kept(rows.select("residual")) as own:
+        held = dict(zip(("p68", "p95", "p99"), percentiles(own, "residual", (0.68, 0.95, 0.99))))
+        rmse, most = own.agg(F.sqrt(F.avg(e * e)), F.max(e)).first()
+    return rows.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(n) for n, v in {"rmse": rmse, **held, "most": most}.items()])
 
 
 def roof_summary(shifts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..cells import knn_join
 from ..lineage import settle
+from ..quantiles import percentile
 
 
 def _at(name: str, origin: float, size: float) -> Column:
@@ -36,8 +37,7 @@ def bilinear(points: DataFrame, cells: DataFrame, size: float, rows: int, column
     own = cells.select(F.col("row").alias("_cr"), F.col("col").alias("_cc"), F.col("z").alias("_z"))
     met = spread.join(own, (F.col("_k.r") == F.col("_cr")) & (F.col("_k.c") == F.col("_cc")), "left")
     if fill is None:
-        met = met.crossJoin(F.broadcast(cells.agg(F.expr("percentile(z, 0.5)").alias("_fill"))))
-        fill = F.col("_fill")
+        fill = F.lit(percentile(cells, "z", 0.5)).cast("double")
     sums = met.groupBy(F.col(key).alias("_key")).agg(F.sum(F.col("_k.w") * F.coalesce(F.col("_z"), fill)).alias("surface"))
     return points.join(sums, F.col(key) == F.col("_key")).drop("_key")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapter import points, read
 from ..functions import arrays
 from ..operators import evaluation
+from ..ranges import running
 from .registry import query
 from .registry import rounded as _r
 
@@ -185,12 +186,9 @@ def instance_boxes(spark, d):
 @query("-- ctes r AS (SELECT p.pid, score, tp FROM (SELECT pid, (pid % 64) / 64.0E0 AS score, (pid % 3 = 0)::INT AS tp FROM pts) p), s AS (SELECT score, sum(tp) AS t, count(*) AS n FROM r GROUP BY 1) SELECT round(score, 6) AS score, round(sum(t) OVER w / sum(n) OVER w, 6) AS precision_, round(sum(t) OVER w / (SELECT sum(t) FROM s), 6) AS recall FROM s WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)")
 def precision_recall(spark, d):
     """Precision and recall at every threshold, from running sums over distinct scores."""
-    from pyspark.sql.window import Window
-
     s = points(spark, d).groupBy(F.expr("(pid % 64) / 64.0D").alias("score")).agg(F.sum(F.expr("int(pid % 3 = 0)")).alias("t"), F.count(F.lit(1)).alias("n"))
-    falling = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("t").over(Window.partitionBy())
-    out = s.select("score", (F.sum("t").over(falling) / F.sum("n").over(falling)).alias("precision_"), (F.sum("t").over(falling) / total).alias("recall"))
+    s = running(s, [F.desc("score")], sums={"hits": "t", "taken": "n"}, totals={"all": "hits"})
+    out = s.select("score", (F.col("hits") / F.col("taken")).alias("precision_"), (F.col("hits") / F.col("all")).alias("recall"))
     return out.select(_r("score"), _r("precision_"), _r("recall"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapter import points
 from ..functions import codes
 from ..operators import kernels
+from ..ranges import placed
 from .registry import query
 from .registry import rounded as _r
 
@@ -154,19 +155,7 @@ def z_order(spark, d):
 def z_sorted(spark, d):
     """A cloud in the order of its curve: ranges of codes are dealt to tasks, each is numbered from where it begins."""
     c = cells(spark, d).select("pid", codes.z_order(F.col("gx"), F.col("gy"), F.col("gz")).alias("code"))
-    by_range = c.repartitionByRange(16, "code", "pid").sortWithinPartitions("code", "pid").withColumn("part", F.spark_partition_id())
-    by_range = settled(by_range.withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)))
-    ends = by_range.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql.window import Window
-
-    starts = ends.select(F.col("part").alias("p"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
-    return by_range.join(F.broadcast(starts), F.col("part") == F.col("p")).select("pid", (F.col("start") + F.col("i") + 1).alias("place"))
-
-
-def settled(df):
-    from ..lineage import settle
-
-    return settle(df)
+    return placed(c, ["code", "pid"]).select("pid", "place")
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapter import points
 from ..operators import basic, selection
+from ..ranges import placed
 from .registry import query
 from .registry import rounded as _r
 
@@ -99,11 +100,8 @@ def profile_rect_brush(spark, d):
 
 @query(f"-- ctes {CORRIDOR} SELECT pid, round(along, 6) AS along, z, row_number() OVER (ORDER BY along, pid) AS place FROM prof")
 def profile_ordered(spark, d):
-    """A profile's points from its start to its end: as many as a screen shows."""
-    from pyspark.sql.window import Window
-
-    p = profile(spark, d)
-    return p.select("pid", _r("along"), "z", F.row_number().over(Window.orderBy("along", "pid")).cast("long").alias("place"))
+    """A profile's points from its start to its end."""
+    return placed(profile(spark, d), ["along", "pid"]).select("pid", _r("along"), "z", "place")
 
 
 @query(f"-- ctes {CORRIDOR} SELECT pid, round(sqrt((along - 400)**2 + (z - 120)**2), 6) AS dist FROM prof WHERE sqrt((along - 400)**2 + (z - 120)**2) <= 60 ORDER BY sqrt((along - 400)**2 + (z - 120)**2), pid LIMIT 1")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .adapter import gcp, points, water
 from .cells import knn_join
 from .operators import basic, bathy, noise, register
 from .plans.registry import QUERIES, SQL, query
 from .plans.registry import rounded as _r
+from .ranges import placed
 
 # Grids and tiles
 
@@ -150,8 +150,8 @@ WATER = "water AS (SELECT r AS row, c AS col, CASE WHEN (r * 7 + c) % 11 = 0 THE
 
 
 def trajectory(p: DataFrame) -> DataFrame:
-    """Every hundredth point in order of time: a fixture, numbered in one task."""
-    nth = p.select("t", "pid", "x", "y", "z").withColumn("i", F.row_number().over(Window.orderBy("t", "pid")))
+    """Every hundredth point in order of time."""
+    nth = placed(p.select("t", "pid", "x", "y", "z"), ["t", "pid"], place="i")
     return nth.where((F.col("i") - 1) % 100 == 0).select("t", "x", "y", (F.col("z") + 1000).alias("z"))
 
 
