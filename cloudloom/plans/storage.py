@@ -33,6 +33,18 @@ def las_tiles(spark, d):
     return back.select("pid", _r("x", 2), _r("y", 2), _r("z", 2), "classification", "intensity", F.col("return_number").alias("rn"), F.col("number_of_returns").alias("nr"), F.col("point_source_id").alias("line"), F.round("gps_time", 3).alias("t"), "file")
 
 
+@query("SELECT pid, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z, classification, intensity, rn, nr, line, round(t, 3) AS t, 'tile_' || CAST(tile AS VARCHAR) || '.laz' AS file, row_number() OVER (PARTITION BY tile ORDER BY pid) - 1 AS point_idx FROM pts")
+def laz_tiles(spark, d):
+    """Written as compressed tiles and read again by chunks of 500 points, each decoded on its own; points keep their places."""
+    path = scratch(spark, "packed")
+    own = points(spark, d).select("pid", "x", "y", "z", "classification", "intensity", "tile", F.col("rn").alias("return_number"), F.col("nr").alias("number_of_returns"), F.col("line").alias("point_source_id"), F.col("t").alias("gps_time"))
+    spark.dataSource.register(las.LasSource)
+    dealt = own.repartition("tile").sortWithinPartitions("tile", "pid")
+    dealt.write.format("las").mode("append").options(scale="0.01,0.01,0.01", compress="true", chunk="500").save(path)
+    back = las.read_las(spark, path, chunk="500")
+    return back.select("pid", _r("x", 2), _r("y", 2), _r("z", 2), "classification", "intensity", F.col("return_number").alias("rn"), F.col("number_of_returns").alias("nr"), F.col("point_source_id").alias("line"), F.round("gps_time", 3).alias("t"), "file", "point_idx")
+
+
 @query("SELECT 'tile_' || CAST(tile AS VARCHAR) || '.las' AS file, count(*) AS n_points, round(min(x), 2) AS min_x, round(max(y), 2) AS max_y, round(max(z), 2) AS max_z, 'LOCAL_CS[\"plane\"]' AS wkt FROM pts GROUP BY tile")
 def las_headers(spark, d):
     """Boxes and counts without reading points."""

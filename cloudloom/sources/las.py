@@ -1,7 +1,8 @@
 """LAS files as a Spark data source: ``spark.read.format("las").load(folder)`` and ``df.write.format("las").save(folder)``.
 
-Reading: headers are read on the driver and give one partition for each million points of a file; files whose box misses the option
-``bbox`` (min_x,min_y,max_x,max_y) are never opened again. Files with a bad header, and compressed ones, are skipped with a warning.
+Reading: headers give one partition for each million points of a file, of compressed files as many whole chunks; files whose box misses the option
+``bbox`` (min_x,min_y,max_x,max_y) are never opened again. ``read_las`` reads headers in a Spark job, once, and hands the table on; a bare
+``spark.read`` reads them in threads. Files with a bad header are skipped with a warning, and so are compressed ones of formats 6 to 10.
 Formats 0 to 3 and 6 to 8 are read with all attributes, 4, 5, 9 and 10 without their wave packets; extra dimensions are columns.
 
 Writing: one file for each value of ``tile`` in a task, so deal rows by tile first (``write_tiles`` does); files get their names only when the job commits.
@@ -9,11 +10,14 @@ Writing: one file for each value of ``tile`` in a task, so deal rows by tile fir
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import warnings
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..lineage import shared_folder
+from . import laz
 from .files import listed, move, open_read, open_write, remove
 
 # The layout of headers and point records.
@@ -65,6 +71,8 @@ class Header:
     wkt: str = ""
     descriptions: list = field(default_factory=list)
     extra: list = field(default_factory=list)  # (name, dtype, scale, offset)
+    coding: laz.Coding | None = None  # of a compressed file
+    size: int = 0
 
     def dtype(self) -> np.dtype:
         names = FORMATS[self.point_format] + [(f"+{name}", kind) for name, kind, _, _ in self.extra]
@@ -86,8 +94,8 @@ def read_header(path: str) -> Header:
             raise ValueError(f"{path}: not a LAS file")
         v = _HEAD.unpack(raw[: _HEAD.size])
         major, minor, size, at, records, kind, length = v[4], v[5], v[10], v[11], v[12], v[13], v[14]
-        if kind & 0x80 or (kind & 0x3F) not in FORMATS:
-            raise ValueError(f"{path}: compressed or unknown point format {kind}")
+        if kind & 0x40 or (kind & 0x3F) not in FORMATS:
+            raise ValueError(f"{path}: unknown point format {kind}")
         n = v[15]
         if (major, minor) >= (1, 4) and size >= 375:
             n = struct.unpack_from("<Q", raw, 247)[0] or n
@@ -103,6 +111,8 @@ def read_header(path: str) -> Header:
             body = f.read(many)
             if user == "LASF_Projection" and number == _CRS_RECORD:
                 out.wkt = body.split(b"\0", 1)[0].decode("ascii", "replace")
+            elif user == laz.RECORD_USER and number == laz.RECORD_NUMBER and kind & 0x80:
+                out.coding = laz.read_coding(body)
             elif user == "LASF_Spec" and number == _EXTRA_RECORD:
                 for i in range(0, len(body) - 191, 192):
                     r = body[i : i + 192]
@@ -111,6 +121,11 @@ def read_header(path: str) -> Header:
                         shift = struct.unpack_from("<d", r, 136)[0] if r[3] & 16 else 0.0
                         out.extra.append((_text(r[4:36]), _EXTRA[r[2]], scale, shift))
         out.dtype()
+        if kind & 0x80:
+            if out.coding is None or sum(size for _, size in out.coding.items) != length:
+                raise ValueError(f"{path}: compressed, but how is not said")
+            f.seek(0, os.SEEK_END)
+            out.size = f.tell()
         return out
 
 
@@ -141,16 +156,52 @@ def _spark_kind(kind: str, scaled: bool) -> str:
     return "double" if scaled or kind in ("<f4", "<f8") else "bigint" if kind in ("<u4", "<u8", "<i8") else "int"
 
 
-def headers(path: str) -> tuple[list[Header], list[str]]:
-    """Readable headers of a folder in order, and the files skipped."""
-    good, bad = [], []
-    for p in listed(path, ("*.las", "*.laz")):
-        try:
-            good.append(read_header(p))
-        except (ValueError, OSError, struct.error) as e:
-            warnings.warn(f"skipped: {e}", stacklevel=2)
-            bad.append(p)
-    return good, bad
+def _try_header(path: str) -> tuple[str, str | None, str | None]:
+    """(path, header as JSON or None, what is wrong or None)."""
+    try:
+        return path, json.dumps(asdict(read_header(path))), None
+    except (ValueError, OSError, struct.error) as e:
+        return path, None, str(e)
+
+
+def _from_json(text: str) -> Header:
+    h = Header(**json.loads(text))
+    h.coding = laz.Coding(h.coding["chunk_size"], [tuple(i) for i in h.coding["items"]]) if h.coding else None
+    h.version, h.scales, h.offsets, h.low, h.high = (tuple(v) for v in (h.version, h.scales, h.offsets, h.low, h.high))
+    h.extra = [tuple(e) for e in h.extra]
+    return h
+
+
+def _sorted_out(tried: list[tuple]) -> tuple[list[Header], list[str]]:
+    for _, _, wrong in tried:
+        if wrong:
+            warnings.warn(f"skipped: {wrong}", stacklevel=3)
+    return [_from_json(h) for _, h, _ in tried if h], [p for p, h, _ in tried if not h]
+
+
+def headers(path: str, table: str | None = None, threads: int = 16) -> tuple[list[Header], list[str]]:
+    """Readable headers of a folder in order, and the files skipped. table: where scan_headers() put them."""
+    if table:
+        with open_read(table) as f:
+            return [_from_json(line) for line in f.read().decode().splitlines()], []
+    with ThreadPoolExecutor(threads) as pool:
+        return _sorted_out(list(pool.map(_try_header, listed(path, ("*.las", "*.laz")))))
+
+
+def scan_headers(spark: SparkSession, path: str, files_a_task: int = 64) -> tuple[list[Header], list[str]]:
+    """headers(), read by a Spark job over the listing; a row a file comes back."""
+    paths = listed(path, ("*.las", "*.laz"))
+    if len(paths) <= files_a_task:
+        return headers(path)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            with ThreadPoolExecutor(8) as pool:
+                rows = list(pool.map(_try_header, b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["path", "header", "wrong"])
+
+    listing = spark.createDataFrame([(p,) for p in paths], "path string").repartition(-(-len(paths) // files_a_task))
+    return _sorted_out(sorted(map(tuple, listing.mapInArrow(read, "path string, header string, wrong string").collect())))
 
 
 @dataclass
@@ -158,6 +209,27 @@ class Chunk(InputPartition):
     header: Header
     first: int
     n: int
+    pieces: list = field(default_factory=list)  # (place, bytes, points) of whole chunks of a compressed file
+
+
+def _compressed_parts(h: Header, most: int) -> list[Chunk]:
+    """Whole chunks in file order, so many together that they have at most so many points, one at least."""
+    with open_read(h.path) as f:
+
+        def read_at(place: int, many: int) -> bytes:
+            f.seek(place)
+            return f.read(many)
+
+        table = laz.chunk_table(read_at, h.offset_to_points, h.size, h.coding, h.n_points)
+    out: list[Chunk] = []
+    at = 0
+    for piece in table:
+        if not out or out[-1].n + piece[2] > most:
+            out.append(Chunk(h, at, 0, []))
+        out[-1].pieces.append(piece)
+        out[-1].n += piece[2]
+        at += piece[2]
+    return out
 
 
 class LasReader(DataSourceReader):
@@ -165,23 +237,38 @@ class LasReader(DataSourceReader):
         self.schema, self.options = schema, options
 
     def partitions(self) -> list[Chunk]:
-        found, _ = headers(self.options["path"])
+        found, _ = headers(self.options["path"], self.options.get("headers"))
         box = self.options.get("bbox")
         if box:
             x0, y0, x1, y1 = map(float, box.split(","))
             found = [h for h in found if h.high[0] >= x0 and h.low[0] <= x1 and h.high[1] >= y0 and h.low[1] <= y1]
         chunk = int(self.options.get("chunk", CHUNK))
-        out = [Chunk(h, i, min(chunk, h.n_points - i)) for h in found for i in range(0, h.n_points, chunk)]
+        packed = [h for h in found if h.coding and h.n_points]
+        with ThreadPoolExecutor(16) as pool:
+            pieces = dict(zip([h.path for h in packed], pool.map(lambda h: _compressed_parts(h, chunk), packed)))
+        out: list[Chunk] = []
+        for h in found:
+            out += pieces[h.path] if h.path in pieces else [Chunk(h, i, min(chunk, h.n_points - i)) for i in range(0, h.n_points, chunk)]
         return out or [Chunk(Header(""), 0, 0)]
 
     def read(self, part: Chunk):
         h = part.header
         if not part.n:
             return
-        with open_read(h.path) as f:
-            f.seek(h.offset_to_points + part.first * h.record_length)
-            raw = f.read(part.n * h.record_length)
-        points = np.frombuffer(raw, dtype=h.dtype(), count=len(raw) // h.record_length)
+        if not h.coding:
+            with open_read(h.path) as f:
+                f.seek(h.offset_to_points + part.first * h.record_length)
+                raw = f.read(part.n * h.record_length)
+            yield from self._batches(h, part.first, np.frombuffer(raw, dtype=h.dtype(), count=len(raw) // h.record_length))
+        first = part.first
+        for place, size, n in part.pieces:
+            with open_read(h.path) as f:
+                f.seek(place)
+                raw = f.read(size)
+            yield from self._batches(h, first, laz.records(raw, n, h.coding, h.dtype()))
+            first += n
+
+    def _batches(self, h: Header, first: int, points: np.ndarray) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(points), 50_000):
             own = decode(points[lo : lo + 50_000], h)
             n = len(own["x"])
@@ -191,7 +278,7 @@ class LasReader(DataSourceReader):
                 if f_.name == "file":
                     columns.append(pa.array([os.path.basename(h.path)] * n, kind))
                 elif f_.name == "point_idx":
-                    columns.append(pa.array(np.arange(part.first + lo, part.first + lo + n), kind))
+                    columns.append(pa.array(np.arange(first + lo, first + lo + n), kind))
                 elif f_.name in own:
                     columns.append(pa.array(own[f_.name].astype(kind.to_pandas_dtype())))
                 elif f_.name in COLUMNS:
@@ -211,9 +298,9 @@ class LasWriter(DataSourceArrowWriter):
         self.names, self.options = schema.names, options
         if "tile" not in self.names:
             raise ValueError("rows need a column tile")
-        if not overwrite and listed(options["path"], ("*.las",)):
+        if not overwrite and listed(options["path"], ("*.las", "*.laz")):
             raise ValueError(f"{options['path']} has files already")
-        self.old = listed(options["path"], ("*.las",)) if overwrite else []
+        self.old = listed(options["path"], ("*.las", "*.laz")) if overwrite else []
 
     def write(self, batches) -> Written:
         """One file a tile under a temporary name. Rows of a tile follow one another, so one is open at a time."""
@@ -221,7 +308,8 @@ class LasWriter(DataSourceArrowWriter):
 
         def close():
             if held:
-                name = self.options.get("name", "tile_{}.las").format(tile)
+                ending = "laz" if self.options.get("compress", "false").lower() == "true" else "las"
+                name = self.options.get("name", f"tile_{{}}.{ending}").format(tile)
                 made = f"{self.options['path'].rstrip('/')}/.{name}.{uuid.uuid4().hex}"
                 write_file(made, pa.Table.from_batches(held), self.options)
                 out.append((made, f"{self.options['path'].rstrip('/')}/{name}"))
@@ -257,10 +345,14 @@ class LasWriter(DataSourceArrowWriter):
 
 
 def write_file(path: str, table: pa.Table, options: dict | None = None) -> None:
-    """One LAS file, version 1.4 by default format 6, or 7 with colours; other numeric columns become extra dimensions."""
+    """One LAS file, version 1.4 by default format 6, or 7 with colours; other numeric columns become extra dimensions.
+
+    compress: chunks of the pointwise coder, for formats 0 to 3, which are then the default.
+    """
     o = options or {}
     get = lambda c, default=0: np.nan_to_num(table[c].to_numpy().astype(np.float64), nan=default) if c in table.column_names else np.full(table.num_rows, default)
-    kind = int(o.get("point_format", 7 if {"red", "green", "blue"} <= set(table.column_names) and (get("red").any() or get("green").any() or get("blue").any()) else 6))
+    packed = str(o.get("compress", "false")).lower() == "true"
+    kind = int(o.get("point_format", (3 if packed else 7) if {"red", "green", "blue"} <= set(table.column_names) and (get("red").any() or get("green").any() or get("blue").any()) else 1 if packed else 6))
     if kind not in FORMATS or kind in (4, 5, 9, 10):
         raise ValueError(f"point format {kind} can't be written")
     scale = tuple(map(float, str(o.get("scale", "0.001,0.001,0.001")).split(",")))
@@ -300,6 +392,9 @@ def write_file(path: str, table: pa.Table, options: dict | None = None) -> None:
     if dims:
         body = b"".join(struct.pack("<2xBB32s156x", k, 0, c.encode("ascii", "replace")[:32]) for c, k in dims)
         records.append((b"LASF_Spec", _EXTRA_RECORD, body))
+    coding = laz.coding_of(kind, h.record_length - np.dtype(FORMATS[kind]).itemsize, int(o.get("chunk", 50_000))) if packed else None
+    if coding:
+        records.append((laz.RECORD_USER.encode(), laz.RECORD_NUMBER, laz.coding_record(coding)))
     blob = b"".join(struct.pack("<2x16sHH32x", user, number, len(body)) + body for user, number, body in records)
     n = len(p)
     by_return = np.bincount(np.clip(returns, 1, 15), minlength=16)[1:16] if n else np.zeros(15, dtype=np.int64)
@@ -307,15 +402,15 @@ def write_file(path: str, table: pa.Table, options: dict | None = None) -> None:
     back = [p[c] * scale[i] + shift[i] for i, c in enumerate("XYZ")]
     box = [v for b in back for v in ((float(b.max()), float(b.min())) if n else (0.0, 0.0))]
     head = _HEAD.pack(
-        b"LASF", 0, 16 if wkt else 0, b"", 1, 4, str(o.get("system_id", "")).encode()[:32], str(o.get("software", "")).encode()[:32], 1, 2000, 375, 375 + len(blob), len(records), kind, h.record_length, legacy,
+        b"LASF", 0, 16 if wkt else 0, b"", 1, 4, str(o.get("system_id", "")).encode()[:32], str(o.get("software", "")).encode()[:32], 1, 2000, 375, 375 + len(blob), len(records), kind | (0x80 if packed else 0), h.record_length, legacy,
         *(by_return[:5].tolist() if legacy else [0] * 5), *scale, *shift, *box,
     )
     with open_write(path) as f:
-        f.write(head + struct.pack("<QQIQ15Q", 0, 0, 0, n, *by_return.tolist()) + blob + p.tobytes())
+        f.write(head + struct.pack("<QQIQ15Q", 0, 0, 0, n, *by_return.tolist()) + blob + (laz.write_points(p.tobytes(), h.record_length, coding, 375 + len(blob)) if coding else p.tobytes()))
 
 
 class LasSource(DataSource):
-    """Options: path, bbox, chunk; for writing also name, point_format, scale, wkt, system_id, software."""
+    """Options: path, bbox, chunk, headers (see scan_headers); for writing also name, point_format, compress, scale, wkt, system_id, software."""
 
     @classmethod
     def name(cls) -> str:
@@ -324,7 +419,7 @@ class LasSource(DataSource):
     def schema(self) -> str:
         """All known columns, and the extra dimensions of any file."""
         names = dict(COLUMNS)
-        for h in headers(self.options["path"])[0]:
+        for h in headers(self.options["path"], self.options.get("headers"))[0]:
             for name, kind, scale, shift in h.extra:
                 own = _spark_kind(kind, (scale, shift) != (1.0, 0.0))
                 names[name] = own if names.get(name, own) == own else "double"
@@ -338,15 +433,23 @@ class LasSource(DataSource):
 
 
 def read_las(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Points of a folder; its headers are read by one Spark job and handed on."""
     spark.dataSource.register(LasSource)
-    return spark.read.format("las").options(**options).load(path)
+    return _read_with(spark, path, scan_headers(spark, path)[0], **options)
+
+
+def _read_with(spark: SparkSession, path: str, found: list[Header], **options) -> DataFrame:
+    table = f"{shared_folder(spark).rstrip('/')}/cloudloom/headers-{uuid.uuid4().hex}.json"
+    with open_write(table) as f:
+        f.write("\n".join(json.dumps(asdict(h)) for h in found).encode())
+    return spark.read.format("las").options(**options | {"headers": table}).load(path)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row a file, from headers alone: box, count, format, writer and reference system."""
     rows = [
         (os.path.basename(h.path), h.n_points, *h.low, *h.high, f"{h.version[0]}.{h.version[1]}", h.point_format, h.system_id, h.software, h.file_source_id, h.wkt, h.descriptions, [e[0] for e in h.extra])
-        for h in headers(path)[0]
+        for h in scan_headers(spark, path)[0]
     ]
     schema = "file string, n_points long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, version string, point_format int, system_id string, software string, file_source_id int, wkt string, descriptions array<string>, extra array<string>"
     return spark.createDataFrame(rows, schema)
@@ -354,7 +457,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 def crs_by_file(spark: SparkSession, path: str) -> dict[str, str]:
     """The reference system of each file that has one."""
-    return {os.path.basename(h.path): h.wkt for h in headers(path)[0] if h.wkt}
+    return {os.path.basename(h.path): h.wkt for h in scan_headers(spark, path)[0] if h.wkt}
 
 
 def template(path: str) -> dict:
@@ -389,14 +492,15 @@ def import_folder(spark: SparkSession, path: str, target: int = 1_500_000, size:
 
     from ..operators.tiling import TileGrid, auto_tile_size
 
-    found, _ = headers(path)
-    found = [h for h in found if h.n_points]
+    readable, _ = scan_headers(spark, path)
+    found = [h for h in readable if h.n_points]
     if not found:
         raise ValueError(f"no points in {path}")
     x0, y0 = min(h.low[0] for h in found), min(h.low[1] for h in found)
     x1, y1 = max(h.high[0] for h in found), max(h.high[1] for h in found)
     edge = size or auto_tile_size(sum(h.n_points for h in found), (x1 - x0) * (y1 - y0), target)
-    points = read_las(spark, path).withColumn("tile", TileGrid(x0, y0, x1, y1, edge, overlap).index())
+    spark.dataSource.register(LasSource)
+    points = _read_with(spark, path, readable).withColumn("tile", TileGrid(x0, y0, x1, y1, edge, overlap).index())
     if least > 1:
         points = points.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("tile"))).where(F.col("_n") >= least).drop("_n")
     return points
