@@ -14,6 +14,7 @@ from ..cells import cell, knn_join
 from ..lineage import settle
 from ..quantiles import percentile
 from .basic import keep_lowest, last_returns
+from .tiling import in_boxes
 
 
 def per_tile(points: DataFrame, columns: list[str], kernel: Callable[[dict], np.ndarray], out: str, kind: str = "boolean", tile: str = "tile", halo: float = 0.0) -> DataFrame:
@@ -23,9 +24,8 @@ def per_tile(points: DataFrame, columns: list[str], kernel: Callable[[dict], np.
     """
     own = points.select("pid", tile, *columns)
     if halo > 0:
-        box = points.groupBy(F.col(tile).alias("_t")).agg(*[f(c).alias(k + c) for c in "xy" for k, f in (("_lo", F.min), ("_hi", F.max))])
-        near = own.join(F.broadcast(box), (F.col("x") >= F.col("_lox") - halo) & (F.col("x") <= F.col("_hix") + halo) & (F.col("y") >= F.col("_loy") - halo) & (F.col("y") <= F.col("_hiy") + halo))
-        own = near.select("pid", F.col("_t").alias(tile), (F.col(tile) == F.col("_t")).alias("_own"), *columns)
+        box = points.groupBy(F.col(tile).alias("_t")).agg(*[f(c).alias(f"{k}_{c}") for c in "xy" for k, f in (("min", F.min), ("max", F.max))])
+        own = in_boxes(own, box, halo).select("pid", F.col("_t").alias(tile), (F.col(tile) == F.col("_t")).alias("_own"), *columns)
     else:
         own = own.withColumn("_own", F.lit(True))
 
@@ -275,29 +275,15 @@ def ground_model(points: DataFrame, size: float = 0.5, anchor: float = 8.0) -> D
     return used.groupBy("tile").applyInArrow(run, f"tile {points.schema['tile'].dataType.simpleString()}, row long, col long, z double")
 
 
-def terrain_raster(points: DataFrame, size: float, rows: int, columns: int, reach: float = 5.0, k: int = 12, tile: str = "tile") -> DataFrame:
-    """(row, col, z, how): heights at cell centres of one grid over all tiles: between triangles of ground points, else by distance
-    within ``reach`` cells, else of the nearest point. Triangles are built tile by tile with a margin, so tiles meet without seams."""
+def terrain_raster(points: DataFrame, size: float, rows: int, columns: int, reach: float = 5.0, k: int = 12, edge: float | None = None) -> DataFrame:
+    """(row, col, z, how): heights at cell centres of one grid: between triangles of ground points, else by distance
+    within ``reach`` cells, else of the nearest point. edge: of the blocks the triangulation is worked out in; the result does not depend on it."""
     from .surface import idw
+    from .triangulate import interpolate
 
-    spark = points.sparkSession
-    box = points.groupBy(F.col(tile).alias("t")).agg(*[f(c).alias(k_ + c) for c in "xy" for k_, f in (("lo", F.min), ("hi", F.max))])
-    cells = spark.range(rows * columns).select(F.expr(f"id div {columns}").alias("row"), F.expr(f"id % {columns}").alias("col"), "id")
+    cells = points.sparkSession.range(rows * columns).select(F.expr(f"id div {columns}").alias("row"), F.expr(f"id % {columns}").alias("col"), "id")
     cells = cells.withColumns({"x": (F.col("col") + 0.5) * size, "y": (F.col("row") + 0.5) * size})
-    margin = 10 * size
-    # Of the tiles that hold a cell's centre the least one works it out.
-    owner = cells.join(F.broadcast(box), (F.col("x") >= F.col("lox")) & (F.col("x") <= F.col("hix")) & (F.col("y") >= F.col("loy")) & (F.col("y") <= F.col("hiy")))
-    owner = owner.groupBy("id", "row", "col", "x", "y").agg(F.min("t").alias("t"))
-    near = points.select("x", "y", "z").join(F.broadcast(box), (F.col("x") >= F.col("lox") - margin) & (F.col("x") <= F.col("hix") + margin) & (F.col("y") >= F.col("loy") - margin) & (F.col("y") <= F.col("hiy") + margin)).select("t", "x", "y", "z")
-
-    def run(ground: pa.Table, wanted: pa.Table) -> pa.Table:
-        xy = np.stack([ground[c].to_numpy() for c in "xy"], axis=1)
-        order = np.lexsort((ground["z"].to_numpy(), xy[:, 1], xy[:, 0]))
-        first = order[np.concatenate(([True], (np.diff(xy[order], axis=0) != 0).any(axis=1)))] if len(order) else order
-        z = tin.interpolate(xy[first], ground["z"].to_numpy()[first], np.stack([wanted[c].to_numpy() for c in "xy"], axis=1))
-        return pa.table({"id": wanted["id"], "z": pa.array(z, from_pandas=True)})
-
-    made = settle(near.groupBy("t").cogroup(owner.groupBy("t")).applyInArrow(run, "id long, z double").where("z is not null"))
+    made = settle(interpolate(points.select("x", "y", "z"), cells, size * 1e-6, edge))
     rest = settle(cells.join(made.select("id"), "id", "left_anti").select("id", "x", "y"))
     known = points.select("pid", "x", "y", "z")
     by_distance = settle(idw(rest, known, k, reach * size, key="id").select("id", "z"))

@@ -301,7 +301,7 @@ def cell_indexes(spark, d):
 def gcp_tiles(spark, d):
     """Control points and the tiles whose box holds them: both tables are small."""
     gcp = read(spark, d, "supplier").select(F.col("s_name").alias("name"), F.expr("(s_suppkey * 7919 % 1000) * 1.0D").alias("x"), F.expr("(s_suppkey * 104729 % 1000) * 1.0D").alias("y"))
-    return tiling.in_boxes(F.broadcast(gcp), tiles(spark, d)).select("id", "name")
+    return tiling.in_boxes(gcp, tiles(spark, d)).select("id", "name")
 
 
 @query("-- ctes c AS (SELECT tile, count(*) AS n FROM pts GROUP BY 1) SELECT tile, n, CAST(sum(n) OVER (ORDER BY tile) AS BIGINT) AS upto FROM c")
