@@ -71,7 +71,7 @@ def heights(xyz: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Height and circumcircle (x, y, radius) of the triangle at each wanted place; NaN outside the hull."""
     z, circle = np.full(len(wanted), np.nan), np.full((len(wanted), 3), np.nan)
     xy = xyz[:, :2]
-    t = tin.triangles(xy)
+    t = tin.triangles(xy, 0.0)
     at, w = tin.locate(xy, t, wanted)
     ok = at >= 0
     own = t[at[ok]]

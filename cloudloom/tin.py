@@ -19,8 +19,11 @@ def _order(xy: np.ndarray) -> np.ndarray:
     return np.lexsort((along, cell[:, 1]))
 
 
-def triangles(xy: np.ndarray) -> np.ndarray:
-    """Corners (n, 3) of the Delaunay triangles of distinct points, counter-clockwise. Fewer than three points, or all on a line: none."""
+def triangles(xy: np.ndarray, jitter: float = 1e-9) -> np.ndarray:
+    """Corners (n, 3) of the Delaunay triangles of distinct points, counter-clockwise. Fewer than three points, or all on a line: none.
+
+    jitter: a shift, as a share of the extent, that chooses among several triangulations; 0 for points that are in general position already.
+    """
     xy = np.asarray(xy, dtype=np.float64)
     if len(xy) < 3:
         return np.zeros((0, 3), dtype=np.int64)
@@ -33,15 +36,15 @@ def triangles(xy: np.ndarray) -> np.ndarray:
         turn = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
         t[turn < 0] = t[turn < 0][:, ::-1]
         return t
-    return _insert_all(xy)
+    return _insert_all(xy, jitter)
 
 
-def _insert_all(xy: np.ndarray) -> np.ndarray:
+def _insert_all(xy: np.ndarray, jitter: float) -> np.ndarray:
     """Points are inserted one by one: those triangles go whose circumcircle holds the point, and their outline is joined to it."""
     n = len(xy)
     low, span = xy.min(axis=0), float(np.ptp(xy, axis=0).max()) or 1.0
     # A tiny seeded shift: points on a grid or a circle have several triangulations, any one will do.
-    at = (xy - low) / span + np.random.default_rng(0).uniform(-1e-9, 1e-9, xy.shape)
+    at = (xy - low) / span + np.random.default_rng(0).uniform(-jitter, jitter, xy.shape)
     far = 1e4
     x = [*at[:, 0].tolist(), -far, far, 0.0]
     y = [*at[:, 1].tolist(), -far, -far, far]
