@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cells import cell, knn_join, radius_join
+from ..cells import ball_aggregate, cell, knn_join, radius_join, with_groups
 from ..graph import components
 from ..lineage import settle
 from ..quantiles import percentile
@@ -15,8 +15,8 @@ from ..quantiles import percentile
 
 def radius_outliers(points: DataFrame, radius: float, least: int) -> DataFrame:
     """keep: at least so many points within the radius, the point itself included."""
-    pairs = radius_join(points.select("pid", "x", "y", "z"), points.select("pid", "x", "y", "z"), radius)
-    return pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).withColumn("keep", F.col("n") >= least)
+    counted = ball_aggregate(points, radius, ("x", "y", "z"), {"n": ("sum", F.lit(1).cast("long"))})
+    return counted.withColumn("keep", F.col("n") >= least)
 
 
 def low_points(points: DataFrame, radius: float, below: float, above: float, exclude_self: bool = True) -> DataFrame:
@@ -25,14 +25,28 @@ def low_points(points: DataFrame, radius: float, below: float, above: float, exc
     With the point among its own neighbours the rule can never fire; ``exclude_self=False`` gives that behaviour.
     """
     small = points.select("pid", "x", "y", "z")
-    pairs = radius_join(small, small, radius, ("x", "y"))
+    extremes = {"lo": ("min", F.col("z")), "hi": ("max", F.col("z"))}
+    near = ball_aggregate(small, radius, ("x", "y"), extremes, own_cell=not exclude_self)
     if exclude_self:
-        pairs = pairs.where("pid <> n_pid")
-    near = pairs.groupBy(F.col("pid").alias("p")).agg(F.min("n_z").alias("lo"), F.max("n_z").alias("hi"))
+        near = near.unionByName(_extremes_of_others(small, radius / 4)).groupBy("pid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    near = near.withColumnRenamed("pid", "p")
     odd = (F.col("z") < F.col("lo") - below) | (F.col("z") > F.col("hi") + above)
     return small.join(near, F.col("pid") == F.col("p"), "left").select("pid", "z", (~F.coalesce(odd, F.lit(False))).alias("keep"))
 
 
+def _extremes_of_others(points: DataFrame, edge: float) -> DataFrame:
+    """(pid, lo, hi) over the other points of a point's cell: the cell's extremes, or for the points that hold them the next ones."""
+    own = points.select("pid", "z", F.struct(cell("x", edge * (1 + 1e-9)).alias("k0"), cell("y", edge * (1 + 1e-9)).alias("k1")).alias("g"))
+    both = F.struct("z", "pid")
+    first = settle(own.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(both).alias("least"), F.max(both).alias("most")).where("n > 1"))
+    met = with_groups(own, first)
+    low, high = F.col("pid") == F.col("least.pid"), F.col("pid") == F.col("most.pid")
+    others = met.select("pid", F.when(~low, F.col("least.z")).alias("lo"), F.when(~high, F.col("most.z")).alias("hi"))
+    second = met.groupBy("g").agg(F.min(F.when(~low, F.col("z"))).alias("lo"), F.max(F.when(~high, F.col("z"))).alias("hi")).join(first, "g")
+    none = F.lit(None).cast("double")
+    return others.unionByName(second.select("least.pid", "lo", none.alias("hi"))).unionByName(second.select("most.pid", none.alias("lo"), "hi"))
+
+
 def statistical_outliers(points: DataFrame, k: int, ratio: float, size: float | None = None) -> DataFrame:
     """keep: mean distance to the k nearest others at most mean + ratio * deviation over all points."""
     small = points.select("pid", "x", "y", "z")
