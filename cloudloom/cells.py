@@ -5,11 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lineage import settle
+from .lineage import bounded, settle
 
 
 def cell(name: str, size: float) -> Column:
@@ -42,67 +45,120 @@ def radius_join(probe: DataFrame, build: DataFrame, radius: float, dims: tuple[s
     return joined.drop(*[f"c{i}" for i in range(len(dims))], *[f"b{i}" for i in range(len(dims))])
 
 
-def _first_edge(build: DataFrame, k: int, dims: tuple[str, ...], tries: int = 3) -> tuple[float, float]:
-    """A cell edge at which most points find k others within one edge, and the widest extent.
-
-    From even density at first, then fitted to the number of points in the cell of the median point: clouds are dense in few places.
-    """
-    row = build.agg(F.count(F.lit(1)), *[F.max(d) - F.min(d) for d in dims]).first()
-    extents = [float(v) for v in row[1:] if v]
-    if not extents:
-        return 1.0, 0.0
-    volume, n_dims, widest = 1.0, len(extents), max(extents)
-    for e in extents:
-        volume *= e
-    # Points within one edge of a point, for each point a cell has: the ball's share of a cube.
-    wanted = 1.5 * (k + 1) / {1: 2.0, 2: 3.14}.get(n_dims, 4.19)
-    edge = max((volume * wanted / row[0]) ** (1.0 / n_dims), widest * 1e-9)
-    for _ in range(tries):
-        cells = build.groupBy(*[F.floor(F.col(d) / F.lit(edge)) for d in dims]).agg(F.count(F.lit(1)).alias("n"))
-        there = cells.agg(F.expr("percentile(n, 0.5, n)")).first()[0]
-        if there is None or wanted / 1.5 <= there <= wanted * 1.5:
-            break
-        edge = min(widest, max(edge * min(8.0, max(0.125, (wanted / there) ** (1.0 / n_dims))), widest * 1e-9))
-        if there <= 1 and edge >= widest / 4:
-            break
-    return edge, widest
+def _leaves(spots: DataFrame, edge: float, dims: tuple[str, ...], aim: int, deepest: int = 24) -> DataFrame:
+    """(l, c0, c1, ..., n): cells that cover all spots; the edge halves l times where more than four times ``aim`` spots share a cell."""
+    keys = [f"c{i}" for i in range(len(dims))]
+    at = lambda level: [cell(d, edge / 2**level).alias(k) for d, k in zip(dims, keys)]
+    counted = settle(spots.groupBy(*at(0)).agg(F.count(F.lit(1)).alias("n")).withColumn("l", F.lit(0)))
+    done, level = None, 0
+    while True:
+        full = counted.where((F.col("n") > 4 * aim) & F.lit(level < deepest))
+        part = counted if full.isEmpty() else counted.where((F.col("n") <= 4 * aim) | F.lit(level >= deepest))
+        done = part if done is None else done.unionByName(part)
+        if part is counted:
+            return done
+        inside = spots.select(*dims, *at(level)).join(bounded(full.select(*keys)), keys, "left_semi")
+        level += 2
+        counted = settle(inside.select(*dims).groupBy(*at(level)).agg(F.count(F.lit(1)).alias("n")).withColumn("l", F.lit(level)))
 
 
-def knn_join(probe: DataFrame, build: DataFrame, k: int, size: float | None = None, dims: tuple[str, ...] = ("x", "y"), key: str = "pid", self_join: bool = True, prefix: str = "n_", by: str | None = None) -> DataFrame:
+def knn_join(probe: DataFrame, build: DataFrame, k: int, size: float | None = None, dims: tuple[str, ...] = ("x", "y"), key: str = "pid", self_join: bool = True, prefix: str = "n_", by: str | None = None, aim: int = 1024) -> DataFrame:
     """The k nearest build rows of each probe row (itself apart if self_join), ranked by distance, then key.
 
-    A row is settled once its k-th distance is within the ring of cells searched; the others go on with cells twice as
-    large, until a ring holds everything. Exact: no row is left out, however far it lies. size: the first cell edge; by
-    default it follows from the number of build rows and their extent. by: a column that must be equal on both sides, as a batch is. The k best of each task are kept before rows are shuffled by key.
+    Space is cut into cells of about ``aim`` rows, smaller ones where rows are dense. A cell's probe rows meet the build rows in the cell and
+    around it, as far as its density promises k of them. A row is settled once its k-th distance is within what its cell has seen; cells with
+    open rows go on for those with twice the margin, until it holds everything. Exact: no row is left out, however far it lies. Of more than
+    k + 1 build rows in one place those of the smallest keys count, so a heap of equal points is no burden. size: the edge of the
+    first cells; by default it follows from the rows and their extent. by: a whole number that must be equal on both sides, as a batch is.
     """
-    edge, widest = _first_edge(build.select(*dims).unionByName(probe.select(*dims)), k, dims)
-    step, done, todo = float(size or edge), None, probe
+    spots = probe.select(*dims) if self_join else build.select(*dims).unionByName(probe.select(*dims))
+    row = spots.agg(F.count(F.lit(1)), *[f(d) for d in dims for f in (F.min, F.max)]).first()
+    low, high = [float(v or 0.0) for v in row[1::2]], [float(v or 0.0) for v in row[2::2]]
+    wide = [b - a for a, b in zip(low, high)]
+    d, widest = max(1, sum(w > 0 for w in wide)), max([*wide, 0.0])
+    edge = float(size * 8) if size else max((np.prod([w for w in wide if w > 0] or [1.0]) * aim / max(row[0], 1)) ** (1 / d), widest * 1e-9, 1e-9)
+    keys = [f"c{i}" for i in range(len(dims))]
+    leaves = _leaves(spots, edge, dims, aim)
+    # In a ball of this radius an even cell has two or three times k rows.
+    margin = F.least(F.lit(1.0), F.pow(F.lit(2.5 * (k + 1) / {1: 2.0, 2: 3.14}.get(d, 4.19)) / F.col("n"), F.lit(1 / d))) * edge / F.pow(F.lit(2.0), F.col("l"))
+    leaves = settle(leaves.select("l", *keys, margin.alias("h"), F.ceil(F.col("n") / (16 * aim)).cast("int").alias("chunks")))
+    levels = sorted(r[0] for r in leaves.select("l").distinct().collect())  # a number a halving
+    if not leaves.where("chunks > 1").isEmpty():
+        same = Window.partitionBy(*dims, *([by] if by else [])).orderBy(key)
+        build = settle(build.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1).drop("_r"))
+    right = build.select(*[F.col(c).alias(prefix + c) for c in build.columns])
+    group, probe_names = ["l", *keys, "chunk"], probe.columns
+    out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*probe.schema.fields, *right.schema.fields]) + ", d2 double, rank int"
+    types = {f.name: f.dataType for f in right.schema.fields}
+
+    def run(asked: pa.Table, near: pa.Table) -> pa.Table:
+        wanted, near = asked.select(probe_names), near.select(list(types))
+        near = near.take(pc.sort_indices(near, [(prefix + key, "ascending")]))
+        p, b = [wanted[c].to_numpy() for c in dims], [near[prefix + c].to_numpy() for c in dims]
+        level, far = asked["l"][0].as_py() if asked.num_rows else 0, asked["h"].to_numpy()
+        own, sure = edge / 2**level, np.full(asked.num_rows, np.inf)
+        for i, name in enumerate(keys):
+            start = asked[name].to_numpy() * own
+            for lo, v in ((p[i] - start + far, start - far > low[i]), (start + own + far - p[i], start + own + far < high[i])):
+                sure = np.where(v, np.minimum(sure, lo * (1 - 1e-9)), sure)  # beyond the outermost rows there are none
+        at, of, dist, rank = [], [], [], []
+        step = max(1, 4_000_000 // max(1, near.num_rows))
+        for lo in range(0, asked.num_rows, step):
+            part = slice(lo, lo + step)
+            d2 = np.zeros((len(p[0][part]), near.num_rows))
+            for a, c in zip(p, b):
+                off = a[part, None] - c[None, :]
+                d2 += off * off
+            if self_join:
+                d2[wanted[key].to_numpy()[part, None] == near[prefix + key].to_numpy()[None, :]] = np.inf
+            if by:
+                d2[wanted[by].to_numpy()[part, None] != near[prefix + by].to_numpy()[None, :]] = np.inf
+            if not near.num_rows:
+                continue
+            border = np.partition(d2, k - 1, axis=1)[:, k - 1] if k < near.num_rows else np.full(len(d2), np.inf)
+            r, c = np.nonzero((d2 <= border[:, None]) & (d2 < np.inf))
+            order = np.lexsort((c, d2[r, c], r))  # columns rise with the key
+            r, c = r[order], c[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c, place = r[place < k], c[place < k], place[place < k]
+            at, of, dist, rank = [*at, r + lo], [*of, c], [*dist, d2[r, c]], [*rank, place + 1]
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        at, of, dist, rank = join(at, np.int64), join(of, np.int64), join(dist, np.float64), join(rank, np.int32)
+        last = np.full(asked.num_rows, np.inf)
+        last[at[rank == k]] = dist[rank == k]
+        done = (last <= sure * sure) | np.isinf(sure)
+        ok, left = done[at], np.flatnonzero(~done)
+        # Open rows go back with rank 0.
+        mine, theirs = wanted.take(np.concatenate((at[ok], left))), near.take(pa.array(np.concatenate((of[ok], np.zeros(len(left), np.int64))), mask=np.concatenate((np.zeros(ok.sum(), bool), np.ones(len(left), bool)))))
+        columns = [*mine.columns, *theirs.columns, pa.array(np.concatenate((dist[ok], np.zeros(len(left))))), pa.array(np.concatenate((rank[ok], np.zeros(len(left), np.int32))))]
+        return pa.Table.from_arrays(columns, names=[*probe_names, *types, "d2", "rank"])
+
+    todo, done, times = probe, None, 1
     while True:
-        right = build.select(*[F.col(c).alias(prefix + c) for c in build.columns])
-        for i, d in enumerate(dims):
-            right = right.withColumn(f"b{i}", F.floor(F.col(prefix + d) / F.lit(step)).cast("long"))
-        on = reduce(lambda a, b: a & b, [F.col(f"c{i}") == F.col(f"b{i}") for i in range(len(dims))])
-        if self_join:
-            on = on & (F.col(key) != F.col(prefix + key))
-        if by:
-            on = on & (F.col(by) == F.col(prefix + by))
-        d2 = reduce(lambda a, b: a + b, [(F.col(d) - F.col(prefix + d)) * (F.col(d) - F.col(prefix + d)) for d in dims])
-        near = _neighbour_cells(todo, dims, step, 1).join(right, on).withColumn("d2", d2)
-        order = Window.partitionBy(key).orderBy("d2", prefix + key)
-        near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        near = near.drop(*[f"c{i}" for i in range(len(dims))], *[f"b{i}" for i in range(len(dims))])
-        if step > widest:
-            return near if done is None else done.unionByName(near)
-        # Whether a row is settled shows in its own k rows, which lie together here.
-        own = Window.partitionBy(key)
-        near = near.withColumns({"_far": F.max("d2").over(own), "_have": F.count(F.lit(1)).over(own)})
-        found = settle(near.where((F.col("_have") >= k) & (F.col("_far") <= F.lit(step * step))).drop("_far", "_have"))
-        settled = found.where("rank = 1").select(F.col(key).alias("settled"))
-        todo = settle(todo.join(settled, F.col(key) == F.col("settled"), "left_anti"))
+        asked, offered = None, None
+        for level in levels:
+            own = edge / 2**level
+            there = leaves.where(F.col("l") == level).withColumn("h", F.col("h") * times)
+            mine = todo.withColumns({name: cell(c, own) for name, c in zip(keys, dims)}).join(bounded(there), keys)
+            mine = mine.withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int")).select(*group, "h", *probe_names)
+            asked = mine if asked is None else asked.unionByName(mine)
+            # Cells a margin wide at least: a cell and its margin lie in few of them.
+            grid, boxes = own * times, there if done is None else there.join(mine.select(*keys).distinct(), keys, "left_semi")
+            for i, name in enumerate(keys):
+                boxes = boxes.withColumns({f"lo{i}": F.col(name) * own - F.col("h"), f"hi{i}": (F.col(name) + 1) * own + F.col("h")})
+            for i in range(len(keys)):
+                boxes = boxes.withColumn(f"g{i}", F.explode(F.sequence(F.floor((F.col(f"lo{i}")) / grid), F.floor(F.col(f"hi{i}") / grid))))
+            boxes = boxes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            gridded = right.withColumns({f"q{i}": F.floor(F.col(prefix + c) / grid) for i, c in enumerate(dims)})
+            inside = reduce(lambda a, b: a & b, [(F.col(f"g{i}") == F.col(f"q{i}")) for i in range(len(dims))] + [F.col(prefix + c).between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i, c in enumerate(dims)])
+            theirs = gridded.join(bounded(boxes), inside).select(*[F.col(g).alias("_" + g) for g in group], *right.columns)
+            offered = theirs if offered is None else offered.unionByName(theirs)
+        made = settle(asked.groupBy(*group).cogroup(offered.groupBy(*["_" + g for g in group])).applyInArrow(run, out_fields))
+        found, todo = made.where("rank > 0"), made.where("rank = 0").select(*probe_names)
         done = found if done is None else done.unionByName(found)
         if todo.isEmpty():
             return done
-        step *= 2.0
+        times *= 2
 
 
 def with_groups(points: DataFrame, groups: DataFrame, key: str = "g", n: str = "n") -> DataFrame:
