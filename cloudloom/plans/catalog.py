@@ -83,20 +83,21 @@ def last_edit_wins(spark, d):
     return catalog.last_edit_wins(e, ("l_partkey",), ("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"), "class").withColumnRenamed("l_partkey", "point")
 
 
-# Commands as rows: edit k changes the points k, k + 500 and k + 1000 to one class.
-COMMANDS = "h AS (SELECT CAST(k AS BIGINT) AS edit, k % 25 AS tile, (k * 37 + j * 500) % 1000 AS point, CAST(1 + (k + j) % 7 AS INTEGER) AS old_class, CAST(2 + k % 5 AS INTEGER) AS new_class FROM range(1, 401) a(k), range(3) b(j))"
+# Commands as rows, one for each customer k: edit k + 1 changes the points 37 (k + 1), 500 and 1000 further ones to one class.
+COMMANDS = "h AS (SELECT CAST(k AS BIGINT) AS edit, k % 25 AS tile, (k * 37 + j * 500) % 1000 AS point, CAST(1 + (k + j) % 7 AS INTEGER) AS old_class, CAST(2 + k % 5 AS INTEGER) AS new_class FROM (SELECT c_custkey + 1 AS k FROM customer) a, range(3) b(j)), l AS (SELECT max(edit) AS last FROM h)"
 
 
-def history(spark):
+def history(spark, d):
     """(id, tile, points, old, new): commands with lists, as the log keeps them."""
     at = "transform(sequence(0, 2), j -> (id * 37 + j * 500) % 1000)"
-    return spark.range(1, 401).select("id", F.expr("id % 25").alias("tile"), F.expr(at).alias("points"), F.expr("transform(sequence(0, 2), j -> int(1 + (id + j) % 7))").alias("old"), F.expr("int(2 + id % 5)").alias("new"))
+    ids = read(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"))
+    return ids.select("id", F.expr("id % 25").alias("tile"), F.expr(at).alias("points"), F.expr("transform(sequence(0, 2), j -> int(1 + (id + j) % 7))").alias("old"), F.expr("int(2 + id % 5)").alias("new"))
 
 
 @query(f"WITH {COMMANDS} SELECT edit, tile, point, old_class, new_class FROM h", pts=False)
 def edit_commands(spark, d):
     """Commands read back from JSON text, one row a point."""
-    text = history(spark).select("id", F.to_json(F.struct("tile", "points", "old", "new")).alias("command"))
+    text = history(spark, d).select("id", F.to_json(F.struct("tile", "points", "old", "new")).alias("command"))
     back = text.select("id", F.from_json("command", "tile bigint, points array<bigint>, old array<int>, new int").alias("c")).select("id", "c.*")
     return catalog.flatten_edits(back)
 
@@ -104,20 +105,20 @@ def edit_commands(spark, d):
 @query(f"-- ctes {COMMANDS}, w AS (SELECT point, arg_max(new_class, edit) AS c FROM h GROUP BY 1) SELECT pid, coalesce(c, classification) AS classification, classification AS backup FROM pts LEFT JOIN w ON point = pid")
 def reclassify(spark, d):
     """Edits laid over points that stay as they are."""
-    last = catalog.last_edit_wins(catalog.flatten_edits(history(spark))).withColumnRenamed("point", "pid")
+    last = catalog.last_edit_wins(catalog.flatten_edits(history(spark, d))).withColumnRenamed("point", "pid")
     return catalog.reclassify(points(spark, d), last).select("pid", "classification", "backup")
 
 
-@query(f"WITH {COMMANDS} SELECT point, arg_max(new_class, edit) AS new_class FROM h WHERE edit <= 390 GROUP BY 1", pts=False)
+@query(f"WITH {COMMANDS} SELECT point, arg_max(new_class, edit) AS new_class FROM h, l WHERE edit <= last - 10 GROUP BY 1", pts=False)
 def undo_edits(spark, d):
     """The state after ten commands were undone."""
-    return catalog.last_edit_wins(catalog.undone(catalog.flatten_edits(history(spark)), 10))
+    return catalog.last_edit_wins(catalog.undone(catalog.flatten_edits(history(spark, d)), 10))
 
 
-@query(f"WITH {COMMANDS}, b AS (SELECT 400 + (401 - edit) AS edit, tile, point, new_class AS old_class, old_class AS new_class FROM h WHERE edit > 390) SELECT edit, tile, point, old_class, new_class FROM b", pts=False)
+@query(f"WITH {COMMANDS}, b AS (SELECT last + (last + 1 - edit) AS edit, tile, point, new_class AS old_class, old_class AS new_class FROM h, l WHERE edit > last - 10) SELECT edit, tile, point, old_class, new_class FROM b", pts=False)
 def undo_as_commands(spark, d):
     """Undoing logged as new commands that swap the classes."""
-    return catalog.undo_commands(catalog.flatten_edits(history(spark)), 10)
+    return catalog.undo_commands(catalog.flatten_edits(history(spark, d)), 10)
 
 
 TILES = "tiles AS (SELECT tile AS id, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, count(*) AS n, CASE WHEN tile % 7 = 6 THEN 'OLD' ELSE ['IMPORTED', 'FILTERED', 'CLASSIFIED', 'EDITED', 'NOISE', 'ERROR'][1 + tile % 6] END AS status FROM pts GROUP BY 1)"
@@ -172,7 +173,7 @@ def tile_updates(spark, d):
 def delete_tiles(spark, d):
     """A tile goes with its edits; its processing times stay."""
     t = tiles(spark, d).withColumn("id", F.col("id").cast("long"))
-    tables = {"tiles": t, "edits": catalog.flatten_edits(history(spark)), "times": spark.range(50)}
+    tables = {"tiles": t, "edits": catalog.flatten_edits(history(spark, d)), "times": spark.range(50)}
     left = catalog.delete(tables, t.where("id % 5 = 0"), cascade={"tiles": "id", "edits": "tile"})
     out = [left[k].agg(F.lit(k).alias("tab"), F.count(F.lit(1)).alias("n")) for k in ("tiles", "edits", "times")]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -230,13 +231,13 @@ def point_info(spark, d):
 
 
 SCANNER_SQL = r"lower(regexp_extract({0}, '(?i)(?:^|[^a-zA-Z0-9])(vq\d{{3,4}}(?:-[a-z])?[a-z]?|vux-\d+(?:-[a-z])?[a-z]?|vq-\d+(?:-[a-z])?[a-z]?|als\d+)(?:[^a-zA-Z0-9]|$)', 1))"
-FILES = "f AS (SELECT CAST(i AS BIGINT) AS i, ['1 - vq820g - 210430_vq820g - points', 'vq580_flight03', 'ALS70_hd_strip_01', 'strip_x', 'vux-240_a', 'survey', 'czmil_line', 'vq-880-g_9'][1 + i % 8] AS stem, ['vq1560i', 'tiles'][1 + (i // 8) % 2] AS parent FROM range(16) r(i))"
+FILES = "f AS (SELECT CAST(i AS BIGINT) AS i, ['1 - vq820g - 210430_vq820g - points', 'vq580_flight03', 'ALS70_hd_strip_01', 'strip_x', 'vux-240_a', 'survey', 'czmil_line', 'vq-880-g_9'][1 + i % 8] AS stem, ['vq1560i', 'tiles'][1 + (i // 8) % 2] AS parent FROM (SELECT p_partkey AS i FROM part))"
 
 
 @query("WITH " + FILES + ", s AS (SELECT i, CASE WHEN " + SCANNER_SQL.format("stem") + " <> '' THEN " + SCANNER_SQL.format("stem") + " ELSE " + SCANNER_SQL.format("parent") + r" END AS scanner FROM f) SELECT i, scanner, CASE WHEN regexp_matches(scanner, 'vq-?\d{3,4}-?g\b') THEN 'bathy' WHEN scanner <> '' THEN 'topo' ELSE '' END AS sensor FROM s", pts=False)
 def scanner_names(spark, d):
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at.cast("int") + 1)
-    f = spark.range(16).select(
+    f = read(spark, d, "part").select(F.col("p_partkey").alias("id")).select(
         F.col("id").alias("i"), pick(("1 - vq820g - 210430_vq820g - points", "vq580_flight03", "ALS70_hd_strip_01", "strip_x", "vux-240_a", "survey", "czmil_line", "vq-880-g_9"), F.col("id") % 8).alias("stem"),
         pick(("vq1560i", "tiles"), F.floor(F.col("id") / 8) % 2).alias("parent"),
     )

@@ -242,7 +242,7 @@ def hillshade(spark, d):
 
 
 # Registered when they are imported.
-from .plans import catalog, evaluation, kernels, selections, storage, surface, terrain, transforms  # noqa: E402, F401
+from .plans import catalog, evaluation, kernels, projects, selections, storage, surface, terrain, transforms  # noqa: E402, F401
 
 
 def queries() -> dict:
