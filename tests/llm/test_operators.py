@@ -432,3 +432,14 @@ def test_pipeline(spark, docs, nothing):
     for _, stage in cp.STAGES:
         nothing = stage(spark, nothing, "")
     assert nothing.count() == 0
+
+
+def test_toxicity_cross_validation_sees_no_text_it_scores():
+    """Labels that no word tells: a model that had seen a text could tell it by its own words, one that has not can't."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    texts = [" ".join(word() for _ in range(12)) for _ in range(120)]
+    got = toxicity.cross_validated(texts, [i % 2 for i in range(120)], landmarks=30, rounds=2)
+    assert got["loss"] > 0.6 and set(got) == {"precision", "recall", "f1", "loss"}
+    easy = [f"{t} you grubhog" if i % 2 else t for i, t in enumerate(texts)]
+    assert toxicity.cross_validated(easy, [i % 2 for i in range(120)], landmarks=30, rounds=2)["f1"] > 0.9
