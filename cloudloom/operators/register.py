@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cells import cell, radius_join
+from ..functions import projections
+from ..functions.projections import Crs, from_epsg, from_wkt
 from ..lineage import kept
 from ..quantiles import percentile, percentiles
 
@@ -64,24 +66,6 @@ def estimate_helmert(pairs: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     return scale, rotation, shift
 
 
-def utm_to_geographic_columns(zone: int, north: bool = True) -> tuple[str, str]:
-    """SQL expressions of longitude and latitude in degrees from x, y in UTM on WGS 84 (series to the sixth order)."""
-    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
-    e2 = f * (2 - f)
-    ep2, e1 = e2 / (1 - e2), (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
-    y = "y" if north else "(y - 10000000.0E0)"
-    mu = f"({y} / {k0 * a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)!r})"
-    c = [3 * e1 / 2 - 27 * e1**3 / 32, 21 * e1**2 / 16 - 55 * e1**4 / 32, 151 * e1**3 / 96, 1097 * e1**4 / 512]
-    phi = f"({mu} + {c[0]!r} * sin(2 * {mu}) + {c[1]!r} * sin(4 * {mu}) + {c[2]!r} * sin(6 * {mu}) + {c[3]!r} * sin(8 * {mu}))"
-    n1 = f"({a!r} / sqrt(1 - {e2!r} * sin({phi}) * sin({phi})))"
-    r1 = f"({a * (1 - e2)!r} / power(1 - {e2!r} * sin({phi}) * sin({phi}), 1.5))"
-    t1, c1 = f"(tan({phi}) * tan({phi}))", f"({ep2!r} * cos({phi}) * cos({phi}))"
-    d = f"((x - 500000.0) / ({n1} * {k0}))"
-    lat = f"degrees({phi} - ({n1} * tan({phi}) / {r1}) * ({d} * {d} / 2 - (5 + 3 * {t1} + 10 * {c1} - 4 * {c1} * {c1} - {9 * ep2!r}) * power({d}, 4) / 24 + (61 + 90 * {t1} + 298 * {c1} + 45 * {t1} * {t1} - {252 * ep2!r} - 3 * {c1} * {c1}) * power({d}, 6) / 720))"
-    lon = f"{zone * 6 - 183} + degrees(({d} - (1 + 2 * {t1} + {c1}) * power({d}, 3) / 6 + (5 - 2 * {c1} + 28 * {t1} - 3 * {c1} * {c1} + {8 * ep2!r} + 24 * {t1} * {t1}) * power({d}, 5) / 120) / cos({phi}))"
-    return lon, lat
-
-
 def shift(points: DataFrame, dx: float, dy: float, dz: float) -> DataFrame:
     return points.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy, "z": F.col("z") + dz})
 
@@ -240,52 +224,18 @@ def _normals(points: DataFrame, k: int) -> DataFrame:
     return sums.mapInArrow(solve, "pid long, x double, y double, z double, nx double, ny double, nz double")
 
 
-def _zone(epsg: int) -> tuple[int, bool]:
-    """Zone and hemisphere of a UTM code: WGS 84 north 326xx and south 327xx, ETRS 89 258xx."""
-    if 32601 <= epsg <= 32660:
-        return epsg - 32600, True
-    if 32701 <= epsg <= 32760:
-        return epsg - 32700, False
-    if 25828 <= epsg <= 25838:
-        return epsg - 25800, True
-    raise ValueError(f"EPSG:{epsg} is not one of the known projections")
-
-
-def to_geographic(points: DataFrame, epsg: int) -> DataFrame:
-    """x, y as longitude and latitude."""
-    lon, lat = utm_to_geographic_columns(*_zone(epsg))
-    return points.withColumns({"_lon": F.expr(lon), "_lat": F.expr(lat)}).withColumns({"x": F.col("_lon"), "y": F.col("_lat")}).drop("_lon", "_lat")
-
-
-def to_utm(points: DataFrame, epsg: int) -> DataFrame:
-    """Longitude and latitude x, y as eastings and northings (series to the sixth order)."""
-    zone, north = _zone(epsg)
-    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
-    e2 = f * (2 - f)
-    ep2 = e2 / (1 - e2)
-    phi, lam = F.radians("y"), F.radians(F.col("x") - (zone * 6 - 183))
-    p = points.withColumns({"_s": F.sin(phi), "_c": F.cos(phi), "_t": F.tan(phi), "_phi": phi, "_lam": lam})
-    p = p.withColumns({"_n": a / F.sqrt(1 - e2 * F.col("_s") * F.col("_s")), "_t2": F.col("_t") * F.col("_t"), "_c2": ep2 * F.col("_c") * F.col("_c"), "_a": F.col("_lam") * F.col("_c")})
-    m = a * (
-        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * F.col("_phi") - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * F.col("_phi"))
-        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * F.col("_phi")) - (35 * e2**3 / 3072) * F.sin(6 * F.col("_phi"))
-    )
-    east = k0 * F.col("_n") * F.expr(f"_a + (1 - _t2 + _c2) * power(_a, 3) / 6 + (5 - 18 * _t2 + _t2 * _t2 + 72 * _c2 - {58 * ep2!r}) * power(_a, 5) / 120") + 500000.0
-    up = F.expr(f"_a * _a / 2 + (5 - _t2 + 9 * _c2 + 4 * _c2 * _c2) * power(_a, 4) / 24 + (61 - 58 * _t2 + _t2 * _t2 + 600 * _c2 - {330 * ep2!r}) * power(_a, 6) / 720")
-    north_ = k0 * (m + F.col("_n") * F.col("_t") * up) + (0.0 if north else 10000000.0)
-    return p.withColumns({"x": east, "y": north_}).drop("_s", "_c", "_t", "_phi", "_lam", "_n", "_t2", "_c2", "_a")
+def system(of: int | str) -> Crs:
+    """A reference system by its code or its well-known text."""
+    return from_epsg(of) if isinstance(of, int) else from_wkt(of)
 
 
-def transform(points: DataFrame, source: int, target: int) -> DataFrame:
-    """x, y from one code to another, over longitude and latitude; 4326 is those themselves."""
-    if source == target:
-        return points
-    there = points if source == 4326 else to_geographic(points, source)
-    return there if target == 4326 else to_utm(there, target)
+def transform(points: DataFrame, source: int | str, target: int | str) -> DataFrame:
+    """x, y (and z, between datums) from one system to another; 4326 is longitude and latitude."""
+    return points if source == target else projections.transform(points, system(source), system(target))
 
 
-def transform_or_keep(points: DataFrame, source: int, target: int) -> tuple[DataFrame, str | None]:
-    """Transformed points, or the points as they are with a warning if the codes aren't known."""
+def transform_or_keep(points: DataFrame, source: int | str, target: int | str) -> tuple[DataFrame, str | None]:
+    """Transformed points, or the points as they are with a warning if a system isn't known."""
     try:
         return transform(points, source, target), None
     except ValueError as e:

@@ -276,5 +276,47 @@ def icp(spark, d):
 def utm_round_trip(spark, d):
     """Eastings to longitude and latitude and back."""
     p = points(spark, d).where("pid % 50 = 0").select("pid", (F.col("x") + 500000).alias("x"), (F.col("y") + 5400000).alias("y"))
-    there = register.to_geographic(p, 32633)
-    return register.to_utm(there, 32633).select("pid", F.round("x", 3).alias("e0"))
+    there = register.transform(p, 32633, 4326)
+    return register.transform(there, 4326, 32633).select("pid", F.round("x", 3).alias("e0"))
+
+
+# Degrees about central Europe, from the plane.
+DEGREES = "g AS (SELECT pid, 5 + x / 100 AS lon, 45 + y / 100 AS lat, z FROM pts), r AS (SELECT pid, z, radians(lon) AS lam, radians(lat) AS phi, 0.0818191908426214957 AS e FROM g), p AS (SELECT *, atanh(sin(phi)) - e * atanh(e * sin(phi)) AS psi FROM r)"
+
+
+def degrees(spark, d):
+    return points(spark, d).select("pid", (5 + F.col("x") / 100).alias("x"), (45 + F.col("y") / 100).alias("y"), "z")
+
+
+@query(f"-- ctes {DEGREES} SELECT pid, round(6378137.0 * lam, 3) AS x, round(6378137.0 * psi, 3) AS y FROM p")
+def mercator(spark, d):
+    return register.transform(degrees(spark, d), 4326, 3395).select("pid", _r("x", 3), _r("y", 3))
+
+
+_PARALLEL = "cos(radians({0})) / sqrt(1 - (e * sin(radians({0})))**2)"
+_PSI = "(atanh(sin(radians({0}))) - e * atanh(e * sin(radians({0}))))"
+
+
+@query(f"""-- ctes {DEGREES}, n AS (SELECT *, (ln({_PARALLEL.format(49)}) - ln({_PARALLEL.format(44)})) / ({_PSI.format(44)} - {_PSI.format(49)}) AS n FROM p),
+ s AS (SELECT *, 6378137.0 * ({_PARALLEL.format(49)}) / n * exp(n * {_PSI.format(49)}) AS size FROM n), c AS (SELECT *, size * exp(-n * psi) AS rho, size * exp(-n * {_PSI.format(46.5)}) AS base, n * (lam - radians(3)) AS turn FROM s)
+ SELECT pid, round(700000 + rho * sin(turn), 2) AS x, round(6600000 + base - rho * cos(turn), 2) AS y FROM c""")
+def conic(spark, d):
+    """A cone through two parallels; its ellipsoid differs from the SQL's in the ninth place, which is less than what is compared."""
+    return register.transform(degrees(spark, d), 4326, 2154).select("pid", _r("x", 2), _r("y", 2))
+
+
+@query(f"-- ctes {DEGREES}, s AS (SELECT *, 6378137.0 * ({_PARALLEL.format(71)}) * exp({_PSI.format(71)}) * exp(-psi) AS rho FROM p) SELECT pid, round(rho * sin(lam), 3) AS x, round(-rho * cos(lam), 3) AS y FROM s")
+def polar(spark, d):
+    return register.transform(degrees(spark, d), 4326, 3995).select("pid", _r("x", 3), _r("y", 3))
+
+
+_GRID = 'PROJCS["grid",GEOGCS["old",DATUM["old",SPHEROID["Bessel 1841",6377397.155,299.1528128],TOWGS84[598.1,73.7,418.2,0.202,0.045,-2.455,6.7]],UNIT["degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["central_meridian",9],PARAMETER["scale_factor",1],PARAMETER["false_easting",3500000],UNIT["metre",1]]'
+
+
+@query("SELECT pid, round(3500000 + x, 3) AS x, round(5400000 + y, 3) AS y, round(z, 3) AS z, true AS moved FROM pts")
+def datum_round_trip(spark, d):
+    """An old grid given as text, on a shifted datum, taken to longitude and latitude of the common one and back."""
+    own = points(spark, d).select("pid", (F.col("x") + 3500000).alias("x"), (F.col("y") + 5400000).alias("y"), "z")
+    there = register.transform(own, _GRID, 4326)
+    back = register.transform(there.withColumn("h", F.col("z")), 4326, _GRID)
+    return back.select("pid", _r("x", 3), _r("y", 3), _r("z", 3), (F.abs(F.col("h") - F.col("z")) > 1).alias("moved"))
