@@ -209,17 +209,19 @@ def ball_aggregate(points: DataFrame, radius: float, dims: tuple[str, ...], valu
     # Cells of the first level by coarse cells of four; half of the neighbours, as pairs have no direction.
     first = settle(grouped(pts, 0))
     coarse = lambda i: F.floor(F.col(f"g.k{i}") / 4).cast("long")
-    half = [o for o in product((-1, 0, 1), repeat=len(dims)) if o >= (0,) * len(dims)]
-    left, right = side(first.withColumns({f"c{i}": coarse(i) for i in spots}), "a", *[f"c{i}" for i in spots]), side(first.withColumns({f"c{i}": coarse(i) for i in spots}), "b", *[f"c{i}" for i in spots])
-    left = left.withColumn("o", F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in half])))
+    every = list(product((-1, 0, 1), repeat=len(dims)))
+    numbered = first.withColumns({f"c{i}": coarse(i) for i in spots})
+    left, right = side(numbered, "a", *[f"c{i}" for i in spots]), side(numbered, "b", *[f"c{i}" for i in spots])
+    towards = lambda df, offsets: df.withColumn("o", F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])))
     on = reduce(lambda a, b: a & b, [F.col(f"ac{i}") + F.col("o")[i] == F.col(f"bc{i}") for i in spots])
     once = reduce(lambda a, b: a | b, [F.col("o")[i] != 0 for i in spots]) | (F.col("ag") <= F.col("bg") if own_cell else F.col("ag") < F.col("bg"))
-    pairs = left.join(right, on & once & near)
+    pairs = towards(left, [o for o in every if o >= (0,) * len(dims)]).join(right, on & once & near)
     parts = [(0, settle(wholes(pairs, True)))]
     rim = None
     if not first.where("n > 1").isEmpty():
-        found = pairs.where(~inside).select("ag", "bg", "an", "bn")
-        rim = settle(found.unionByName(found.select(F.col("bg").alias("ag"), F.col("ag").alias("bg"), F.col("bn").alias("an"), F.col("an").alias("bn"))))
+        # A rim needs a box with an extent on one side at least; where the other is one point, the mirror image comes from here too.
+        found = towards(left.where("an > 1"), every).join(right, on & near & (F.col("ag") != F.col("bg"))).where(~inside).select("ag", "bg", "an", "bn")
+        rim = settle(found.unionByName(found.where("bn = 1").select(F.col("bg").alias("ag"), F.col("ag").alias("bg"), F.col("bn").alias("an"), F.col("an").alias("bn"))))
     out = []
     for level in range(levels):
         if rim is None or rim.isEmpty():
