@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapter import points
 from ..operators import transforms as t
+from ..operators import views
 from .registry import query
 from .registry import rounded as _r
 
@@ -95,3 +96,38 @@ def rotary_features(spark, d):
     v = F.array(F.col("z"), F.col("y"), (F.col("pid") % 5).cast("double"), (F.col("pid") % 3).cast("double"))
     out = points(spark, d).select("pid", t.rotary(v, F.col("x")).alias("v"))
     return out.select("pid", *[F.round(F.col("v")[i], 6).alias(f"f{i}") for i in range(4)])
+
+
+# Centres and shares by arithmetic in place of hashes, so that SQL can follow; view 0 and 1 are global, 2 and 3 local.
+_DRAW, _SHARE = "(pid * 7919 + v * 104729) % 10007", "((scene * 31 + v * 17) % 11) / 11.0E0"
+_CENTRE = "SELECT scene, v, arg_min(x, ({d}, pid)) AS cx, arg_min(y, ({d}, pid)) AS cy, arg_min(z, ({d}, pid)) AS cz FROM {t} GROUP BY 1, 2"
+_NEAREST = "SELECT * FROM (SELECT p.scene, c.v, p.pid, p.x, p.y, p.z, row_number() OVER (PARTITION BY p.scene, c.v ORDER BY (p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy) + (p.z - cz) * (p.z - cz), p.pid) AS place, size FROM sc p JOIN {c} c ON c.scene = p.scene JOIN sz ON sz.scene = p.scene AND sz.v = c.v) WHERE place <= size"
+VIEWS = f"""{SCENES}, b AS (SELECT scene, count(*) AS n, min(z) AS z0, max(z) AS z1 FROM sc GROUP BY 1), s1 AS (SELECT scene, n, v, CASE WHEN v < 2 THEN 0.3E0 ELSE 0.1E0 END AS lo, CASE WHEN v < 2 THEN 0.8E0 ELSE 0.3E0 END AS hi FROM b, range(4) r(v)),
+ sz AS (SELECT scene, v, CASE WHEN floor((lo + (hi - lo) * {_SHARE}) * least(n, 60)) > 0 THEN floor((lo + (hi - lo) * {_SHARE}) * least(n, 60)) ELSE least(n, greatest(10, floor(hi * least(n, 60)))) END AS size FROM s1),
+ mz AS (SELECT sc.*, 0 AS v FROM sc JOIN b USING (scene) WHERE z BETWEEN z0 + (z1 - z0) * 0.25E0 AND z0 + (z1 - z0) * 0.75E0), mc AS ({_CENTRE.format(d=_DRAW, t="mz")}), mv AS ({_NEAREST.format(c="mc")}),
+ oz AS (SELECT mv.scene, r.v, pid, x, y, z FROM mv, range(1, 4) r(v)), oc AS ({_CENTRE.format(d=_DRAW, t="oz")}), vw AS (SELECT scene, v, pid, place FROM mv UNION ALL SELECT scene, v, pid, place FROM ({_NEAREST.format(c="oc")}))"""
+
+
+def views_of(spark, d):
+    draw = F.expr(_DRAW.replace("v *", "view *"))
+    share = F.expr(_SHARE.replace("v *", "view *").replace("11.0E0", "11.0D"))
+    return views.multi_views(scenes(spark, d), 2, (0.3, 0.8), 2, (0.1, 0.3), most=60, heights=(0.25, 0.75), draw=draw, share=share)
+
+
+@query(f"-- ctes {VIEWS} SELECT scene, CAST(v AS INTEGER) AS view, pid, place FROM vw")
+def multi_views(spark, d):
+    """Four crops of each scene about drawn centres."""
+    return views_of(spark, d).select("scene", "view", "pid", "place")
+
+
+@query(f"-- ctes {VIEWS} SELECT a.scene, a.pid, CAST(a.v AS INTEGER) AS a, CAST(b.v AS INTEGER) AS b, a.place AS place_a, b.place AS place_b FROM vw a JOIN vw b ON a.scene = b.scene AND a.pid = b.pid AND a.v < b.v")
+def view_matches(spark, d):
+    """Points that two crops share, and their places in both."""
+    return views.matches(views_of(spark, d))
+
+
+@query(f"-- ctes {SCENES}, v AS (SELECT scene, pid, (red / 127.5 - 1) AS red, x - min(x) OVER (PARTITION BY scene) AS x FROM sc) SELECT view, scene, pid, round(x, 6) AS x FROM v, (VALUES (1), (2)) w(view)")
+def contrastive_views(spark, d):
+    """Two views of every scene; without draws in the transforms both are the same."""
+    steps = [{"type": "positive_shift"}]
+    return views.contrastive_views(scenes(spark, d), steps).select("view", "scene", "pid", _r("x"))
