@@ -297,11 +297,11 @@ _PARALLEL = "cos(radians({0})) / sqrt(1 - (e * sin(radians({0})))**2)"
 _PSI = "(atanh(sin(radians({0}))) - e * atanh(e * sin(radians({0}))))"
 
 
-@query(f"""-- ctes {DEGREES}, n AS (SELECT *, (ln({_PARALLEL.format(49)}) - ln({_PARALLEL.format(44)})) / ({_PSI.format(44)} - {_PSI.format(49)}) AS n FROM p),
+@query(f"""-- ctes {DEGREES.replace("0.0818191908426214957", "sqrt((2 - 1 / 298.257222101E0) / 298.257222101E0)")}, n AS (SELECT *, (ln({_PARALLEL.format(49)}) - ln({_PARALLEL.format(44)})) / ({_PSI.format(44)} - {_PSI.format(49)}) AS n FROM p),
  s AS (SELECT *, 6378137.0 * ({_PARALLEL.format(49)}) / n * exp(n * {_PSI.format(49)}) AS size FROM n), c AS (SELECT *, size * exp(-n * psi) AS rho, size * exp(-n * {_PSI.format(46.5)}) AS base, n * (lam - radians(3)) AS turn FROM s)
  SELECT pid, round(700000 + rho * sin(turn), 2) AS x, round(6600000 + base - rho * cos(turn), 2) AS y FROM c""")
 def conic(spark, d):
-    """A cone through two parallels; its ellipsoid differs from the SQL's in the ninth place, which is less than what is compared."""
+    """A cone through two parallels."""
     return register.transform(degrees(spark, d), 4326, 2154).select("pid", _r("x", 2), _r("y", 2))
 
 
