@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names that columns of control points and trajectories go by, lower case.
@@ -29,21 +27,20 @@ def guess_columns(fields: list[str], wanted: tuple[str, ...] = ("name", "x", "y"
     return {w: i for w in wanted for i, f in enumerate(low) if f in SYNONYMS[w]}
 
 
-def looks_like_data(fields: list[str]) -> bool:
-    """Whether three quarters of the fields, and two at least, are numbers."""
-
-    def number(s: str) -> bool:
-        try:
-            float(s.strip().replace(",", "."))
-            return True
-        except ValueError:
-            return False
-
-    return bool(fields) and sum(map(number, fields)) >= max(2, len(fields) * 0.75)
+def _fields(line: str, separator: str, most: int = 64) -> Column:
+    """The first fields of a line of text, an empty one being empty text, without what is missing at the end."""
+    if separator in (" ", r"\s+"):
+        return F.slice(F.split(F.trim(line), r"\s+"), 1, most)
+    parsed = F.from_csv(line, ", ".join(f"c{i} string" for i in range(most)), {"sep": separator, "mode": "PERMISSIVE"})
+    found = F.array(*[parsed[f"c{i}"] for i in range(most)])
+    width = F.coalesce(F.array_max(F.transform(found, lambda f, i: F.when(f.isNotNull(), i + 1))), F.lit(0))
+    return F.transform(F.slice(found, F.lit(1), width), lambda f: F.coalesce(f, F.lit("")))
 
 
-def _split_line(line: str, sep: str) -> list[str]:
-    return line.split() if sep in (" ", r"\s+") else next(csv.reader([line], delimiter=sep), [])
+def _mostly_numbers(fields: Column) -> Column:
+    """Whether two fields at least, and three of four, are numbers, a decimal comma being one too: such a line is no header."""
+    numbers = F.size(F.filter(fields, lambda f: F.translate(F.trim(f), ",", ".").try_cast("double").isNotNull()))
+    return (numbers >= 2) & (numbers * 4 >= F.size(fields) * 3)
 
 
 def read_trajectory(spark: SparkSession, path: str, columns: tuple[int, int, int, int] = (0, 1, 2, 3), separator: str | None = None, skip_rows: int = 0, has_header: bool = False) -> DataFrame:
@@ -73,23 +70,18 @@ def read_trajectory(spark: SparkSession, path: str, columns: tuple[int, int, int
 def read_control_points(spark: SparkSession, path: str, separator: str = ",", has_header: bool = True, columns: dict[str, int] | None = None) -> DataFrame:
     """(name, x, y, z). A first line that looks like data is data; columns by known names, else name, x, y, z or x, y, z by place; rows without a
     number in any of the three are left out; without names rows are numbered in their order."""
-    first = [line for line in _first_lines(spark, path, 50) if line.strip()]
-    if not first:
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"), F.monotonically_increasing_id().alias("i")).where("trim(line) <> ''")
+    fields = _fields("line", separator)
+    first = lines.orderBy("i").limit(1).select("i", fields.alias("f"), _mostly_numbers(fields).alias("data")).first()
+    if first is None:
         return spark.createDataFrame([], "name string, x double, y double, z double")
-    fields = _split_line(first[0], separator)
-    header = has_header and not looks_like_data(fields)
-    at = columns or (guess_columns(fields) if header else {})
+    header = has_header and not first["data"]
+    at = columns or (guess_columns(first["f"]) if header else {})
     if not {"x", "y", "z"} <= set(at):
-        at = {"name": 0, "x": 1, "y": 2, "z": 3} if len(fields) >= 4 else {"x": 0, "y": 1, "z": 2}
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"), F.monotonically_increasing_id().alias("i")).where("trim(line) <> ''")
+        at = {"name": 0, "x": 1, "y": 2, "z": 3} if len(first["f"]) >= 4 else {"x": 0, "y": 1, "z": 2}
     if header:
-        lines = lines.join(F.broadcast(lines.orderBy("i").limit(1).select(F.col("i").alias("h"))), F.col("i") == F.col("h"), "left_anti")
-    if separator in (" ", r"\s+"):
-        f = F.split(F.trim("line"), r"\s+")
-    else:
-        most = max(at.values()) + 1
-        parsed = F.from_csv("line", ", ".join(f"c{i} string" for i in range(most)), {"sep": separator, "mode": "PERMISSIVE"})
-        f = F.array(*[parsed[f"c{i}"] for i in range(most)])
+        lines = lines.where(F.col("i") != first["i"])
+    f = _fields("line", separator, max(at.values()) + 1)
     own = lines.select("i", f.alias("f"))
     number = lambda c: F.trim(F.try_element_at("f", F.lit(at[c] + 1))).try_cast("double").alias(c)
     own = own.select("i", *[number(c) for c in "xyz"], (F.trim(F.try_element_at("f", F.lit(at["name"] + 1))) if "name" in at else F.lit(None).cast("string")).alias("name")).dropna(subset=["x", "y", "z"])

@@ -163,3 +163,17 @@ def test_project_and_editor(spark, tmp_path):
     p.record_time("t1", "filter", 1.5, 10)
     p.delete_tile("t1")
     assert [r.id for r in p.tiles().collect()] == ["t2"] and p.edits().count() == 0 and p.table("times").count() == 1
+
+
+def test_control_points_with_empty_fields(spark, tmp_path):
+    """An empty field keeps its place; a first line of numbers is data though a header was announced."""
+    (tmp_path / "a.csv").write_text("p1,,1,2,3\n,5,4,5,6\np3,,7,x,9\n")
+    got = tables.read_control_points(spark, str(tmp_path / "a.csv"), has_header=False, columns={"name": 0, "x": 2, "y": 3, "z": 4}).orderBy("x").collect()
+    assert [(r.name or "", r.x, r.y, r.z) for r in got] == [("p1", 1.0, 2.0, 3.0), ("", 4.0, 5.0, 6.0)]
+    (tmp_path / "b.csv").write_text("1.5;2;3\n4;5;6\n")
+    assert [r.x for r in tables.read_control_points(spark, str(tmp_path / "b.csv"), ";").orderBy("x").collect()] == [1.5, 4.0]
+    (tmp_path / "c.csv").write_text("Elev,,North,East,ID\n1,,2,3,a b\n")
+    row = tables.read_control_points(spark, str(tmp_path / "c.csv")).first()
+    assert (row["name"], row.x, row.y, row.z) == ("a b", 3.0, 2.0, 1.0)
+    (tmp_path / "d.csv").write_text("")
+    assert tables.read_control_points(spark, str(tmp_path / "d.csv")).count() == 0
