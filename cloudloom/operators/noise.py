@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cells import ball_aggregate, cell, knn_join, radius_join, with_groups
-from ..graph import components
+from ..balls import aggregate_spots, finite, linked_spots
+from ..cells import ball_aggregate, knn_join, with_groups
 from ..lineage import settle
 from ..quantiles import percentile
 
@@ -25,28 +23,12 @@ def low_points(points: DataFrame, radius: float, below: float, above: float, exc
     With the point among its own neighbours the rule can never fire; ``exclude_self=False`` gives that behaviour.
     """
     small = points.select("pid", "x", "y", "z")
-    extremes = {"lo": ("min", F.col("z")), "hi": ("max", F.col("z"))}
-    near = ball_aggregate(small, radius, ("x", "y"), extremes, own_cell=not exclude_self)
-    if exclude_self:
-        near = near.unionByName(_extremes_of_others(small, radius / 4)).groupBy("pid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    near = ball_aggregate(small, radius, ("x", "y"), {"lo": ("min", F.col("z")), "hi": ("max", F.col("z"))}, others=exclude_self)
     near = near.withColumnRenamed("pid", "p")
     odd = (F.col("z") < F.col("lo") - below) | (F.col("z") > F.col("hi") + above)
     return small.join(near, F.col("pid") == F.col("p"), "left").select("pid", "z", (~F.coalesce(odd, F.lit(False))).alias("keep"))
 
 
-def _extremes_of_others(points: DataFrame, edge: float) -> DataFrame:
-    """(pid, lo, hi) over the other points of a point's cell: the cell's extremes, or for the points that hold them the next ones."""
-    own = points.select("pid", "z", F.struct(cell("x", edge * (1 + 1e-9)).alias("k0"), cell("y", edge * (1 + 1e-9)).alias("k1")).alias("g"))
-    both = F.struct("z", "pid")
-    first = settle(own.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(both).alias("least"), F.max(both).alias("most")).where("n > 1"))
-    met = with_groups(own, first)
-    low, high = F.col("pid") == F.col("least.pid"), F.col("pid") == F.col("most.pid")
-    others = met.select("pid", F.when(~low, F.col("least.z")).alias("lo"), F.when(~high, F.col("most.z")).alias("hi"))
-    second = met.groupBy("g").agg(F.min(F.when(~low, F.col("z"))).alias("lo"), F.max(F.when(~high, F.col("z"))).alias("hi")).join(first, "g")
-    none = F.lit(None).cast("double")
-    return others.unionByName(second.select("least.pid", "lo", none.alias("hi"))).unionByName(second.select("most.pid", none.alias("lo"), "hi"))
-
-
 def statistical_outliers(points: DataFrame, k: int, ratio: float, size: float | None = None) -> DataFrame:
     """keep: mean distance to the k nearest others at most mean + ratio * deviation over all points."""
     small = points.select("pid", "x", "y", "z")
@@ -83,32 +65,22 @@ def low_cleanup(points: DataFrame, k: int, drop: float, size: float | None = Non
 def dbscan(points: DataFrame, eps: float, least: int, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """(pid, label): the smallest core id of each cluster; null for noise.
 
-    Cells have a diagonal of eps, so all points of a cell are neighbours: a cell of ``least`` points is core without any
-    pair, and the core points of a cell are one vertex of the graph of clusters. Only points of thinner cells are counted
-    by pairs, and pairs between cells are reduced to pairs of cells in the task that finds them. A border point takes the least cluster
-    among its core neighbours. Runs until no label changes.
+    Points in one place are one spot. Spots are counted, linked and, at a border, given the least cluster among their core neighbours
+    box by box; the only graph left is that of clusters that boxes share.
     """
-    edge, d = eps / math.sqrt(len(dims)) * (1 - 1e-9), len(dims)
-    names = [f"g{i}" for i in range(d)]
-    small = points.select("pid", *dims, *[cell(c, edge).alias(n) for c, n in zip(dims, names)])
-    crowd = small.groupBy(*names).agg(F.count(F.lit(1)).alias("own"))
-    small = settle(small.join(crowd, names).withColumn("cell", F.struct(*names)))
-    thin = small.where(F.col("own") < least).select("pid", *dims)
-    counted = radius_join(thin, small.select("pid", *dims), eps, dims).groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
-    core = small.where(F.col("own") >= least).select("pid", *dims, "cell").unionByName(
-        small.join(counted.where(F.col("n") >= least), "pid", "left_semi").select("pid", *dims, "cell")
-    )
-    core = settle(core)
-    # The least core id stands for a cell.
-    heads = settle(core.groupBy("cell").agg(F.min("pid").alias("head")))
-    core = settle(core.join(heads, "cell").select("pid", *dims, "head"))
-    touch = radius_join(core, core, eps, dims).where("head < n_head").select(F.col("head").alias("a"), F.col("n_head").alias("b")).distinct()
-    lone = heads.select(F.col("head").alias("a"), F.col("head").alias("b"))
-    labels = settle(components(touch.unionByName(lone)))
-    named = core.join(labels.withColumnRenamed("v", "head"), "head").select("pid", *dims, "label")
-    rest = small.join(core, "pid", "left_anti").select("pid", *dims)
-    border = radius_join(rest, named, eps, dims).groupBy("pid").agg(F.min("n_label").alias("label"))
-    return small.select("pid").join(named.select("pid", "label").unionByName(border), "pid", "left")
+    small = points.select("pid", *dims)
+    placed = finite(small, dims)
+    spots = settle(placed.groupBy(*dims).agg(F.min("pid").alias("spot"), F.count(F.lit(1)).alias("n")))
+    count = aggregate_spots(spots, spots, eps, dims, {"n": "sum"}).where(F.col("n") >= least)
+    core = settle(spots.join(count.select("spot"), "spot", "left_semi"))
+    named = settle(core.join(linked_spots(core, eps, dims), "spot").select("spot", *dims, "label"))
+    rest = spots.join(core, "spot", "left_anti")
+    border = aggregate_spots(rest, named, eps, dims, {"label": "min"})
+    labels = named.select("spot", "label").unionByName(border)
+    g = F.struct(*dims).alias("g")
+    found = settle(spots.join(labels, "spot", "left").select(g, "n", "label"))
+    nowhere = small.join(placed, "pid", "left_anti").select("pid", F.lit(None).cast("long").alias("label"))
+    return with_groups(placed.select("pid", g), found).select("pid", "label").unionByName(nowhere)
 
 
 def dbscan_noise(points: DataFrame, eps: float, least: int, smallest: int, mode: str = "both", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
