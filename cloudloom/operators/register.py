@@ -5,21 +5,63 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..balls import ball_tasks, blocks, finite, places
 from ..cells import cell, radius_join
 from ..functions import projections
 from ..functions.projections import Crs, from_epsg, from_wkt
-from ..lineage import kept
+from ..lineage import kept, settle
 from ..quantiles import percentile, percentiles
 
 
 def gcp_dz(gcp: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """Of each control point the median, deviation and number of heights within the radius in XY, and dz."""
-    small = points.select("x", "y", "z")
-    near = radius_join(gcp.select("name", "x", "y", "z"), small, radius, ("x", "y"))
-    out = near.groupBy("name", "z").agg(F.expr("percentile(n_z, 0.5)").alias("mid"), F.stddev_pop("n_z").alias("std"), F.count(F.lit(1)).alias("n"))
+    dims = ("x", "y")
+    own = settle(finite(gcp.select("name", *dims, "z"), dims).groupBy("name", "z", *dims).agg(F.count(F.lit(1)).alias("times")))
+    spots = settle(finite(points.select(*dims, "z"), dims).groupBy(*dims, "z").agg(F.count(F.lit(1)).alias("n")))
+
+    def run(asked: pa.Table, near: pa.Table) -> pa.Table:
+        heights, many, rows = near["z"].to_numpy(zero_copy_only=False).astype(np.float64), near["n"].to_numpy(), []
+        known = near["z"].is_valid().to_numpy()
+        for i, j, d2 in blocks(places(asked, dims), places(near, dims), radius):
+            for one, row in zip(i.tolist(), d2 <= float(radius) * float(radius)):
+                sel = j[row]
+                if not len(sel):
+                    continue
+                n, z, w = int(many[sel].sum()), heights[sel][known[sel]], many[sel][known[sel]]
+                middle = std = None
+                if len(z):
+                    order = np.argsort(z, kind="stable")
+                    upto, total = np.cumsum(w[order]), int(w.sum())
+                    at = [float(z[order[np.searchsorted(upto, r, "right")]]) for r in ((total - 1) // 2, total // 2)]
+                    middle = at[0] if at[0] == at[1] else at[0] * 0.5 + at[1] * 0.5
+                    mean = float((z * w).sum() / total)
+                    std = float(np.sqrt((w * (z - mean) ** 2).sum() / total))
+                rows.append((one, middle, std, n))
+        at = pa.array([r[0] for r in rows], pa.int64())
+        return pa.table({"_x": asked["x"].take(at), "_y": asked["y"].take(at), "mid": pa.array([r[1] for r in rows], pa.float64()), "std": pa.array([r[2] for r in rows], pa.float64()), "n": pa.array([r[3] for r in rows], pa.int64())})
+
+    # Each place once, however many control points are there. A name in one place gets what its place has, as often as it is there.
+    numbered = settle(own.groupBy("name", "z").agg(F.count(F.lit(1)).alias("spots"), F.sum("times").alias("times"), F.first("x").alias("x"), F.first("y").alias("y")).withColumn("id", F.monotonically_increasing_id()))
+    single = numbered.where("spots = 1")
+    seen = settle(ball_tasks(single.select(*dims).distinct(), spots, radius, dims, run, "_x double, _y double, mid double, std double, n long"))
+    out = single.join(seen, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).select("name", "z", "mid", "std", (F.col("n") * F.col("times")).alias("n"))
+    several = numbered.where("spots > 1")
+    if not several.isEmpty():
+        mine = own.withColumnsRenamed({"name": "_name", "z": "_z"})
+        mine = mine.join(several.select("id", "name", F.col("z").alias("gz")), F.col("_name").eqNullSafe(F.col("name")) & F.col("_z").eqNullSafe(F.col("gz"))).select("id", "times", *dims)
+        pairs = radius_join(mine.select(*dims).distinct(), spots, radius, dims).select(F.col("x").alias("px"), F.col("y").alias("py"), "n_z", "n_n")
+        met = mine.join(pairs, (F.col("x") == F.col("px")) & (F.col("y") == F.col("py"))).withColumn("w", F.col("times") * F.col("n_n"))
+        heights = met.groupBy("id", "n_z").agg(F.sum("w").alias("w"))
+        means = heights.where("n_z is not null").groupBy("id").agg((F.sum(F.col("n_z") * F.col("w")) / F.sum("w")).alias("mean"))
+        off = F.col("n_z") - F.col("mean")
+        stats = heights.join(means, "id", "left").groupBy("id").agg(
+            F.expr("percentile(n_z, 0.5, w)").alias("mid"), F.sqrt(F.sum(F.col("w") * off * off) / F.sum(F.when(F.col("n_z").isNotNull(), F.col("w")))).alias("std"), F.sum("w").alias("n")
+        )
+        out = out.unionByName(several.select("id", "name", "z").join(stats, "id").select("name", "z", "mid", "std", "n"))
     return out.withColumn("dz", F.col("z") - F.col("mid"))
 
 
@@ -120,46 +162,76 @@ def roof_shifts(corners: DataFrame, points: DataFrame, radius: float, residual:
 
     corners (surface, x, y, z), at least three a surface. With fewer than three points near, the shift is null.
     """
-    import pyarrow as pa
-
-    sizes = corners.groupBy("surface").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("corners")).where("corners >= 3")
-    near = radius_join(sizes.select("surface", "x", "y"), points.select("x", "y", "z"), radius, ("x", "y")).select(F.col("surface").alias("near"), "n_x", "n_y", "n_z")
-
-    def run(own: pa.Table, cloud: pa.Table) -> pa.Table:
-        v = np.stack([own[c].to_numpy() for c in "xyz"], axis=1) if own.num_rows else np.zeros((0, 3))
-        p = np.stack([cloud["n_" + c].to_numpy() for c in "xyz"], axis=1) if cloud.num_rows else np.zeros((0, 3))
-        p = p[np.lexsort(p.T)]
-        out = {"surface": [], "dx": [], "dy": [], "dz": [], "offset": [], "n": []}
-        if len(v) >= 3:
-            move, offset = [None] * 3, None
-            normal = _plane_normal(p, residual, tries, seed) if len(p) >= 3 else None
-            if normal is not None:
-                offset = float(np.median((v - p.mean(axis=0)) @ normal) - np.median((p - p.mean(axis=0)) @ normal))
-                move = (-offset * normal).tolist()
-            elif len(p) >= 3:
-                offset = float(v[:, 2].mean() - np.median(p[:, 2]))
-                move = [0.0, 0.0, offset]
-            for k, x in zip(out, [own["surface"][0].as_py(), *move, offset, len(p)]):
-                out[k].append(x)
-        kinds = (own.schema.field("surface").type, pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-        return pa.table({k: pa.array(x, t) for (k, x), t in zip(out.items(), kinds)})
-
+    dims = ("x", "y")
     kind = corners.schema["surface"].dataType.simpleString()
-    schema = f"surface {kind}, dx double, dy double, dz double, offset double, n long"
-    return corners.select("surface", "x", "y", "z").groupBy("surface").cogroup(near.groupBy("near")).applyInArrow(run, schema)
-
-
-def _plane_normal(p: np.ndarray, residual: float, tries: int, seed: int) -> np.ndarray | None:
-    rng, best, most = np.random.default_rng(seed), None, 0
+    own = corners.select("surface", "x", "y", "z")
+    middle = settle(own.groupBy("surface").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("corners"), F.collect_list(F.struct("x", "y", "z")).alias("v")).where("corners >= 3"))
+    spots = settle(finite(points.select(*dims, "z"), dims).groupBy(*dims, "z").agg(F.count(F.lit(1)).alias("many")))
+
+    def run(asked: pa.Table, near: pa.Table) -> pa.Table:
+        """Of each centre its points' plane: normal, mean, and medians along the normal and of heights."""
+        b, many = places(near, ("x", "y", "z")), near["many"].to_numpy()
+        out = {k: [] for k in ("at", "n", "normal", "mean", "along", "height")}
+        for i, j, d2 in blocks(places(asked, dims), b[:, :2], radius):
+            for one, row in zip(i.tolist(), d2 <= float(radius) * float(radius)):
+                sel = j[row]
+                if not len(sel):
+                    continue
+                sel = sel[np.lexsort(b[sel].T)]
+                p, w = b[sel], many[sel]
+                n = int(w.sum())
+                normal = _plane_normal(p, w, residual, tries, seed) if n >= 3 else None
+                mean = w @ p / n
+                out["at"].append(one)
+                out["n"].append(n)
+                out["normal"].append(None if normal is None else normal.tolist())
+                out["mean"].append(mean.tolist())
+                out["along"].append(None if normal is None else float(np.median(np.repeat((p - mean) @ normal, w))))
+                out["height"].append(float(np.median(np.repeat(p[:, 2], w))))
+        at, three = pa.array(out.pop("at"), pa.int64()), pa.list_(pa.float64())
+        kinds = {"n": pa.int64(), "normal": three, "mean": three, "along": pa.float64(), "height": pa.float64()}
+        return pa.table({"_x": asked["x"].take(at), "_y": asked["y"].take(at)} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
+
+    # Surfaces about one centre share its plane.
+    centres = finite(middle.select(F.col("cx").alias("x"), F.col("cy").alias("y")), dims).distinct()
+    planes = settle(ball_tasks(centres, spots, radius, dims, run, "_x double, _y double, n long, normal array<double>, mean array<double>, along double, height double", aim=1 << 12))
+
+    def move(batches):
+        for batch in batches:
+            t = batch.to_pydict()
+            out = {"surface": batch.column("surface"), "dx": [], "dy": [], "dz": [], "offset": [], "n": []}
+            for v, n, normal, mean, along, height in zip(t["v"], t["n"], t["normal"], t["mean"], t["along"], t["height"]):
+                v, moved, offset = np.array([[c["x"], c["y"], c["z"]] for c in v], dtype=np.float64), [None] * 3, None
+                if normal is not None:
+                    offset = float(np.median((v - np.array(mean)) @ np.array(normal)) - along)
+                    moved = (-offset * np.array(normal)).tolist()
+                elif n is not None and n >= 3:
+                    offset = float(v[:, 2].mean() - height)
+                    moved = [0.0, 0.0, offset]
+                for k, x in zip(("dx", "dy", "dz", "offset", "n"), (*moved, offset, n or 0)):
+                    out[k].append(x)
+            yield pa.RecordBatch.from_arrays([out["surface"], *[pa.array(out[k], pa.float64()) for k in ("dx", "dy", "dz", "offset")], pa.array(out["n"], pa.int64())], names=list(out))
+
+    met = middle.join(planes, (F.col("cx") == F.col("_x")) & (F.col("cy") == F.col("_y")), "left").select("surface", "v", "n", "normal", "mean", "along", "height")
+    return met.mapInArrow(move, f"surface {kind}, dx double, dy double, dz double, offset double, n long")
+
+
+def _plane_normal(p: np.ndarray, many: np.ndarray, residual: float, tries: int, seed: int) -> np.ndarray | None:
+    """The upright normal of the plane that most points agree with, each row of p being so many points."""
+    rng, best, most, upto = np.random.default_rng(seed), None, 0, np.cumsum(many)
     for _ in range(tries):
-        a, b, c = p[rng.choice(len(p), 3, replace=False)]
+        a, b, c = p[np.searchsorted(upto, rng.choice(int(upto[-1]), 3, replace=False), "right")]
         normal = np.cross(b - a, c - a)
         size = np.linalg.norm(normal)
-        if size > 1e-10 and (n := int((np.abs((p - a) @ normal / size) < residual).sum())) > most:
-            best, most = np.abs((p - a) @ normal / size) < residual, n
+        if size > 1e-10:
+            near = np.abs((p - a) @ normal / size) < residual
+            if (n := int(many[near].sum())) > most:
+                best, most = near, n
     if best is None or most < 3:
         return None
-    normal = np.linalg.svd(p[best] - p[best].mean(axis=0))[2][2]
+    own = p[best] - many[best] @ p[best] / most
+    # Without the square matrix of all points, which is not needed.
+    normal = np.linalg.svd(own * np.sqrt(many[best])[:, None], full_matrices=len(own) < 3)[2][2]
     return normal if normal[2] >= 0 else -normal  # one of two signs, so that reruns agree
 
 

@@ -97,3 +97,33 @@ def test_heaps_cost_no_pairs(spark, no_pairs):
     df = spark.range(60_000).select(F.col("id").alias("pid"), (F.col("id") % 100).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     assert noise.dbscan(df, 1.0, 1300).where("label = 1").count() == 60_000
     assert noise.radius_outliers(df, 1.0, 1).agg(F.min("n"), F.max("n")).first() == (1200, 1800)
+
+
+def test_control_points_without_pairs(spark, no_pairs):
+    """Names in one place share its points; a name twice in a place counts them twice."""
+    pts = [(i % 10 / 2, i % 7 / 2, float(i % 13)) for i in range(400)]
+    df = spark.createDataFrame(pts, "x double, y double, z double")
+    marks = [("a", 2.0, 2.0, 5.0), ("b", 2.0, 2.0, 6.0), ("c", 1.0, 1.0, 5.0), ("c", 1.0, 1.0, 5.0)]
+    got = {r.name: r for r in register.gcp_dz(spark.createDataFrame(marks, "name string, x double, y double, z double"), df, 1.2).collect()}
+    for name, x, y, z in marks:
+        own = sorted(p[2] for p in pts if (p[0] - x) ** 2 + (p[1] - y) ** 2 <= 1.44)
+        own = sorted(own * (2 if name == "c" else 1))
+        mid = (own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2
+        mean = sum(own) / len(own)
+        assert (got[name].n, got[name].mid, got[name].dz) == (len(own), mid, z - mid)
+        assert got[name]["std"] == pytest.approx((sum((v - mean) ** 2 for v in own) / len(own)) ** 0.5)
+
+
+def test_a_name_in_two_places(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 1.0), (0.0, 0.0, 1.0), (9.0, 0.0, 4.0)], "x double, y double, z double")
+    row = register.gcp_dz(spark.createDataFrame([("a", 0.0, 0.0, 5.0), ("a", 9.0, 0.0, 5.0)], "name string, x double, y double, z double"), df, 1.0).first()
+    assert (row.n, row.mid) == (3, 1.0) and row["std"] == pytest.approx(2**0.5)
+
+
+def test_many_points_at_a_roof(spark, no_pairs):
+    """A plane of 30,000 points: a square matrix of them would be 7 GB."""
+    df = spark.range(30_000).select((F.col("id") % 100 / 100).alias("x"), (F.col("id") / 30_000).alias("y"), (F.col("id") % 100 / 100 + 2).alias("z"))
+    corners = [(s, x, y, x + 3.0) for s in "ab" for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
+    got = register.roof_shifts(spark.createDataFrame(corners, "surface string, x double, y double, z double"), df, 5.0).collect()
+    assert [(r.surface, r.n) for r in sorted(got)] == [("a", 30_000), ("b", 30_000)]
+    assert all(r.offset == pytest.approx(0.5**0.5 , abs=0.01) for r in got)
