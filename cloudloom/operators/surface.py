@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cells import knn_join
-from ..lineage import settle
+from ..lineage import bounded, settle
 from ..quantiles import percentile
 
 
@@ -21,25 +21,24 @@ def bilinear(points: DataFrame, cells: DataFrame, size: float, rows: int, column
     """points with ``surface``, the grid's height between the four cells about each point, whose numbers are kept inside the grid.
 
     Weights are not limited, so points off the grid are extrapolated. A missing corner counts as ``fill``, by default the median of the cells.
-    Each point goes to its four corners in one equi-join, and comes back in one sum.
+    The four heights about each place are brought together once a cell, so a point meets one row and its sum has one order: along x first, then along y.
     """
     fx, fy = _at("x", x0, size), _at("y", y0, size)
     clip = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), c)).cast("long")
     p = points.withColumns({"_c": clip(F.floor(fx), columns), "_r": clip(F.floor(fy), rows)})
-    p = p.withColumns({"_wx": fx - F.col("_c"), "_wy": fy - F.col("_r"), "_c1": clip(F.col("_c") + 1, columns), "_r1": clip(F.col("_r") + 1, rows)})
-    one = F.lit(1.0)
-    corner = lambda r, c, w: F.struct(r.alias("r"), c.alias("c"), w.alias("w"))
-    corners = F.array(
-        corner(F.col("_r"), F.col("_c"), (one - F.col("_wx")) * (one - F.col("_wy"))), corner(F.col("_r"), F.col("_c1"), F.col("_wx") * (one - F.col("_wy"))),
-        corner(F.col("_r1"), F.col("_c"), (one - F.col("_wx")) * F.col("_wy")), corner(F.col("_r1"), F.col("_c1"), F.col("_wx") * F.col("_wy")),
-    )
-    spread = p.select(key, F.explode(corners).alias("_k"))
-    own = cells.select(F.col("row").alias("_cr"), F.col("col").alias("_cc"), F.col("z").alias("_z"))
-    met = spread.join(own, (F.col("_k.r") == F.col("_cr")) & (F.col("_k.c") == F.col("_cc")), "left")
+    p = p.withColumns({"_wx": fx - F.col("_c"), "_wy": fy - F.col("_r")})
+    # A cell is the first or the second one of two in a row; at the far border it is both.
+    sides = lambda c, n: F.array(F.struct(F.col(c).alias("at"), F.lit(0).alias("k")), F.struct((F.col(c) - 1).alias("at"), F.lit(1).alias("k")), F.struct(F.when(F.col(c) == n - 1, F.col(c)).alias("at"), F.lit(1).alias("k")))
+    spread = cells.select("row", "col", "z").withColumn("_i", F.explode(sides("row", rows))).withColumn("_j", F.explode(sides("col", columns))).where("_i.at is not null and _j.at is not null")
+    names = [(i, j) for i in (0, 1) for j in (0, 1)]
+    corners = spread.groupBy(F.col("_i.at").alias("_cr"), F.col("_j.at").alias("_cc")).agg(*[F.max(F.when((F.col("_i.k") == i) & (F.col("_j.k") == j), F.col("z"))).alias(f"_z{i}{j}") for i, j in names])
+    met = p.join(bounded(settle(corners)), (F.col("_r") == F.col("_cr")) & (F.col("_c") == F.col("_cc")), "left")
     if fill is None:
         fill = F.lit(percentile(cells, "z", 0.5)).cast("double")
-    sums = met.groupBy(F.col(key).alias("_key")).agg(F.sum(F.col("_k.w") * F.coalesce(F.col("_z"), fill)).alias("surface"))
-    return points.join(sums, F.col(key) == F.col("_key")).drop("_key")
+    one = F.lit(1.0)
+    part = lambda i, j: (F.col("_wy") if i else one - F.col("_wy")) * (F.col("_wx") if j else one - F.col("_wx")) * F.coalesce(F.col(f"_z{i}{j}"), fill)
+    surface = part(0, 0) + part(0, 1) + part(1, 0) + part(1, 1)
+    return met.withColumn("surface", surface).drop("_c", "_r", "_wx", "_wy", "_cr", "_cc", *[f"_z{i}{j}" for i, j in names])
 
 
 def dtm_lookup(points: DataFrame, nodes: DataFrame, size: float, rows: int, columns: int, x0: float = 0.0, y0: float = 0.0, key: str = "pid") -> DataFrame:

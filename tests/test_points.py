@@ -400,3 +400,24 @@ def test_streams(spark, tmp_path):
     assert spark.table("once").count() == 1 and spark.table("times").columns == ["start", "end", "step", "n", "mean"]
     kept = selection.latest(events, 1, ("moment",))
     assert kept.count() == 1
+
+
+def test_bilinear_sums_in_one_order(spark):
+    from cloudloom.operators import surface
+
+    rng = np.random.default_rng(5)
+    z = rng.random((6, 7))
+    cells = spark.createDataFrame([(r, c, float(z[r, c])) for r in range(6) for c in range(7)], "row long, col long, z double").repartition(7)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((2000, 2)) * [6.9, 5.9])]
+    pts = spark.createDataFrame(rows, "pid long, x double, y double").repartition(5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.pid: r.surface for r in surface.bilinear(pts, cells, 1.0, 6, 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 2000
+    for i, x, y in rows:
+        c, r = int(x), int(y)
+        u, v, c1, r1 = x - c, y - r, min(c + 1, 6), min(r + 1, 5)
+        assert got[i] == (1 - v) * (1 - u) * z[r, c] + (1 - v) * u * z[r, c1] + v * (1 - u) * z[r1, c] + v * u * z[r1, c1]
