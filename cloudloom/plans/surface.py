@@ -255,4 +255,10 @@ def ground_neighbours(spark, d):
 def nearest_thinned(spark, d):
     """The nearest point of a thinned cloud."""
     p = points(spark, d).select("pid", "x", "y", "z")
-    return knn_join(p, p.where("pid % 5 = 0"), 1, dims=("x", "y", "z"), self_join=False).select("pid", F.col("n_pid").alias("nearest"))
+
+    def nearest(rows, i, near, j, d2):
+        import pyarrow as pa
+
+        return pa.table({"pid": rows["pid"], "nearest": near["n_pid"].take(j)})
+
+    return knn_join(p, p.where("pid % 5 = 0"), 1, dims=("x", "y", "z"), self_join=False, reduce_to=(nearest, "pid long, nearest long"))
