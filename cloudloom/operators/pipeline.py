@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import settle
+from ..lineage import Stages, settle
 from . import clean, ground, noise, selection
 from .basic import thin_average
 
@@ -28,7 +28,13 @@ def step(*names: str):
 
 
 def _kept(points: DataFrame, marks: DataFrame, column: str = "keep") -> DataFrame:
-    return points.join(marks.where(F.col(column)).select("pid"), "pid", "left_semi")
+    """The points marked to stay. Numbers alone are shuffled first: if few points go, the rows stay where they are."""
+    stay = marks.where(F.col(column)).select("pid")
+    gone = settle(points.select("pid").join(stay, "pid", "left_anti").where("pid is not null"))
+    few = 1 << 17
+    if gone.limit(few + 1).count() <= few:
+        return points.where("pid is not null").join(F.broadcast(gone), "pid", "left_anti")
+    return points.join(gone, "pid", "left_anti").where("pid is not null")
 
 
 @step("sor")
@@ -156,13 +162,13 @@ def run(points: DataFrame, pipeline: list[dict], timings: list | None = None) ->
     timings: gets (type, seconds, rows left) of each step.
     """
     check(pipeline)
-    left = points
+    stages = Stages(points)
     for s in pipeline:
         began = time.time()
-        left = settle(STEPS[s["type"]](left, s))
+        stages.put(STEPS[s["type"]](stages.now, s))
         if timings is not None:
-            timings.append((s["type"], time.time() - began, left.count()))
-    return left
+            timings.append((s["type"], time.time() - began, stages.now.count()))
+    return stages.now
 
 
 def keep_mask(points: DataFrame, pipeline: list[dict]) -> DataFrame:
@@ -194,21 +200,21 @@ def load_preset(path: str) -> list[dict]:
 def headless(points: DataFrame, active: set[str], o: dict) -> DataFrame:
     """The second family of filters in their fixed order: intensity, radius, statistics, isolated, low points, surface, then a terrain model and
     the filters that need heights over it: floor, and clusters in the air unless they are lines."""
-    left = points
+    left, stages = points, Stages(points)
     if "intensity" in active:
         left = selection.intensity_floor(left, o["intensity_min"])
     if "ror" in active:
         left = _kept(left, noise.radius_outliers(left, o["ror_radius"], int(o["ror_min_points"])))
     if "sor" in active:
         left = _kept(left, noise.statistical_outliers(left, int(o["sor_neighbors"]), o["sor_std_ratio"]))
-    left = settle(left)
+    left = stages.put(left)
     if "isolated" in active:
         near = noise.nearest_distance(left).where(F.col("dist") <= o.get("isolated_min_dist", 0.5))
-        left = settle(left.join(near.select("pid"), "pid", "left_semi"))
+        left = stages.put(left.join(near.select("pid"), "pid", "left_semi"))
     if "low_points" in active:
-        left = settle(_kept(left, noise.low_points(left, o.get("lowpts_radius", 2.0), o.get("lowpts_below", 1.0), o.get("lowpts_above", 10.0))))
+        left = stages.put(_kept(left, noise.low_points(left, o.get("lowpts_radius", 2.0), o.get("lowpts_below", 1.0), o.get("lowpts_above", 10.0))))
     if "surface_noise" in active:
-        left = settle(_kept(left, clean.surface_noise(left, o.get("surf_grid", 0.5), o.get("surf_tolerance", 0.05), above=o.get("surf_proximity", 0.25))))
+        left = stages.put(_kept(left, clean.surface_noise(left, o.get("surf_grid", 0.5), o.get("surf_tolerance", 0.05), above=o.get("surf_proximity", 0.25))))
     if not active & {"floor", "dbscan"}:
         return left
     size = o.get("dtm_grid_size", 2.0)
@@ -216,13 +222,13 @@ def headless(points: DataFrame, active: set[str], o: dict) -> DataFrame:
     corner = left.groupBy(F.col("tile").alias("_ct")).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
     own = left.join(F.broadcast(corner), F.col("tile") == F.col("_ct"))
     at = (F.col("tile") == F.col("_t")) & (F.floor((F.col("y") - F.col("_y0")) / size) == F.col("_r")) & (F.floor((F.col("x") - F.col("_x0")) / size) == F.col("_c"))
-    own = settle(own.join(model, at, "left").withColumn("hag", F.coalesce(F.col("z") - F.col("_g"), F.lit(0.0))).drop("_ct", "_x0", "_y0", "_t", "_r", "_c", "_g"))
+    own = stages.put(own.join(model, at, "left").withColumn("hag", F.coalesce(F.col("z") - F.col("_g"), F.lit(0.0))).drop("_ct", "_x0", "_y0", "_t", "_r", "_c", "_g"))
     if "floor" in active:
-        own = settle(selection.floor_filter(own, o["floor_buffer"]))
+        own = stages.put(selection.floor_filter(own, o["floor_buffer"]))
     if "dbscan" in active:
         high = own.where(F.col("hag") > o["dbscan_base_alt"])
-        labels = noise.dbscan(high, o["dbscan_eps"], int(o["dbscan_min_points"])).withColumnRenamed("label", "cluster")
-        lines = ground.linearity(high.join(labels, "pid").where("cluster is not null")).where(F.col("linearity") >= o["dbscan_linearity"])
+        labels = settle(noise.dbscan(high, o["dbscan_eps"], int(o["dbscan_min_points"])).withColumnRenamed("label", "cluster").where("cluster is not null"))
+        lines = ground.linearity(high.join(labels, "pid")).where(F.col("linearity") >= o["dbscan_linearity"])
         stay = labels.join(lines.select("cluster"), "cluster", "left_semi").select("pid")
         own = own.where(F.col("hag") <= o["dbscan_base_alt"]).unionByName(high.join(stay, "pid", "left_semi"))
     return own
