@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,12 @@ def low_points(points: DataFrame, radius: float, below: float, above: float, exc
 def statistical_outliers(points: DataFrame, k: int, ratio: float, size: float | None = None) -> DataFrame:
     """keep: mean distance to the k nearest others at most mean + ratio * deviation over all points."""
     small = points.select("pid", "x", "y", "z")
-    near = knn_join(small, small, k, size, ("x", "y", "z"))
-    mean = near.groupBy("pid").agg(F.round(F.avg(F.sqrt("d2")), 6).alias("mean_d"))
+
+    def averaged(rows: pa.Table, i: np.ndarray, near: pa.Table, j: np.ndarray, d2: np.ndarray) -> pa.Table:
+        return pa.table({"pid": rows["pid"], "mean_d": np.bincount(i, np.sqrt(d2), rows.num_rows) / np.bincount(i, minlength=rows.num_rows)})
+
+    mean = knn_join(small, small, k, size, ("x", "y", "z"), reduce_to=(averaged, f"pid {points.schema['pid'].dataType.simpleString()}, mean_d double"))
+    mean = mean.select("pid", F.round("mean_d", 6).alias("mean_d"))
     limit = mean.agg((F.avg("mean_d") + ratio * F.stddev_pop("mean_d")).alias("top"))
     return mean.crossJoin(F.broadcast(limit)).select("pid", "mean_d", (F.col("mean_d") <= F.col("top")).alias("keep"))
 
@@ -51,7 +57,12 @@ def bilateral(points: DataFrame, k: int, sigma_s: float, sigma_r: float, size: f
 def nearest_distance(points: DataFrame, size: float | None = None) -> DataFrame:
     """Distance to the nearest other point in XY."""
     small = points.select("pid", "x", "y")
-    return knn_join(small, small, 1, size).select("pid", F.col("n_pid").alias("nearest"), F.sqrt("d2").alias("dist"))
+
+    def nearest(rows: pa.Table, i: np.ndarray, near: pa.Table, j: np.ndarray, d2: np.ndarray) -> pa.Table:
+        return pa.table({"pid": rows["pid"], "nearest": near["n_pid"].take(j), "dist": np.sqrt(d2)})  # one a row
+
+    kind = points.schema["pid"].dataType.simpleString()
+    return knn_join(small, small, 1, size, reduce_to=(nearest, f"pid {kind}, nearest {kind}, dist double"))
 
 
 def low_cleanup(points: DataFrame, k: int, drop: float, size: float | None = None) -> DataFrame:
