@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..cells import cell
+from ..ranges import running
 
 SURFACE_CLASSES = (2, 3, 4, 5, 6)
 
@@ -127,15 +128,31 @@ def confusion(truth_and_guess: DataFrame, classes: tuple[int, ...]) -> DataFrame
 
 
 def processing_stats(log: DataFrame) -> DataFrame:
-    """Totals, by step and by batch in one pass; a missing batch is named."""
+    """Totals, by step and by batch in one pass; a missing batch is named.
+
+    Quartiles come from running counts of the distinct durations in order, stretch by stretch: no task holds the durations of a group.
+    """
     named = log.withColumn("batch", F.coalesce(F.col("batch").cast("string"), F.lit("(no batch)")))
-    d = "duration"
-    return named.groupingSets([[], ["step"], ["batch"]], "step", "batch").agg(
+    d, by = "duration", ("level", "step", "batch")
+    stats = named.groupingSets([[], ["step"], ["batch"]], "step", "batch").agg(
         F.grouping_id("step", "batch").cast("int").alias("level"),
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(d), 2).alias("total"), F.round(F.avg(d), 4).alias("mean"), F.round(F.expr(f"percentile({d}, 0.5)"), 4).alias("median"),
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(d), 2).alias("total"), F.round(F.avg(d), 4).alias("mean"),
         F.min(d).alias("least"), F.max(d).alias("most"), F.round(F.coalesce(F.stddev_samp(d), F.lit(0.0)), 4).alias("std"),
-        F.round(F.expr(f"percentile({d}, 0.25)"), 4).alias("p25"), F.round(F.expr(f"percentile({d}, 0.75)"), 4).alias("p75"),
     )
+    counted = named.where(F.col(d).isNotNull()).groupBy("step", "batch", d).agg(F.count(F.lit(1)).alias("_c"))
+    none = F.lit(None).cast("string")
+    sets = F.array(*[F.struct(F.lit(i).alias("level"), s.alias("step"), b.alias("batch")) for i, s, b in ((3, none, none), (1, F.col("step"), none), (2, none, F.col("batch")))])
+    spread = counted.select(F.explode(sets).alias("_g"), F.col(d), "_c").groupBy(*[F.col(f"_g.{c}").alias(c) for c in by], d).agg(F.sum("_c").alias("_c"))
+    own = running(spread, [d], by, {"_upto": "_c"}, {"_all": "_upto"})
+    shares = {"median": 0.5, "p25": 0.25, "p75": 0.75}
+    held = lambda r: F.max(F.when((F.col("_upto") - F.col("_c") <= r) & (r < F.col("_upto")), F.col(d)))
+    picks = [held(f(F.lit(s) * (F.col("_all") - 1))).alias(f"_{n}{k}") for n, s in shares.items() for k, f in enumerate((F.floor, F.ceil))]
+    ends = own.groupBy(*by).agg(F.max("_all").alias("_all"), *picks)
+    at = lambda s: F.lit(s) * (F.col("_all") - 1)
+    between = lambda n, s: F.when(F.col(f"_{n}0") == F.col(f"_{n}1"), F.col(f"_{n}0")).otherwise((F.ceil(at(s)) - at(s)) * F.col(f"_{n}0") + (at(s) - F.floor(at(s))) * F.col(f"_{n}1"))
+    quartiles = ends.select(*[F.col(c).alias("_" + c) for c in by], *[F.round(between(n, s), 4).alias(n) for n, s in shares.items()])
+    same = (F.col("level") == F.col("_level")) & F.col("step").eqNullSafe(F.col("_step")) & F.col("batch").eqNullSafe(F.col("_batch"))
+    return stats.join(quartiles, same, "left").select("step", "batch", "level", "n", "total", "mean", "median", "least", "most", "std", "p25", "p75")
 
 
 def hillshade(cells: DataFrame, size: float, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
