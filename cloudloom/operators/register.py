@@ -276,17 +276,16 @@ def _normals(points: DataFrame, k: int) -> DataFrame:
     """points (pid, x, y, z) with nx, ny, nz, the upright normal of the k nearest points and the point itself."""
     import pyarrow as pa
 
-    from ..cells import knn_join
+    from .ground import PAIRS, covariances
 
     small = points.select("pid", "x", "y", "z")
-    near = knn_join(small, small, k, dims=("x", "y", "z"))
-    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    sums = near.groupBy("pid", "x", "y", "z").agg(*[F.covar_pop("n_" + a, "n_" + b).alias(a + b) for a, b in pairs])
+    at = {c: lambda rows, i, near, j, c=c: rows[c].to_numpy() for c in "xyz"}
+    sums = covariances(small, k, more=at).select("pid", "x", "y", "z", *[a + b for a, b in PAIRS])
 
     def solve(batches):
         for batch in batches:
             c = np.zeros((batch.num_rows, 3, 3))
-            for i, (a, b) in enumerate(pairs):
+            for i, (a, b) in enumerate(PAIRS):
                 v = np.nan_to_num(batch.column(4 + i).to_numpy(zero_copy_only=False).astype(np.float64))
                 c[:, "xyz".index(a), "xyz".index(b)] = c[:, "xyz".index(b), "xyz".index(a)] = v
             n = np.linalg.eigh(c)[1][:, :, 0] if batch.num_rows else np.zeros((0, 3))
