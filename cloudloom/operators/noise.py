@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..balls import aggregate_spots, finite, linked_spots
-from ..cells import ball_aggregate, knn_join, with_groups
-from ..lineage import settle
+from ..balls import aggregate_spots, finite, has_place, linked_spots
+from ..cells import ball_aggregate, cell, knn_join, with_groups
+from ..graph import components
+from ..lineage import bounded, settle
 from ..quantiles import percentile
 
 
@@ -73,25 +74,83 @@ def low_cleanup(points: DataFrame, k: int, drop: float, size: float | None = Non
     return mid.select("pid", F.round("mid", 6).alias("mid"), (F.col("z") >= F.col("mid") - drop).alias("keep"))
 
 
-def dbscan(points: DataFrame, eps: float, least: int, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """(pid, label): the smallest core id of each cluster; null for noise.
+def _around(cells: DataFrame, keys: list[str], width: int, *values: Column) -> DataFrame:
+    """Blocks of ``width`` cells a side that hold any of the cells or touch one that does; values: aggregates over those cells, merged by their names least_, most_ or any_."""
+    blocks = [f"b{i}" for i in range(len(keys))]
+    out = cells.groupBy(*[F.floor(F.col(k) / width).alias(b) for k, b in zip(keys, blocks)]).agg(F.count(F.lit(1)).alias("_n"), *values).drop("_n")
+    for b in blocks:
+        out = out.withColumn(b, F.explode(F.array(*[F.col(b) + i for i in (-1, 0, 1)])))
+    merge = {"least": F.min, "most": F.max, "any": F.max}
+    named = [c for c in out.columns if c not in blocks]
+    return out.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n"), *[merge[c.split("_")[0]](c).alias(c) for c in named]).drop("_n")
+
+
+def _clusters(points: DataFrame, eps: float, least: int, dims: tuple[str, ...]) -> DataFrame:
+    """points with the label that dbscan gives them.
 
-    Points in one place are one spot. Spots are counted, linked and, at a border, given the least cluster among their core neighbours
-    box by box; the only graph left is that of clusters that boxes share.
+    Space is cut into cells no wider than eps across: a cell of ``least`` points has core points only, and the core points of any cell are one cluster. So crowded
+    cells are never searched. Counted are the few points of other cells, linked are the outermost core points of each cell; only where cells of different
+    clusters lie side by side, and some have more points than those, are all of their points linked.
     """
-    small = points.select("pid", *dims)
-    placed = finite(small, dims)
-    spots = settle(placed.groupBy(*dims).agg(F.min("pid").alias("spot"), F.count(F.lit(1)).alias("n")))
-    count = aggregate_spots(spots, spots, eps, dims, {"n": "sum"}).where(F.col("n") >= least)
-    core = settle(spots.join(count.select("spot"), "spot", "left_semi"))
-    named = settle(core.join(linked_spots(core, eps, dims), "spot").select("spot", *dims, "label"))
-    rest = spots.join(core, "spot", "left_anti")
-    border = aggregate_spots(rest, named, eps, dims, {"label": "min"})
-    labels = named.select("spot", "label").unionByName(border)
-    g = F.struct(*dims).alias("g")
-    found = settle(spots.join(labels, "spot", "left").select(g, "n", "label"))
-    nowhere = small.join(placed, "pid", "left_anti").select("pid", F.lit(None).cast("long").alias("label"))
-    return with_groups(placed.select("pid", g), found).select("pid", "label").unionByName(nowhere)
+    placed = finite(points, dims)
+    keys, width = [f"k{i}" for i in range(len(dims))], int(len(dims) ** 0.5) + 1
+    far = placed.agg(F.max(F.array_max(F.array(*[F.abs(F.col(d)) for d in dims])))).first()[0] or 0.0
+    # Beyond that, cells are not exact enough: then each place is one.
+    gridded = far / eps < 1 << 28
+    edge = eps / len(dims) ** 0.5 * (1 - 1e-6)
+    own = placed.withColumns({k: cell(d, edge) if gridded else F.col(d) for k, d in zip(keys, dims)})
+    spots_of = lambda rows: rows.groupBy(*keys, *dims).agg(F.min("pid").cast("long").alias("spot"), F.count(F.lit(1)).alias("n"))
+
+    def spots_about(cells: DataFrame) -> DataFrame:
+        """The spots that may be within eps of some spot of the cells."""
+        if not gridded:
+            return spots_of(own)
+        blocks = _around(cells, keys, width)
+        return spots_of(own.withColumns({b: F.floor(F.col(k) / width) for k, b in zip(keys, blocks.columns)}).join(bounded(blocks), blocks.columns, "left_semi"))
+
+    at = F.struct("spot", *dims)
+    ends = F.array_distinct(F.array(*[f(at, F.col(d)) for d in dims for f in (F.min_by, F.max_by)]))
+    cells = spots_of(own).groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("places"), F.min("spot").alias("low"), ends.alias("ends"))
+    cells = settle(cells.withColumn("ends", F.when(F.col("n") >= least, F.col("ends"))))
+    full, thin = cells.where(F.col("n") >= least), cells.where(F.col("n") < least).select(*keys)
+    loose = settle(spots_of(own.join(bounded(thin), keys, "left_semi")))
+    near = settle(spots_about(thin))
+    counted = aggregate_spots(loose, near, eps, dims, {"n": "sum"}).where(F.col("n") >= least)
+    lone = settle(loose.join(counted.select("spot"), "spot", "left_semi").select("spot", *dims, *keys))  # core points of thin cells
+    nodes = settle(full.select(F.explode("ends").alias("e"), *keys).select("e.*", *keys).unionByName(lone))
+    named = nodes.select("spot", *keys).join(linked_spots(nodes, eps, dims), "spot").groupBy(*keys).agg(F.min("label").alias("part"))
+    facts = full.select(*keys, "low", (F.col("places") > F.size("ends")).alias("more")).unionByName(lone.groupBy(*keys).agg(F.min("spot").alias("low")).withColumn("more", F.lit(False)))
+    parts = settle(named.join(facts, keys))
+    if gridded:
+        blocks = _around(parts, keys, width, F.min("part").alias("least_part"), F.max("part").alias("most_part"), F.max("more").alias("any_more"))
+        blocks = settle(blocks.where("any_more and least_part < most_part").drop("least_part", "most_part", "any_more"))
+        if not blocks.isEmpty():
+            side = settle(parts.withColumns({b: F.floor(F.col(k) / width) for k, b in zip(keys, blocks.columns)}).join(bounded(blocks), blocks.columns, "left_semi").select(*keys, "part"))
+            crowded = spots_of(own.join(bounded(side.join(full, keys, "left_semi").select(*keys)), keys, "left_semi")).select("spot", *dims, *keys)
+            open_spots = settle(crowded.unionByName(lone.join(bounded(side.select(*keys)), keys, "left_semi").select("spot", *dims, *keys)))
+            met = open_spots.select("spot", *keys).join(linked_spots(open_spots, eps, dims), "spot").join(bounded(side), keys)
+            joins = settle(met.select(F.col("part").alias("a"), F.col("label").alias("b")).where("a <> b").distinct())
+            if not joins.isEmpty():
+                merged = settle(components(joins)).withColumnRenamed("label", "_part")
+                parts = settle(parts.join(bounded(merged), F.col("part") == F.col("v"), "left").select(*keys, "low", F.coalesce("_part", "part").alias("part")))
+    names = settle(parts.groupBy("part").agg(F.min("low").alias("label"), F.count(F.lit(1)).alias("n")))
+    labels = settle(with_groups(parts.select("part", *keys), names, "part").select(*keys, "label"))
+    rest = settle(loose.join(lone.select("spot"), "spot", "left_anti").select("spot", *dims))
+    seen = settle(near.join(rest.select("spot"), "spot", "left_anti").join(bounded(labels), keys).select(*dims, "label"))
+    border = aggregate_spots(rest, seen, eps, dims, {"label": "min"})
+    found = lone.join(bounded(labels), keys).select("spot", "label").unionByName(border)
+    loose = settle(loose.select("spot", *dims).join(found, "spot", "left").select(*dims, "label"))
+    g = F.struct(*keys).alias("g")
+    whole = settle(cells.select(g, *keys, "n").join(labels, keys, "left").select("g", "n", (F.col("n") < least).alias("thin"), "label"))
+    met = with_groups(own.select(*points.columns, g), whole)
+    thick = met.where("not thin").select(*points.columns, "label")
+    others = met.where("thin").select(*points.columns).join(loose, list(dims), "left").select(*points.columns, "label")
+    return thick.unionByName(others).unionByName(points.where(~has_place(dims)).withColumn("label", F.lit(None).cast("long")))
+
+
+def dbscan(points: DataFrame, eps: float, least: int, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """(pid, label): the smallest core id of each cluster; null for noise."""
+    return _clusters(points.select("pid", *dims), eps, least, dims).select("pid", "label")
 
 
 def dbscan_noise(points: DataFrame, eps: float, least: int, smallest: int, mode: str = "both", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -99,10 +158,11 @@ def dbscan_noise(points: DataFrame, eps: float, least: int, smallest: int, mode:
     of the median height; a small cluster is judged by its mean height, a noise point by its own."""
     if mode not in ("above", "below", "both"):
         raise ValueError(f"unknown mode {mode!r}")
-    labelled = dbscan(points, eps, least, dims).join(points.select("pid", "z"), "pid")
+    labelled = _clusters(points.select("pid", *dict.fromkeys((*dims, "z"))), eps, least, dims)
     mid = F.lit(percentile(points, "z", 0.5)).cast("double").alias("mid")
     means = labelled.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.avg("z").alias("level"))
-    judged = labelled.join(means, "label", "left").select("*", mid)
-    level = F.when(F.col("label").isNull(), F.col("z")).when(F.col("members") < smallest, F.col("level"))
+    small = settle(means.where(F.col("members") < smallest))
+    judged = labelled.join(bounded(small), "label", "left").select("*", mid)
+    level = F.when(F.col("label").isNull(), F.col("z")).otherwise(F.col("level"))
     off = {"above": level > F.col("mid"), "below": level < F.col("mid"), "both": level.isNotNull()}[mode]
     return judged.select("pid", "label", (~F.coalesce(off, F.lit(False))).alias("keep"))

@@ -150,3 +150,34 @@ def test_farthest_points_of_heaps(spark):
     df = spark.range(90).select((F.col("id") + 3).alias("pid"), F.lit(1).alias("batch"), (F.col("id") % 3).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     got = kernels.farthest_points(df, 5).orderBy("rank").collect()
     assert [r.pid for r in got] == [3, 5, 4, 3, 3]
+
+
+def test_crowded_cells_are_not_searched(spark, monkeypatch):
+    """Only points of cells with fewer than ``least`` are counted, and crowded cells are linked by their outermost points."""
+    from cloudloom.operators import noise as own
+
+    looked = []
+    count, link = own.aggregate_spots, own.linked_spots
+    monkeypatch.setattr(own, "aggregate_spots", lambda probe, *a, **k: looked.append(probe.count()) or count(probe, *a, **k))
+    monkeypatch.setattr(own, "linked_spots", lambda spots, *a, **k: looked.append(spots.count()) or link(spots, *a, **k))
+    rows = scattered(3000, 8.0, 5) + [(5000, 40.0, 0.0, 0.0), (5001, 40.5, 0.0, 0.0)]
+    got = {r.pid: r.label for r in own.dbscan(spark.createDataFrame(rows, "pid long, x double, y double, z double"), 4.0, 3).collect()}
+    assert got == {p: 0 if p < 5000 else None for p, *_ in rows}
+    assert max(looked) < 1500
+
+
+def test_cells_linked_by_inner_points(spark):
+    """The outermost points of two crowded cells are too far apart, inner ones are not; a third cell stays apart."""
+    a = [(0.8, 0.8, 0.8), (0.95, 0.1, 0.1), (0.1, 0.95, 0.1), (0.1, 0.1, 0.95), (0.05, 0.05, 0.05)]
+    b = [(1.7, 1.7, 1.7), (1.6, 1.9, 1.9), (1.9, 1.6, 1.9), (1.9, 1.9, 1.6), (1.95, 1.95, 1.95)]
+    c = [(3.9 + 0.01 * i, 0.5, 0.5) for i in range(5)]
+    rows = [(i, *p) for i, p in enumerate(a + b + c)] + [(90, float("nan"), 0.0, 0.0), (91, None, 0.0, 0.0)]
+    got = {r.pid: r.label for r in noise.dbscan(spark.createDataFrame(rows, "pid long, x double, y double, z double"), 3**0.5, 4).collect()}
+    assert got == {i: 0 for i in range(10)} | {i: 10 for i in range(10, 15)} | {90: None, 91: None}
+
+
+def test_far_places_are_cells(spark):
+    """So far out that a cell's number would not be exact."""
+    rows = [(i, 1e12 + i * 0.5, 0.0, 0.0) for i in range(5)] + [(9, -1e12, 0.0, 0.0)]
+    got = {r.pid: r.label for r in noise.dbscan(spark.createDataFrame(rows, "pid long, x double, y double, z double"), 0.75, 2).collect()}
+    assert got == {i: 0 for i in range(5)} | {9: None}
