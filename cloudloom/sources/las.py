@@ -1,6 +1,7 @@
 """LAS files as a Spark data source: ``spark.read.format("las").load(folder)`` and ``df.write.format("las").save(folder)``.
 
-Reading: headers give one partition for each million points of a file, of compressed files as many whole chunks; files whose box misses the option
+Reading: headers give one partition for each million points of a file, of compressed files as many whole chunks (option ``chunk``: so many points at most); beyond
+some hundred partitions those of few points are read several by a task. Files whose box misses the option
 ``bbox`` (min_x,min_y,max_x,max_y) are never opened again. ``read_las`` reads headers in a Spark job, once, and hands the table on; a bare
 ``spark.read`` reads them in threads. Files with a bad header are skipped with a warning, and so are compressed ones of formats 6 to 10.
 Formats 0 to 3 and 6 to 8 are read with all attributes, 4, 5, 9 and 10 without their wave packets; extra dimensions are columns.
@@ -212,6 +213,27 @@ class Chunk(InputPartition):
     pieces: list = field(default_factory=list)  # (place, bytes, points) of whole chunks of a compressed file
 
 
+@dataclass
+class Several(InputPartition):
+    parts: list
+
+
+def _together(parts: list[Chunk], most: int = 256) -> list[InputPartition]:
+    """Parts that follow one another as one partition, where there are so many that tasks would do little else than begin: about ``most`` then, none of many more than CHUNK points."""
+    if len(parts) <= most:
+        return parts
+    aim = min(CHUNK, -(-sum(p.n for p in parts) // most))
+    out: list[Several] = []
+    held = aim
+    for p in parts:
+        if held >= aim:
+            out.append(Several([]))
+            held = 0
+        out[-1].parts.append(p)
+        held += p.n
+    return out
+
+
 def _compressed_parts(h: Header, most: int) -> list[Chunk]:
     """Whole chunks in file order, so many together that they have at most so many points, one at least."""
     with open_read(h.path) as f:
@@ -249,9 +271,13 @@ class LasReader(DataSourceReader):
         out: list[Chunk] = []
         for h in found:
             out += pieces[h.path] if h.path in pieces else [Chunk(h, i, min(chunk, h.n_points - i)) for i in range(0, h.n_points, chunk)]
-        return out or [Chunk(Header(""), 0, 0)]
+        return _together(out) or [Chunk(Header(""), 0, 0)]
+
+    def read(self, part: InputPartition):
+        for own in part.parts if isinstance(part, Several) else [part]:
+            yield from self._read(own)
 
-    def read(self, part: Chunk):
+    def _read(self, part: Chunk):
         h = part.header
         if not part.n:
             return

@@ -141,3 +141,12 @@ def test_headers_by_a_job(spark, tmp_path):
         found, bad = las.scan_headers(spark, str(tmp_path), files_a_task=2)
     assert [h.low[0] for h in found] == [float(i) for i in range(7)] and [b[-5:] for b in bad] == ["8.las"]
     assert found == las.headers(str(tmp_path))[0]
+
+
+def test_many_chunks_are_few_partitions(spark, tmp_path):
+    """600 chunks of 2 points, each decoded on its own, in some 256 tasks at most; points keep their places."""
+    for name in "ab":
+        las.write_file(str(tmp_path / f"{name}.laz"), pa.table({"x": np.arange(600.0), "y": np.zeros(600), "z": np.zeros(600)}), {"compress": "true", "chunk": "2"})
+    back = las.read_las(spark, str(tmp_path), chunk=2)
+    assert back.rdd.getNumPartitions() <= 256
+    assert sorted((r.file, r.point_idx, round(r.x, 3)) for r in back.select("file", "point_idx", "x").collect()) == [(f"{f}.laz", i, float(i)) for f in "ab" for i in range(600)]
