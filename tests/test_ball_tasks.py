@@ -181,3 +181,17 @@ def test_far_places_are_cells(spark):
     rows = [(i, 1e12 + i * 0.5, 0.0, 0.0) for i in range(5)] + [(9, -1e12, 0.0, 0.0)]
     got = {r.pid: r.label for r in noise.dbscan(spark.createDataFrame(rows, "pid long, x double, y double, z double"), 0.75, 2).collect()}
     assert got == {i: 0 for i in range(5)} | {9: None}
+
+
+def test_icp_aligns_all_points(spark, monkeypatch):
+    """The query keeps no point back and does not stop before the alignment has settled."""
+    import numpy as np
+
+    from cloudloom.plans import terrain
+
+    rows = [(i, float(i % 7), float(i % 5), float(20 * i)) for i in range(20)]
+    seen = []
+    monkeypatch.setattr(terrain, "points", lambda spark, d: spark.createDataFrame(rows, "pid long, x double, y double, z double"))
+    monkeypatch.setattr(register, "icp", lambda source, target, **more: seen.append((source.count(), target.count(), more.get("rounds", 30))) or (np.eye(4), 0.0))
+    assert terrain.icp(spark, "").count() == 16
+    assert seen == [(20, 20, 30)]
