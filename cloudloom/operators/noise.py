@@ -20,6 +20,33 @@ def radius_outliers(points: DataFrame, radius: float, least: int) -> DataFrame:
     return counted.withColumn("keep", F.col("n") >= least)
 
 
+def enough_near(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """(pid, keep): what ``radius_outliers`` keeps, without the counts.
+
+    Of a cell no wider than the radius across that holds so many points all stay, so only points of other cells are counted.
+    """
+    dims, keys = ("x", "y", "z"), ["k0", "k1", "k2"]
+    placed = finite(points.select("pid", *dims), dims)
+    far = placed.agg(F.max(F.array_max(F.array(*[F.abs(F.col(d)) for d in dims])))).first()[0] or 0.0
+    # Beyond that, cells are not exact enough: then each place is one.
+    gridded = far < radius * (1 << 28)
+    own = placed.withColumns({k: cell(d, radius / 3**0.5 * (1 - 1e-6)) if gridded else F.col(d) for k, d in zip(keys, dims)})
+    cells = settle(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    thin = cells.where(F.col("n") < least).select(*keys)
+    spots_of = lambda rows: rows.groupBy(*dims).agg(F.count(F.lit(1)).alias("n")).withColumn("spot", F.monotonically_increasing_id())
+    loose = settle(spots_of(own.join(bounded(thin), keys, "left_semi")))
+    if gridded:
+        blocks = _around(thin, keys, 2)
+        near = own.withColumns({b: F.floor(F.col(k) / 2) for k, b in zip(keys, blocks.columns)}).join(bounded(settle(blocks)), blocks.columns, "left_semi")
+    else:
+        near = own
+    counted = aggregate_spots(loose, settle(spots_of(near)), radius, dims, {"n": "sum"})
+    counted = settle(loose.select("spot", F.struct(*dims).alias("g")).join(counted, "spot").select("g", "n"))
+    rest = with_groups(own.join(bounded(thin), keys, "left_semi").select("pid", F.struct(*dims).alias("g")), counted).select("pid", "n")
+    full = own.join(bounded(thin), keys, "left_anti").select("pid", F.lit(least).cast("long").alias("n"))
+    return full.unionByName(rest).groupBy("pid").agg((F.sum("n") >= least).alias("keep"))
+
+
 def low_points(points: DataFrame, radius: float, below: float, above: float, exclude_self: bool = True) -> DataFrame:
     """keep: no lower than the lowest neighbour less ``below``, no higher than the highest plus ``above``.
 

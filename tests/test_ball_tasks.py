@@ -195,3 +195,16 @@ def test_icp_aligns_all_points(spark, monkeypatch):
     monkeypatch.setattr(register, "icp", lambda source, target, **more: seen.append((source.count(), target.count(), more.get("rounds", 30))) or (np.eye(4), 0.0))
     assert terrain.icp(spark, "").count() == 16
     assert seen == [(20, 20, 30)]
+
+
+def test_points_of_crowded_cells_are_not_counted(spark, monkeypatch):
+    """The same points stay as by counts; only those in cells with too few are counted. Odd places stay nowhere."""
+    counted, count = [], noise.aggregate_spots
+    monkeypatch.setattr(noise, "aggregate_spots", lambda probe, *a, **k: counted.append(probe.count()) or count(probe, *a, **k))
+    rows = scattered(3000, 8.0, 6) + [(5000, 40.0, 0.0, 0.0), (5001, 40.5, 0.0, 0.0), (5002, 43.0, 0.0, 0.0), (5003, -40.0, 0.0, 0.0), (5004, float("nan"), 0.0, 0.0), (5005, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "pid long, x double, y double, z double")
+    got = {r.pid: r.keep for r in noise.enough_near(df, 3.0, 3).collect()}
+    assert got == {r.pid: r.keep for r in noise.radius_outliers(df, 3.0, 3).collect()} and not got[5003] and got[5000]
+    assert counted[0] < 300
+    far = spark.createDataFrame([(i, 1e12 + i * 0.5, 0.0, 0.0) for i in range(5)], "pid long, x double, y double, z double")
+    assert noise.enough_near(far, 0.75, 3).where("keep").count() == 3
