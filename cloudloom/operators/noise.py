@@ -53,10 +53,24 @@ def low_points(points: DataFrame, radius: float, below: float, above: float, exc
     With the point among its own neighbours the rule can never fire; ``exclude_self=False`` gives that behaviour.
     """
     small = points.select("pid", "x", "y", "z")
-    near = ball_aggregate(small, radius, ("x", "y"), {"lo": ("min", F.col("z")), "hi": ("max", F.col("z"))}, others=exclude_self)
-    near = near.withColumnRenamed("pid", "p")
-    odd = (F.col("z") < F.col("lo") - below) | (F.col("z") > F.col("hi") + above)
-    return small.join(near, F.col("pid") == F.col("p"), "left").select("pid", "z", (~F.coalesce(odd, F.lit(False))).alias("keep"))
+    dims, at = ("x", "y"), F.struct("x", "y").alias("g")
+    # Heights over one place in XY are one spot: its extremes meet those of other places, and within a place its second ones stand in for a point's own.
+    heights = settle(finite(small, dims).where("z is not null and not isnan(z)").groupBy(*dims, "z").agg(F.count(F.lit(1)).alias("n")))
+    first = heights.groupBy(*dims).agg(F.sum("n").alias("n"), F.min(F.struct("z", "n")).alias("a"), F.max(F.struct("z", "n")).alias("b"))
+    first = settle(first.select("n", *[F.col(f"{k}.{c}").alias(k + c) for k in "ab" for c in "zn"], at).withColumn("spot", F.monotonically_increasing_id()))
+    found = first
+    if exclude_self:
+        inner = with_groups(heights.select("z", at), first.select("g", "n", "az", "bz"))
+        second = inner.groupBy("g").agg(F.min(F.when(F.col("z") > F.col("az"), F.col("z"))).alias("a2"), F.max(F.when(F.col("z") < F.col("bz"), F.col("z"))).alias("b2"))
+        found = first.join(second, "g").withColumns({f"{k}2": F.when(F.col(k + "n") > 1, F.col(k + "z")).otherwise(F.col(k + "2")) for k in "ab"})
+    spots = first.select("spot", "g.*", F.col("az").alias("lo"), F.col("bz").alias("hi"), F.lit(1).cast("long").alias("n"))
+    about = aggregate_spots(spots, spots, radius, dims, {"lo": "min", "hi": "max"}, others=True)
+    found = settle(found.join(about, "spot", "left").drop("spot"))
+    met = with_groups(finite(small, dims).select("pid", "z", at), found)
+    own = lambda k: F.when(F.col("z") == F.col(k + "z"), F.col(k + "2")).otherwise(F.col(k + "z")) if exclude_self else F.col(k + "z")
+    odd = (F.col("z") < F.least("lo", own("a")) - below) | (F.col("z") > F.greatest("hi", own("b")) + above)
+    gone = settle(met.where(odd).select("pid"))
+    return small.join(bounded(gone.withColumnsRenamed({"pid": "p"})), F.col("pid") == F.col("p"), "left").select("pid", "z", F.col("p").isNull().alias("keep"))
 
 
 def statistical_outliers(points: DataFrame, k: int, ratio: float, size: float | None = None) -> DataFrame:

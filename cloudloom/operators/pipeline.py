@@ -44,12 +44,12 @@ def _sor(p, o):
 
 @step("ror")
 def _ror(p, o):
-    return _kept(p, noise.radius_outliers(p, o.get("radius", 1.0), int(o.get("min_points", 5))))
+    return _kept(p, noise.enough_near(p, o.get("radius", 1.0), int(o.get("min_points", 5))))
 
 
 @step("isolated")
 def _isolated(p, o):
-    return _kept(p, noise.radius_outliers(p, o.get("search_radius", 0.5), int(o.get("min_neighbors", 3))))
+    return _kept(p, noise.enough_near(p, o.get("search_radius", 0.5), int(o.get("min_neighbors", 3))))
 
 
 @step("low_points")
@@ -204,7 +204,7 @@ def headless(points: DataFrame, active: set[str], o: dict) -> DataFrame:
     if "intensity" in active:
         left = selection.intensity_floor(left, o["intensity_min"])
     if "ror" in active:
-        left = _kept(left, noise.radius_outliers(left, o["ror_radius"], int(o["ror_min_points"])))
+        left = _kept(left, noise.enough_near(left, o["ror_radius"], int(o["ror_min_points"])))
     if "sor" in active:
         left = _kept(left, noise.statistical_outliers(left, int(o["sor_neighbors"]), o["sor_std_ratio"]))
     left = stages.put(left)

@@ -208,3 +208,20 @@ def test_points_of_crowded_cells_are_not_counted(spark, monkeypatch):
     assert counted[0] < 300
     far = spark.createDataFrame([(i, 1e12 + i * 0.5, 0.0, 0.0) for i in range(5)], "pid long, x double, y double, z double")
     assert noise.enough_near(far, 0.75, 3).where("keep").count() == 3
+
+
+@pytest.mark.parametrize("exclude", [True, False])
+def test_columns_are_one_place_to_low_points(spark, monkeypatch, exclude):
+    """Many heights over few places: the rule is that of all pairs, and only places meet."""
+    met, meet = [], noise.aggregate_spots
+    monkeypatch.setattr(noise, "aggregate_spots", lambda probe, *a, **k: met.append(probe.count()) or meet(probe, *a, **k))
+    r = random.Random(8)
+    rows = [(i, float(i % 6), float(i % 5 * 2), float(r.randrange(40)) - 90 * (i % 97 == 0) + 99 * (i % 89 == 0)) for i in range(400)] + [(900, 50.0, 0.0, 3.0), (901, 50.0, 0.0, 9.0), (902, 80.0, 0.0, 1.0), (903, 50.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "pid long, x double, y double, z double")
+    got = {p.pid: p.keep for p in noise.low_points(df, 1.5, 2.0, 3.0, exclude).collect()}
+    for p in rows:
+        others = [q[3] for q in rows if q[3] is not None and (not exclude or q[0] != p[0]) and (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= 2.25]
+        odd = p[3] is not None and others and (p[3] < min(others) - 2 or p[3] > max(others) + 3)
+        assert got[p[0]] == (not odd), p
+    assert met == [32]
+    assert exclude == (not all(got.values()))
