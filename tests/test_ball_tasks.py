@@ -225,3 +225,17 @@ def test_columns_are_one_place_to_low_points(spark, monkeypatch, exclude):
         assert got[p[0]] == (not odd), p
     assert met == [32]
     assert exclude == (not all(got.values()))
+
+
+def test_a_crowd_is_joined_by_few_pairs():
+    """6,000 points in a ball of each other, of which half of all pairs are steps, and two that none leads to."""
+    import numpy as np
+
+    def gentle(p, i, j):
+        off = np.abs(p[i] - p[j])
+        return (off[:, :2].sum(axis=1) > 0) & (off[:, 2] <= 0.6 * np.sqrt(off[:, 0] ** 2 + off[:, 1] ** 2))
+
+    p = np.vstack((np.random.default_rng(3).uniform(0, 1, (6000, 3)), [[0.5, 0.5, 2.5], [4.0, 0.5, 0.5]]))
+    sets = balls.Unions(len(p))
+    assert balls.join_steps(sets, p, np.arange(len(p)), 3.0, gentle) < len(p) ** 2 / 4
+    assert (sets.settle()[:6000] == 0).all() and sets.parent[6000:].tolist() == [6000, 6001]
